@@ -277,9 +277,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- the same in SQL -----------------------------------------------------------
 
 SQL_NOT_TEXT = (
-    r"(?is)<script\b.*?(?:</script[^>]*(?:>|\z)|\z)"
-    r"|<style\b.*?(?:</style[^>]*(?:>|\z)|\z)"
-    r"|<!--.*?(?:-->|\z)"
+    r"script\b.*?(?:</script[^>]*(?:>|\z)|\z)"
+    r"|style\b.*?(?:</style[^>]*(?:>|\z)|\z)"
+    r"|!--.*?(?:-->|\z)"
 )
 SQL_BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{3000}]+"
 
@@ -327,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
     url_no = "try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|\\z)', 1), '') as bigint)"
     page_no = "try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as int)"
     ref = "nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '')"
-    body = _sql_plain(_sql_decoded(f"regexp_replace(html, '{SQL_NOT_TEXT}|<[/!?a-z][^>]*(?:>|\\z)', ' ', 'g')"))
+    body = _sql_plain(_sql_decoded(f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT}|[/!?a-z][^>]*(?:>|\\z))', ' ', 'g')"))
     violations = """concat_ws(',',
         case when not length(trim(text)) > 0 then 'has_text' end,
         case when not length(text) >= 100 then 'long_enough' end,
@@ -385,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
             from pages""",
         "listing_links": f"""with found as (
               select page_id, url,
-                regexp_extract_all(regexp_replace(html, '{SQL_NOT_TEXT}', ' ', 'g'),
+                regexp_extract_all(regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', ' ', 'g'),
                   '(?i)<a\\s(?:[^<>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) as links
               from pages)
             select page_id as doc_id, cast(unnest(range(len(links))) as int) as pos,

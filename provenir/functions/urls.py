@@ -1,8 +1,8 @@
-"""URL parts by pattern, and links made absolute."""
+"""Hosts of URLs, and links made absolute."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
@@ -33,21 +33,28 @@ def _without_dot_segments(path: Column) -> Column:
     )
 
 
-def absolute_url(base: Column, link: Column) -> Column:
-    """``link`` as found on the page at ``base``, made absolute."""
-    scheme = F.regexp_extract(base, rf"^({SCHEME}:)", 1)
-    origin = F.regexp_extract(base, rf"^({SCHEME}://[^/?#]*)", 1)
-    path = F.regexp_extract(base, rf"^{SCHEME}://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+def with_absolute(links: DataFrame, base: str, link: str) -> DataFrame:
+    """Replace ``link``, as found on the page at ``base``, by the absolute URL.
 
-    link_path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    link_tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    full_path = F.when(link.startswith("/"), link_path).otherwise(F.concat(folder, link_path))
-    return (
-        F.when(link.rlike(rf"^{SCHEME}:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when((link == "") | link.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link))
-        .when(link.startswith("?"), F.concat(origin, path, link))
-        .otherwise(F.concat(origin, _without_dot_segments(full_path), link_tail))
+    The parts are columns of their own, so that each is worked out once per link.
+    """
+    at, to = F.col(base), F.col(link)
+    parts = links.withColumns(
+        {
+            "__origin": F.regexp_extract(at, rf"^({SCHEME}://[^/?#]*)", 1),
+            "__base_path": F.regexp_extract(at, rf"^{SCHEME}://[^/?#]*([^?#]*)", 1),
+            "__path": F.regexp_extract(to, r"^([^?#]*)", 1),
+            "__tail": F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1),
+        }
+    )
+    folder = F.regexp_replace("__base_path", r"[^/]*$", "")
+    from_folder = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), F.col("__path"))
+    parts = parts.withColumn("__path", F.when(to.startswith("/"), F.col("__path")).otherwise(from_folder))
+    absolute = (
+        F.when(to.rlike(rf"^{SCHEME}:"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(at, rf"^({SCHEME}:)", 1), to))
+        .when((to == "") | to.startswith("#"), F.concat(F.regexp_extract(at, r"^([^#]*)", 1), to))
+        .when(to.startswith("?"), F.concat("__origin", "__base_path", to))
+        .otherwise(F.concat(F.col("__origin"), _without_dot_segments(F.col("__path")), F.col("__tail")))
     )
+    return parts.withColumn(link, absolute).drop("__origin", "__base_path", "__path", "__tail")

@@ -32,20 +32,21 @@ class Field:
     count: bool = False
 
 
-def _raw(field: Field) -> Column:
-    """The matched text, null when the pattern finds nothing."""
-    found = collapse_blanks(decode_references(F.regexp_extract(field.source, field.pattern, 1)))
-    return F.nullif(found, F.lit(""))
+def _found(field: Field) -> Column:
+    """The matched text, '' when the pattern finds nothing, or the count."""
+    if field.count:
+        return F.regexp_count(field.source, F.lit(field.pattern))
+    return collapse_blanks(decode_references(F.regexp_extract(field.source, field.pattern, 1)))
 
 
-def _value(field: Field) -> Column:
+def _typed(field: Field) -> Column:
+    found = F.col(f"__{field.name}")
     if field.count:
-        return F.regexp_count(field.source, F.lit(field.pattern)).cast(field.dtype)
-    if isinstance(field.dtype, T.StringType):
-        return _raw(field)
+        return found.cast(field.dtype)
+    present = F.when(found != "", found)
     if isinstance(field.dtype, T.NumericType):
-        return plain_numeral(_raw(field)).try_cast(field.dtype)
-    return _raw(field).try_cast(field.dtype)
+        return plain_numeral(present).try_cast(field.dtype)
+    return present.try_cast(field.dtype)
 
 
 def extract_values(docs: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
@@ -53,15 +54,18 @@ def extract_values(docs: DataFrame, fields: Sequence[Field], keep: Sequence[str]
 
     A value is null when it is absent and when it is malformed. ``malformed``
     names the fields of the second kind, so the two stay apart.
+
+    Search, cast and flag are projections on top of each other, so that each
+    pattern runs once per document.
     """
-    typed = [f for f in fields if not f.count and not isinstance(f.dtype, T.StringType)]
-    broken = [F.when(_raw(f).isNotNull() & _value(f).isNull(), F.lit(f.name)) for f in typed]
+    found = docs.select(*keep, *[_found(f).alias(f"__{f.name}") for f in fields])
+    typed = found.withColumns({f.name: _typed(f) for f in fields})
+    castable = [f for f in fields if not f.count and not isinstance(f.dtype, T.StringType)]
+    broken = [
+        F.when((F.col(f"__{f.name}") != "") & F.col(f.name).isNull(), F.lit(f.name)) for f in castable
+    ]
     malformed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
-    return docs.select(
-        *keep,
-        *[_value(f).alias(f.name) for f in fields],
-        malformed.alias("malformed"),
-    )
+    return typed.select(*keep, *[f.name for f in fields], malformed.alias("malformed"))
 
 
 def extract_text(docs: DataFrame, html: str = "html", name: str = "body_text") -> DataFrame:

@@ -26,14 +26,14 @@ def conform(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
     ``bad_casts``; a value that was null to begin with is not. A decimal with
     too many places is rounded, as a SQL cast does.
     """
-    values = {t.name: F.col(t.source).try_cast(t.dtype) for t in targets}
-    failed = [
-        F.when(F.col(t.source).isNotNull() & values[t.name].isNull(), F.lit(t.name)) for t in targets
-    ]
-    return df.select(
-        *[value.alias(name) for name, value in values.items()],
-        F.array_compact(F.array(*failed)).alias("bad_casts"),
+    castable = [t for t in targets if df.schema[t.source].dataType != t.dtype]
+    cast = df.select(
+        *[F.col(t.source).try_cast(t.dtype).alias(t.name) for t in targets],
+        *[F.col(t.source).isNotNull().alias(f"__{t.name}") for t in castable],
     )
+    failed = [F.when(F.col(f"__{t.name}") & F.col(t.name).isNull(), F.lit(t.name)) for t in castable]
+    bad_casts = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    return cast.select(*[t.name for t in targets], bad_casts.alias("bad_casts"))
 
 
 def long_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

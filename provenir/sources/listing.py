@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions.text import decode_references, drop_non_text
-from provenir.functions.urls import absolute_url
+from provenir.functions.urls import with_absolute
 
 ANCHOR = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
@@ -20,6 +20,7 @@ def listing_links(
     links gives no row.
     """
     quoted = F.regexp_extract_all(drop_non_text(F.col(html)), F.lit(ANCHOR), 1)
-    found = pages.select(key, F.col(url).alias("__base"), F.posexplode(quoted).alias("pos", "__raw"))
-    link = decode_references(F.trim(F.regexp_replace("__raw", r"""^["']|["']$""", "")))
-    return found.select(key, "pos", absolute_url(F.col("__base"), link).alias("link"))
+    found = pages.select(key, F.col(url).alias("__base"), F.posexplode(quoted).alias("pos", "link"))
+    unquoted = F.trim(F.regexp_replace("link", r"""^["']|["']$""", ""))
+    links = found.withColumn("link", decode_references(unquoted))
+    return with_absolute(links, "__base", "link").drop("__base")
