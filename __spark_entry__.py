@@ -80,9 +80,9 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [
         *PAGE_FIELDS,
-        pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType()),
+        pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType(), plain=True),
         # The tables hold only ref=x, so this one is malformed wherever present.
-        pv.Field("ref_no", "url", r"[?&]ref=([^&#]*)", T.IntegerType()),
+        pv.Field("ref_no", "url", r"[?&]ref=([^&#]*)", T.IntegerType(), plain=True),
     ]
     values = pv.extract_values(_pages(spark, sf_dir), fields, keep=["doc_id"])
     return values.withColumn("malformed", F.array_join("malformed", ","))
@@ -201,7 +201,7 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pages(spark, sf_dir),
         [
             *PAGE_FIELDS,
-            pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType()),
+            pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType(), plain=True),
             pv.Field("tail", "html", r"(</html>)"),
         ],
     )

@@ -9,24 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+# A lookup within both bounds is sent to every task.
+SMALL_ROWS = 10_000
+SMALL_BYTES = 8 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is within the bounds, found by reading no more than they allow.
+
+    This runs a job of one short stage. It is needed where Spark cannot know the
+    size of a table, such as one made from Python rows, and would shuffle the
+    large side to be safe.
+    """
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    width = reduce(Column.__add__, widths).cast("bigint").alias("width")
+    seen = df.select(width).limit(SMALL_ROWS + 1).agg(F.count("width").alias("n"), F.sum("width").alias("b")).first()
+    return seen.n <= SMALL_ROWS and (seen.b or 0) <= SMALL_BYTES
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
     """Left join a lookup that was grouped by ``keys``; ``rows`` keeps every row.
 
-    No broadcast is forced: Spark takes one when the size it knows for the lookup
-    is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    ``small`` is for a lookup the caller has checked with ``is_small``: it is
+    broadcast. Otherwise Spark broadcasts when the size it knows is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles when it is not.
 
-    The condition also compares a hash of the keys. It changes no result, but the
-    partitioning left by the lookup's own grouping then no longer serves the join,
-    so both inputs get a shuffle of the join's own. That is the only shape in
-    which adaptive execution splits a skewed partition, and the one thing that
-    keeps a key holding a third of ``rows`` from landing in one task. The price is
-    a second shuffle of the lookup, which holds one narrow row per key.
+    For the shuffle, the condition also compares a hash of the keys. It changes no
+    result, but the partitioning left by the lookup's own grouping then no longer
+    serves the join, so both inputs get a shuffle of the join's own. That is the
+    only shape in which adaptive execution splits a skewed partition, and the one
+    thing that keeps a key holding a third of ``rows`` from landing in one task.
+    The price is a second shuffle of the lookup: one narrow row per key.
     """
     fact = lookup.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[c for c in lookup.columns if c not in keys],
     )
-    same_keys = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
-    same_hash = F.xxhash64(*keys) == F.xxhash64(*[F.col(f"__{k}") for k in keys])
-    joined = rows.join(fact, same_keys & same_hash, "left")
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
+    if small:
+        joined = rows.join(F.broadcast(fact), same, "left")
+    else:
+        same_hash = F.xxhash64(*keys) == F.xxhash64(*[F.col(f"__{k}") for k in keys])
+        joined = rows.join(fact, same & same_hash, "left")
     return joined.drop(*[f"__{k}" for k in keys])

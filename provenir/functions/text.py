@@ -9,6 +9,8 @@ one badly broken document.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,7 +86,8 @@ def decode_references(text: Column) -> Column:
     Each piece after an ``&`` is decoded on its own, so ``&amp;lt;`` becomes
     ``&lt;`` and is not decoded a second time.
     """
-    named = F.create_map(*[F.lit(x) for pair in NAMED_REFERENCES.items() for x in pair])
+    # A constant once Spark has folded it.
+    named = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")
 
     def find_name(piece: Column) -> Column:
         return F.struct(piece.alias("raw"), F.regexp_extract(piece, REFERENCE, 1).alias("name"))

@@ -22,7 +22,8 @@ class Field:
     """A value to pull out of ``source``.
 
     The first group of ``pattern`` is the value; with ``count`` it is the number
-    of matches instead.
+    of matches instead. Character references are decoded unless ``source`` is
+    ``plain`` text, such as a URL.
     """
 
     name: str
@@ -30,13 +31,15 @@ class Field:
     pattern: str
     dtype: T.DataType = T.StringType()
     count: bool = False
+    plain: bool = False
 
 
 def _found(field: Field) -> Column:
     """The matched text, '' when the pattern finds nothing, or the count."""
     if field.count:
         return F.regexp_count(field.source, F.lit(field.pattern))
-    return collapse_blanks(decode_references(F.regexp_extract(field.source, field.pattern, 1)))
+    found = F.regexp_extract(field.source, field.pattern, 1)
+    return collapse_blanks(found if field.plain else decode_references(found))
 
 
 def _typed(field: Field) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.functions.joins import join_lookup
+from provenir.functions.joins import is_small, join_lookup
 
 VERIFIED = "verified"
 REJECTED = "rejected"
@@ -39,13 +39,16 @@ def attach_provenance(records: DataFrame, sources: DataFrame, by: str = "round")
     ``sources`` holds ``source_page`` and the array ``rounds``. Two pages that
     claim one round would leave its records without a definite source, so that
     stops the query with an error.
+
+    The sources are counted first. As long as they are few, records are not
+    shuffled; there are only a handful of rounds to shuffle them by.
     """
     covered = sources.select(F.explode("rounds").alias(by), "source_page")
     distinct = F.min("source_page").eqNullSafe(F.max("source_page"))
     conflict = F.concat(F.lit(f"several source pages for {by} "), F.col(by).cast("string"))
     page = F.when(distinct, F.min("source_page")).otherwise(F.raise_error(conflict))
     lookup = covered.groupBy(by).agg(page.alias("source_page"))
-    return join_lookup(records, lookup, [by])
+    return join_lookup(records, lookup, [by], small=is_small(covered))
 
 
 def missing_documents(listed: DataFrame, records: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:

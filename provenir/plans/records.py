@@ -20,7 +20,7 @@ PAGE_FIELDS = (
     Field("title", "html", r"(?i)<title[^>]*>([^<]*)"),
     Field("lang", "html", r"""(?i)<html\s(?:[^<>]*?\s)?lang\s*=\s*["']?([A-Za-z-]+)"""),
     Field("n_sections", "html", r"(?i)<p[\s>]", T.LongType(), count=True),
-    Field("url_no", "url", r"/([0-9]+)(?:[/.?#]|\z)", T.LongType()),
+    Field("url_no", "url", r"/([0-9]+)(?:[/.?#]|\z)", T.LongType(), plain=True),
 )
 
 

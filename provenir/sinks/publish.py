@@ -15,11 +15,20 @@ from provenir.functions.text import escape_markup
 
 NULL_MARK = r"\N"
 
+# To the microsecond; the default formats stop at milliseconds.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 # The narrow set that keeps null, '' and blanks apart and survives line ends
 # inside a field. `emptyValue` must stay unset, or '' is lost.
 CSV_FORMAT = {
+    **TIME_FORMATS,
     "header": "true",
     "escape": '"',
+    # Unset, this is NUL, and a quote before a NUL is lost.
+    "charToEscapeQuoteEscaping": '"',
     "lineSep": "\n",
     "nullValue": NULL_MARK,
     "ignoreLeadingWhiteSpace": "false",
@@ -75,8 +84,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", max_records_per_fil
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error", max_records_per_file: int = 0) -> DataFrame:
     """Write one JSON object per line; null fields are left out."""
-    df.write.mode(mode).options(lineSep="\n", maxRecordsPerFile=max_records_per_file).json(path)
-    return df.sparkSession.read.schema(df.schema).options(lineSep="\n", mode="FAILFAST").json(path)
+    layout = {**TIME_FORMATS, "lineSep": "\n"}
+    df.write.mode(mode).options(**layout, maxRecordsPerFile=max_records_per_file).json(path)
+    return df.sparkSession.read.schema(df.schema).options(**layout, mode="FAILFAST").json(path)
 
 
 def html_row(*columns: str) -> Column:

@@ -12,7 +12,7 @@ TABLES = [
 ]
 
 
-@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+@pytest.fixture(scope="module", params=["sf0.01"])
 def scale(request):
     folder = TESTDATA / request.param
     con = duckdb.connect()

@@ -1,0 +1,180 @@
+"""What is written is what is read back."""
+
+import csv
+import datetime as dt
+import io
+import json
+import random
+from decimal import Decimal
+from types import SimpleNamespace
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import provenir as pv
+from provenir.sinks.scratch import scratch_path
+
+EDGE_TEXTS = [
+    None,
+    "",
+    " ",
+    '"',
+    '""',
+    '"quoted", with comma\nand newline',
+    "back\\slash\\",
+    "  leading and trailing \t",
+    "\\N",
+    "\\\\N",
+    "\\",
+    '\\"',
+    '"\x00"',
+    "a\r\nb\rc\n",
+    "\r\n",
+    "#comment",
+    "<b>&amp;</b>",
+    "\x00x\x1f",
+    "日本，語\u2028\u2029\x85",
+    "null",
+    "x" * 300_000,
+]
+
+
+@pytest.fixture(scope="module")
+def edge_rows(spark):
+    df = spark.createDataFrame(list(enumerate(EDGE_TEXTS)), "id int, t string")
+    return df.withColumn("round", F.col("id") % 4)
+
+
+def same_rows(a, b):
+    return a.schema.simpleString() == b.schema.simpleString() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@pytest.mark.parametrize("write", [pv.write_csv, pv.write_jsonl, pv.organise_by_round])
+def test_edge_texts_survive(edge_rows, tmp_path, write):
+    assert same_rows(edge_rows, write(edge_rows, str(tmp_path / "out")))
+
+
+@pytest.mark.parametrize("write", [pv.write_csv, pv.write_jsonl])
+def test_types_survive(spark, tmp_path, write):
+    schema = "d decimal(18,2), day date, at timestamp, f double, b boolean, n bigint, t string"
+    at = dt.datetime(2024, 2, 29, 1, 2, 3, 456789)
+    full = (Decimal("-12.30"), dt.date(2024, 2, 29), at, 0.1, True, 2**62, "x")
+    df = spark.createDataFrame([full, (None,) * 7], schema)
+    assert same_rows(df, write(df, str(tmp_path / "out")))
+
+
+@pytest.mark.parametrize("write", [pv.write_csv, pv.write_jsonl])
+def test_a_column_of_texts_alone_survives(spark, tmp_path, write):
+    df = spark.createDataFrame([(t,) for t in EDGE_TEXTS], "t string")
+    assert same_rows(df, write(df, str(tmp_path / "out")))
+
+
+texts = st.one_of(
+    st.none(),
+    st.text(st.sampled_from('\\"N,\r\n \t\x00ax#'), max_size=8),
+    st.text(st.characters(exclude_categories=["Cs"]), max_size=12),
+)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(texts, texts), min_size=1, max_size=60))
+def test_any_text_survives_csv_and_jsonl(spark, tmp_path_factory, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(2)
+    base = tmp_path_factory.mktemp("any")
+    assert same_rows(df, pv.write_csv(df, str(base / "csv")))
+    assert same_rows(df, pv.write_jsonl(df, str(base / "jsonl")))
+
+
+def test_many_awkward_texts_survive_csv_and_jsonl(spark, tmp_path):
+    draw = random.Random(7)
+
+    def text():
+        return "".join(draw.choices('\\"N,\r\n \t\x00ax#\'日', k=draw.randrange(7))) if draw.random() < 0.9 else None
+
+    df = spark.createDataFrame([(text(), text()) for _ in range(20_000)], "a string, b string")
+    assert same_rows(df, pv.write_csv(df, str(tmp_path / "csv")))
+    assert same_rows(df, pv.write_jsonl(df, str(tmp_path / "jsonl")))
+
+
+def test_csv_is_readable_elsewhere(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c\nd', None), (2, "", "x")], "id int, t string, u string").coalesce(1)
+    pv.write_csv(df, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    assert list(csv.reader(io.StringIO(part.read_text(), newline=""))) == [
+        ["id", "t", "u"],
+        ["1", 'a "b", c\nd', "\\N"],
+        ["2", "", "x"],
+    ]
+
+
+def test_jsonl_is_one_object_per_line(edge_rows, tmp_path):
+    pv.write_jsonl(edge_rows, str(tmp_path / "out"))
+    lines = [line for part in (tmp_path / "out").glob("part-*.json") for line in part.read_text().split("\n") if line]
+    assert {r["id"]: r.get("t") for r in map(json.loads, lines)} == dict(enumerate(EDGE_TEXTS))
+
+
+def test_html_keeps_one_record_per_line(edge_rows, tmp_path):
+    stored = pv.write_html(edge_rows, str(tmp_path / "out"))
+    assert same_rows(pv.html_rows(edge_rows), stored)
+    by_id = {r.row.split("</td>")[0]: r.row for r in stored.collect()}
+    assert by_id["<tr><td>0"].startswith('<tr><td>0</td><td class="missing"></td>')
+    assert by_id["<tr><td>1"].startswith("<tr><td>1</td><td></td>")
+    assert "<td>&lt;b&gt;&amp;amp;&lt;/b&gt;</td>" in by_id[f"<tr><td>{EDGE_TEXTS.index('<b>&amp;</b>')}"]
+    assert "<td>a<br>b<br>c<br></td>" in by_id[f"<tr><td>{EDGE_TEXTS.index(chr(97) + '\r\nb\rc\n')}"]
+
+
+def test_a_round_opens_its_folder_only(spark, edge_rows, tmp_path):
+    stored = pv.organise_by_round(edge_rows, str(tmp_path / "out"))
+    one = stored.where(F.col("round") == 3)
+    assert one.count() == 5
+    assert len(one.inputFiles()) >= 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(round" in plan
+    assert sorted(p.name for p in (tmp_path / "out").glob("round=*")) == [f"round={i}" for i in range(4)]
+
+
+def test_even_files_split_a_large_round(spark, tmp_path):
+    df = spark.range(0, 60_000, 1, 6).select(
+        F.when(F.col("id") < 59_000, 1).otherwise(2).alias("round"), F.sha2(F.col("id").cast("string"), 256).alias("t")
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "500KB")
+    try:
+        stored = pv.organise_by_round(df, str(tmp_path / "even"), even_files=True)
+    finally:
+        spark.conf.unset(size)
+    assert same_rows(df, stored)
+    assert len(list((tmp_path / "even" / "round=1").glob("*.parquet"))) > 1
+    assert len(list((tmp_path / "even" / "round=2").glob("*.parquet"))) == 1
+
+
+def test_writers_do_not_overwrite_unasked(edge_rows, tmp_path):
+    pv.write_jsonl(edge_rows, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="already exists"):
+        pv.write_jsonl(edge_rows, str(tmp_path / "out"))
+
+
+def test_records_per_file(spark, tmp_path):
+    df = spark.range(0, 10, 1, 1)
+    assert same_rows(df, pv.write_csv(df, str(tmp_path / "out"), max_records_per_file=4))
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
+
+
+def test_schema_of_read_back_tables_is_declared(spark, tmp_path):
+    df = spark.createDataFrame([], T.StructType([T.StructField("t", T.StringType()), T.StructField("round", T.IntegerType())]))
+    for name, write in (("c", pv.write_csv), ("j", pv.write_jsonl), ("o", pv.organise_by_round)):
+        assert write(df, str(tmp_path / name)).schema.simpleString() == df.schema.simpleString()
+
+
+def test_scratch_is_the_shared_folder_when_one_is_named(spark):
+    def session(master, conf):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    named = session("yarn", {"spark.checkpoint.dir": "hdfs://shared/folder/"})
+    assert scratch_path(named, "q", "sf1") == "hdfs://shared/folder/app-1/q/sf1"
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch_path(session("yarn", {}), "q")
+    assert scratch_path(spark, "q").endswith(f"/{spark.sparkContext.applicationId}/q")
