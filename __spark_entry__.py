@@ -23,6 +23,7 @@ from provenir.sources import schemas
 
 LANG_ROUND = {"en": 1, "de": 2, "es": 3, "fr": 4}
 SOURCES = "source_page string, rounds array<int>"
+QUERY_VALUE = r"[?&][a-z_]+=([^&#]*)"
 
 
 # --- stand-ins ---------------------------------------------------------------
@@ -80,9 +81,8 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [
         *PAGE_FIELDS,
-        pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType(), plain=True),
-        # The tables hold only ref=x, so this one is malformed wherever present.
-        pv.Field("ref_no", "url", r"[?&]ref=([^&#]*)", T.IntegerType(), plain=True),
+        # A number, a word, or absent: page=2, utm_source=feed, no query.
+        pv.Field("query_no", "url", QUERY_VALUE, T.IntegerType(), plain=True),
     ]
     values = pv.extract_values(_pages(spark, sf_dir), fields, keep=["doc_id"])
     return values.withColumn("malformed", F.array_join("malformed", ","))
@@ -94,21 +94,18 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conform_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Texts to cast: one always fits, one fits up to 3 digits, one is often
-    # absent, one never fits.
+    # Texts to cast: one always fits, one fits now and then, one is often absent.
     as_text = _documents(spark, sf_dir).select(
         "doc_id",
         F.col("n_chars").cast("string").alias("chars"),
         F.when(F.col("n_chars") < 1000, F.col("n_chars").cast("string")).otherwise(F.col("source")).alias("small"),
         F.when(F.col("lang") != "en", F.substr("source", F.lit(4))).alias("source_no"),
-        F.col("source").alias("code"),
     )
     targets = [
         pv.Target("record_id", "doc_id", T.LongType()),
         pv.Target("amount", "chars", T.DecimalType(18, 2)),
         pv.Target("small", "small", T.IntegerType()),
         pv.Target("source_no", "source_no", T.IntegerType()),
-        pv.Target("code", "code", T.IntegerType()),
     ]
     conformed = pv.conform(as_text, targets)
     return conformed.withColumns(
@@ -201,11 +198,11 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pages(spark, sf_dir),
         [
             *PAGE_FIELDS,
-            pv.Field("page_no", "url", r"[?&]page=([^&#]*)", T.IntegerType(), plain=True),
+            pv.Field("query_no", "url", QUERY_VALUE, T.IntegerType(), plain=True),
             pv.Field("tail", "html", r"(</html>)"),
         ],
     )
-    return pv.field_coverage(values, ["title", "lang", "n_sections", "url_no", "page_no", "tail"])
+    return pv.field_coverage(values, ["title", "lang", "n_sections", "url_no", "query_no", "tail"])
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,8 +322,8 @@ def oracle_sql() -> dict[str, str]:
     lang = """nullif(regexp_extract(html, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
     n_sections = "cast(len(regexp_extract_all(html, '(?i)<p[\\s>]')) as bigint)"
     url_no = "try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|\\z)', 1), '') as bigint)"
-    page_no = "try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as int)"
-    ref = "nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '')"
+    query_value = "nullif(regexp_extract(url, '[?&][a-z_]+=([^&#]*)', 1), '')"
+    query_no = f"try_cast({query_value} as int)"
     body = _sql_plain(_sql_decoded(f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT}|[/!?a-z][^>]*(?:>|\\z))', ' ', 'g')"))
     violations = """concat_ws(',',
         case when not length(trim(text)) > 0 then 'has_text' end,
@@ -346,9 +343,8 @@ def oracle_sql() -> dict[str, str]:
             contains(html, '</html>') as closed
             from pages""",
         "extract_values": f"""select page_id as doc_id, {title} as title, {lang} as lang,
-            {n_sections} as n_sections, {url_no} as url_no, {page_no} as page_no,
-            try_cast({ref} as int) as ref_no,
-            case when {ref} is not null and try_cast({ref} as int) is null then 'ref_no' else '' end as malformed
+            {n_sections} as n_sections, {url_no} as url_no, {query_no} as query_no,
+            case when {query_value} is not null and {query_no} is null then 'query_no' else '' end as malformed
             from pages""",
         "extract_text": f"""select page_id as doc_id, cast(length({body}) as bigint) as n_chars,
             md5({body}) as text_md5
@@ -360,8 +356,7 @@ def oracle_sql() -> dict[str, str]:
               from documents)
             select doc_id as record_id, chars || '.00' as amount,
               try_cast(small as int) as small, try_cast(source_no as int) as source_no,
-              cast(null as int) as code,
-              case when try_cast(small as int) is null then 'small,code' else 'code' end as bad_casts
+              case when try_cast(small as int) is null then 'small' else '' end as bad_casts
             from as_text""",
         "validate_records": f"select doc_id, {violations} as violations from documents",
         "verification_status": f"""select d.doc_id, {round_of_lang} as round, {status} as status
@@ -428,13 +423,13 @@ def oracle_sql() -> dict[str, str]:
             from s group by round""",
         "field_coverage": f"""with v as (
               select {title} as title, {lang} as lang, {n_sections} as n_sections, {url_no} as url_no,
-                {page_no} as page_no, nullif(regexp_extract(html, '(</html>)', 1), '') as tail
+                {query_no} as query_no, nullif(regexp_extract(html, '(</html>)', 1), '') as tail
               from pages)
             select 'title' as field, count(*) as n_rows, count(*) - count(title) as n_missing from v
             union all select 'lang', count(*), count(*) - count(lang) from v
             union all select 'n_sections', count(*), count(*) - count(n_sections) from v
             union all select 'url_no', count(*), count(*) - count(url_no) from v
-            union all select 'page_no', count(*), count(*) - count(page_no) from v
+            union all select 'query_no', count(*), count(*) - count(query_no) from v
             union all select 'tail', count(*), count(*) - count(tail) from v""",
         "duplicate_keys": """select l_orderkey, l_linenumber, count(*) as n_rows
             from lineitem group by 1, 2 having count(*) > 1""",
