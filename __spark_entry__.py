@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import provenir as pv
-from provenir.plans.records import PAGE_FIELDS
+from provenir.plans.records import PAGE_FIELDS, with_markup
 from provenir.sinks.publish import html_row
 from provenir.sinks.scratch import scratch_path
 from provenir.sources import schemas
@@ -84,7 +84,7 @@ def extract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         # A number, a word, or absent: page=2, utm_source=feed, no query.
         pv.Field("query_no", "url", QUERY_VALUE, T.IntegerType(), plain=True),
     ]
-    values = pv.extract_values(_pages(spark, sf_dir), fields, keep=["doc_id"])
+    values = pv.extract_values(with_markup(_pages(spark, sf_dir)), fields, keep=["doc_id"])
     return values.withColumn("malformed", F.array_join("malformed", ","))
 
 
@@ -195,7 +195,7 @@ def status_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = pv.extract_values(
-        _pages(spark, sf_dir),
+        with_markup(_pages(spark, sf_dir)),
         [
             *PAGE_FIELDS,
             pv.Field("query_no", "url", QUERY_VALUE, T.IntegerType(), plain=True),
@@ -317,10 +317,11 @@ def _sql_html_row(*columns: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     round_of_lang = "case lang when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"
-    title_tag = "regexp_extract(html, '(?i)<title[^>]*>([^<]*)', 1)"
+    markup = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', ' ', 'g')"
+    title_tag = f"regexp_extract({markup}, '(?i)<title[^>]*>([^<]*)', 1)"
     title = f"nullif({_sql_plain(_sql_decoded(title_tag))}, '')"
-    lang = """nullif(regexp_extract(html, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
-    n_sections = "cast(len(regexp_extract_all(html, '(?i)<p[\\s>]')) as bigint)"
+    lang = f"""nullif(regexp_extract({markup}, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
+    n_sections = f"cast(len(regexp_extract_all({markup}, '(?i)<p[\\s>]')) as bigint)"
     url_no = "try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|\\z)', 1), '') as bigint)"
     query_value = "nullif(regexp_extract(url, '[?&][a-z_]+=([^&#]*)', 1), '')"
     query_no = f"try_cast({query_value} as int)"
@@ -380,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
             from pages""",
         "listing_links": f"""with found as (
               select page_id, url,
-                regexp_extract_all(regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', ' ', 'g'),
+                regexp_extract_all({markup},
                   '(?i)<a\\s(?:[^<>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) as links
               from pages)
             select page_id as doc_id, cast(unnest(range(len(links))) as int) as pos,

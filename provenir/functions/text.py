@@ -26,7 +26,7 @@ TAG = r"[/!?a-z][^>]*(?:>|\z)"
 # Blanks besides the ideographic space, which is replaced beforehand: a class
 # within Latin-1 matches a good deal faster.
 BLANKS = r"[\t-\r \x{A0}]+"
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
+REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
 
 # Named character references of HTML.
 NAMED_REFERENCES = {
@@ -69,8 +69,8 @@ def drop_non_text(html: Column) -> Column:
 
 
 def _code_point(name: Column) -> Column:
-    decimal = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1).try_cast("int")
-    hexadecimal = F.conv(F.regexp_extract(name, r"^#[xX]([0-9A-Fa-f]+)$", 1), 16, 10).try_cast("int")
+    decimal = F.regexp_extract(name, r"^#([0-9]+)$", 1).try_cast("int")
+    hexadecimal = F.conv(F.regexp_extract(name, r"^#[xX]0*([0-9A-Fa-f]+)$", 1), 16, 10).try_cast("int")
     return F.coalesce(decimal, hexadecimal)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provenir.functions.text import drop_non_text
 from provenir.operators.extract import Field, extract_text, extract_values
 from provenir.operators.provenance import UNVERIFIED, attach_provenance, verification_status
 from provenir.operators.schema import Target, conform
@@ -17,20 +18,26 @@ from provenir.sources.schemas import RECORD
 # Where each value stands. No pattern depends on a closing tag, so
 # a truncated page still yields what it holds.
 PAGE_FIELDS = (
-    Field("title", "html", r"(?i)<title[^>]*>([^<]*)"),
-    Field("lang", "html", r"""(?i)<html\s(?:[^<>]*?\s)?lang\s*=\s*["']?([A-Za-z-]+)"""),
-    Field("n_sections", "html", r"(?i)<p[\s>]", T.LongType(), count=True),
+    Field("title", "markup", r"(?i)<title[^>]*>([^<]*)"),
+    Field("lang", "markup", r"""(?i)<html\s(?:[^<>]*?\s)?lang\s*=\s*["']?([A-Za-z-]+)"""),
+    Field("n_sections", "markup", r"(?i)<p[\s>]", T.LongType(), count=True),
     Field("url_no", "url", r"/([0-9]+)(?:[/.?#]|\z)", T.LongType(), plain=True),
 )
 
 
+def with_markup(documents: DataFrame) -> DataFrame:
+    """Add ``markup``: the page without the scripts, styles and comments that may
+    look like its content."""
+    return documents.withColumn("markup", drop_non_text(F.col("html")))
+
+
 def build_records(documents: DataFrame, round_of: Column) -> DataFrame:
     """Records of the declared schema, plus ``malformed`` and ``bad_casts``.
 
     ``round_of`` may use the extracted columns. Extraction, text and casts are
-    one projection over the scan: no shuffle.
+    projections over the scan: no shuffle.
     """
-    with_text = extract_text(documents)
+    with_text = extract_text(with_markup(documents), html="markup")
     values = extract_values(with_text, PAGE_FIELDS, keep=["doc_id", "url", "body_text"])
     with_round = values.withColumn("round", round_of)
     targets = [Target(f.name, f.name, f.dataType) for f in RECORD.fields]

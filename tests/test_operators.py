@@ -175,7 +175,7 @@ def test_scan_files(spark, tmp_path):
 
 
 def test_records_of_a_truncated_page(spark):
-    page = '<html lang="ja"><head><title>&#26085;本 &amp; co'
+    page = '<html lang="ja"><script>"<p><title>no"</script><!-- <p> --><head><title>&#026085;本 &amp; co'
     docs = spark.createDataFrame([(1, "https://h.example/ja/12?x", page)], "doc_id bigint, url string, html string")
     got = pv.build_records(docs, F.when(F.col("lang") == "ja", F.lit(4))).first().asDict()
     assert got == {
@@ -203,3 +203,13 @@ def test_conservation_over_the_tables(spark, sf_dir):
     assert by_round.agg(F.sum("n_records")).first()[0] == n_docs
     total = queries["violation_counts"](spark, sf_dir).agg(F.sum("n_records")).first()[0]
     assert total == wired._validated(spark, sf_dir).agg(F.sum(F.size("violations"))).first()[0]
+
+
+def test_listed_links_without_a_record(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://h.example/list/", '<a href="a.pdf">a</a><a href="/list/b.pdf">b</a><a href="./a.pdf">again</a>')],
+        "doc_id int, url string, html string",
+    )
+    listed = pv.listing_links(pages).withColumnRenamed("link", "url")
+    records = spark.createDataFrame([("https://h.example/list/b.pdf",)], "url string")
+    assert rows(pv.missing_documents(listed, records)) == [("https://h.example/list/a.pdf", 2)]

@@ -16,6 +16,8 @@ from provenir.functions.text import (
     readable_text,
 )
 from provenir.functions.urls import url_host, with_absolute
+from provenir.plans.records import build_records
+from provenir.sources.listing import listing_links
 
 
 def run(spark, values, function):
@@ -49,8 +51,15 @@ def test_readable_text(spark, page, text):
 
 
 def test_broken_documents_neither_overflow_nor_hang(spark):
-    pages = ["<a " * 200_000, "<" * 500_000, "<script>" * 100_000, "<!--" * 200_000, "&" * 200_000, "</script" * 90_000]
+    pages = [
+        piece * 100_000
+        for piece in ("<a ", "<", "<script>", "<!--", "&", "&#", "</script", "<a href=", '<a href="', "<title", "a = 1 ")
+    ]
     assert len(run(spark, pages, readable_text)) == len(pages)
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string").withColumn("url", F.lit("https://h.example/"))
+    assert listing_links(docs).agg(F.max("pos")).first()[0] is not None
+    records = build_records(docs, F.lit(1))
+    assert records.agg(F.sum(F.length("body_text")), F.sum("n_sections"), F.max("title")).first()[1] == 0
 
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
