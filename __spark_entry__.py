@@ -318,7 +318,7 @@ def _sql_html_row(*columns: str) -> str:
 def oracle_sql() -> dict[str, str]:
     round_of_lang = "case lang when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"
     markup = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', ' ', 'g')"
-    title_tag = f"regexp_extract({markup}, '(?i)<title[^>]*>([^<]*)', 1)"
+    title_tag = f"regexp_extract({markup}, '(?i)<title[^<>]*>([^<]*)', 1)"
     title = f"nullif({_sql_plain(_sql_decoded(title_tag))}, '')"
     lang = f"""nullif(regexp_extract({markup}, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
     n_sections = f"cast(len(regexp_extract_all({markup}, '(?i)<p[\\s>]')) as bigint)"

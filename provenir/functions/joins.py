@@ -27,7 +27,13 @@ def is_small(df: DataFrame) -> bool:
     return seen.n <= SMALL_ROWS and (seen.b or 0) <= SMALL_BYTES
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+def join_lookup(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    small: bool = False,
+    bucketed: bool = False,
+) -> DataFrame:
     """Left join a lookup that was grouped by ``keys``; ``rows`` keeps every row.
 
     ``small`` is for a lookup the caller has checked with ``is_small``: it is
@@ -40,15 +46,17 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], small:
     only shape in which adaptive execution splits a skewed partition, and the one
     thing that keeps a key holding a third of ``rows`` from landing in one task.
     The price is a second shuffle of the lookup: one narrow row per key.
+
+    ``bucketed`` is for tables stored in buckets of ``keys``. The hash is left
+    out, so the buckets are joined as they lie and nothing is shuffled; a hot key
+    then stays in its bucket.
     """
     fact = lookup.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[c for c in lookup.columns if c not in keys],
     )
     same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
-    if small:
-        joined = rows.join(F.broadcast(fact), same, "left")
-    else:
-        same_hash = F.xxhash64(*keys) == F.xxhash64(*[F.col(f"__{k}") for k in keys])
-        joined = rows.join(fact, same & same_hash, "left")
+    if not (small or bucketed):
+        same &= F.xxhash64(*keys) == F.xxhash64(*[F.col(f"__{k}") for k in keys])
+    joined = rows.join(F.broadcast(fact) if small else fact, same, "left")
     return joined.drop(*[f"__{k}" for k in keys])

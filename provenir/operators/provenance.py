@@ -15,7 +15,11 @@ UNVERIFIED = "unverified"
 
 
 def verification_status(
-    records: DataFrame, checks: DataFrame, keys: Sequence[str] = ("doc_id",), passed: str = "passed"
+    records: DataFrame,
+    checks: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+    passed: str = "passed",
+    bucketed: bool = False,
 ) -> DataFrame:
     """Add ``status`` to every record; records are neither lost nor repeated.
 
@@ -30,7 +34,8 @@ def verification_status(
         .when(~F.col("__passed"), F.lit(REJECTED))
         .otherwise(F.lit(UNVERIFIED))
     )
-    return join_lookup(records, verdicts, keys).withColumn("status", status).drop("__passed")
+    joined = join_lookup(records, verdicts, keys, bucketed=bucketed)
+    return joined.withColumn("status", status).drop("__passed")
 
 
 def attach_provenance(records: DataFrame, sources: DataFrame, by: str = "round") -> DataFrame:

@@ -18,7 +18,7 @@ from provenir.sources.schemas import RECORD
 # Where each value stands. No pattern depends on a closing tag, so
 # a truncated page still yields what it holds.
 PAGE_FIELDS = (
-    Field("title", "markup", r"(?i)<title[^>]*>([^<]*)"),
+    Field("title", "markup", r"(?i)<title[^<>]*>([^<]*)"),
     Field("lang", "markup", r"""(?i)<html\s(?:[^<>]*?\s)?lang\s*=\s*["']?([A-Za-z-]+)"""),
     Field("n_sections", "markup", r"(?i)<p[\s>]", T.LongType(), count=True),
     Field("url_no", "url", r"/([0-9]+)(?:[/.?#]|\z)", T.LongType(), plain=True),
@@ -46,14 +46,18 @@ def build_records(documents: DataFrame, round_of: Column) -> DataFrame:
 
 
 def analysis_view(
-    records: DataFrame, sources: DataFrame, checks: DataFrame, keys: Sequence[str] = ("doc_id",)
+    records: DataFrame,
+    sources: DataFrame,
+    checks: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+    bucketed: bool = False,
 ) -> DataFrame:
     """Records with source page, state, and ``complete`` where both are known.
 
     No record is dropped: one without a source or a check is flagged.
     """
     sourced = attach_provenance(records, sources)
-    checked = verification_status(sourced, checks, keys)
+    checked = verification_status(sourced, checks, keys, bucketed=bucketed)
     known = F.col("source_page").isNotNull() & (F.col("status") != UNVERIFIED)
     return checked.withColumn("complete", known)
 

@@ -146,6 +146,26 @@ def test_hot_rounds_and_sources_too_many_to_broadcast(spark, like_large_tables,
     assert "SortMergeJoin(skew=true)" in plan
 
 
+def test_bucketed_tables_are_joined_as_they_lie(spark, like_large_tables, tmp_path):
+    records = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 + 1).cast("int").alias("round"))
+    checks = spark.range(0, 4000, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).alias("passed"))
+    for name, df in (("bucketed_records", records), ("bucketed_checks", checks)):
+        df.write.bucketBy(4, "doc_id").sortBy("doc_id").option("path", str(tmp_path / name)).saveAsTable(name)
+    try:
+        sources = wired._sources(spark)
+        stored = spark.table("bucketed_records"), sources, spark.table("bucketed_checks")
+        view = pv.analysis_view(*stored, bucketed=True)
+        plan = plan_of(view)
+        assert "SortMergeJoin" in plan
+        assert exchanges(view) == 1  # of the source pages
+        assert exchanges(pv.analysis_view(*stored)) > 1
+        expected = pv.analysis_view(records, sources, checks)
+        assert view.exceptAll(expected).isEmpty() and expected.exceptAll(view).isEmpty()
+    finally:
+        spark.sql("drop table bucketed_records")
+        spark.sql("drop table bucketed_checks")
+
+
 @pytest.mark.parametrize("build", ["missing", "reconcile", "copies", "keys", "complete"])
 def test_hot_groups_are_reduced_before_the_shuffle(spark, build):
     hot = hot_records(spark)

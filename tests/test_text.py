@@ -53,7 +53,7 @@ def test_readable_text(spark, page, text):
 def test_broken_documents_neither_overflow_nor_hang(spark):
     pages = [
         piece * 100_000
-        for piece in ("<a ", "<", "<script>", "<!--", "&", "&#", "</script", "<a href=", '<a href="', "<title", "a = 1 ")
+        for piece in ("<a ", "<", "<script>", "<!--", "&", "&#", "</script", "<a href=", '<a href="', "<title", "<html ", "a = 1 ")
     ]
     assert len(run(spark, pages, readable_text)) == len(pages)
     docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string").withColumn("url", F.lit("https://h.example/"))
