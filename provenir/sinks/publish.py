@@ -37,7 +37,9 @@ CSV_FORMAT = {
 }
 
 
-def organise_by_round(df: DataFrame, path: str, by: str = "round", mode: str = "error", even_files: bool = False) -> DataFrame:
+def organise_by_round(
+    df: DataFrame, path: str, by: str = "round", mode: str = "error", even_files: bool = False
+) -> DataFrame:
     """Write one folder per round; reading a round opens its folder only.
 
     By default each task writes its own rows and nothing is shuffled. With
@@ -46,7 +48,8 @@ def organise_by_round(df: DataFrame, path: str, by: str = "round", mode: str = "
     by size, so it never becomes the work of one.
     """
     rows = df.hint("rebalance", by) if even_files else df
-    rows.write.mode(mode).partitionBy(by).parquet(path)
+    # Overwriting means the whole table, whatever the session says.
+    rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(by).parquet(path)
     fields = [f for f in df.schema.fields if f.name != by]
     stored = T.StructType([*fields, df.schema[by]])
     return df.sparkSession.read.schema(stored).parquet(path).select(*df.columns)
