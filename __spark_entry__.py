@@ -185,6 +185,21 @@ def reconcile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pv.reconcile(official, extracted, ["doc_id"], "n_chars")
 
 
+def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As above, field by field, with a wrong language now and then.
+    docs = _documents(spark, sf_dir)
+    doc_id, fields = F.col("doc_id"), ["lang", "source", "n_chars"]
+    official = docs.where(doc_id % 13 != 0)
+    faults = {
+        "lang": F.when(doc_id % 19 == 0, F.lit("xx")).otherwise(F.col("lang")),
+        "n_chars": F.when(doc_id % 17 != 0, F.col("n_chars")),
+    }
+    extracted = docs.where(doc_id % 7 != 0).withColumns(faults)
+    sides = [pv.long_fields(side, ["doc_id"], fields) for side in (official, extracted)]
+    compared = pv.reconcile(*sides, ["doc_id", "field"], "value")
+    return compared.drop("n_official", "n_extracted")
+
+
 def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pv.violation_counts(_validated(spark, sf_dir))
 
@@ -258,6 +273,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         missing_documents,
         completeness_by_round,
         reconcile_values,
+        reconcile_fields,
         violation_counts,
         status_by_round,
         field_coverage,
@@ -411,6 +427,21 @@ def oracle_sql() -> dict[str, str]:
               case when x.doc_id is null then 'not_extracted' when o.doc_id is null then 'not_in_official'
                 when o.n_chars is not distinct from x.n_chars then 'match' else 'mismatch' end as state
             from o full outer join x on o.doc_id = x.doc_id""",
+        "reconcile_fields": """with o as (
+              select doc_id, 'lang' as field, lang as value from documents where doc_id % 13 <> 0
+              union all select doc_id, 'source', source from documents where doc_id % 13 <> 0
+              union all select doc_id, 'n_chars', cast(n_chars as varchar) from documents where doc_id % 13 <> 0),
+            x as (
+              select doc_id, 'lang' as field, case when doc_id % 19 = 0 then 'xx' else lang end as value
+              from documents where doc_id % 7 <> 0
+              union all select doc_id, 'source', source from documents where doc_id % 7 <> 0
+              union all select doc_id, 'n_chars', case when doc_id % 17 <> 0 then cast(n_chars as varchar) end
+              from documents where doc_id % 7 <> 0)
+            select coalesce(o.doc_id, x.doc_id) as doc_id, coalesce(o.field, x.field) as field,
+              o.value as official, x.value as extracted,
+              case when x.doc_id is null then 'not_extracted' when o.doc_id is null then 'not_in_official'
+                when o.value is not distinct from x.value then 'match' else 'mismatch' end as state
+            from o full outer join x on o.doc_id = x.doc_id and o.field = x.field""",
         "violation_counts": f"""with v as (
               select unnest(string_split({violations}, ',')) as rule from documents)
             select rule, count(*) as n_records from v where rule <> '' group by rule""",

@@ -61,6 +61,7 @@ BROADCAST = ["verification_status", "attach_provenance", "analysis_view", "verif
 ONE_SHUFFLE = [
     "missing_documents",
     "reconcile_values",
+    "reconcile_fields",
     "violation_counts",
     "duplicate_keys",
     "duplicate_content",
