@@ -290,10 +290,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- the same in SQL -----------------------------------------------------------
 
 SQL_NOT_TEXT = (
-    r"script\b.*?(?:</script[^>]*(?:>|\z)|\z)"
-    r"|style\b.*?(?:</style[^>]*(?:>|\z)|\z)"
+    r"script(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    r"|style(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
     r"|!--.*?(?:-->|\z)"
 )
+SQL_INLINE_TAG = (
+    r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
+    r"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /][^>]*)?(?:>|\z)"
+)
 SQL_BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{3000}]+"
 
 
@@ -305,7 +309,7 @@ def _sql_decoded(text: str) -> str:
 
 
 def _sql_plain(text: str) -> str:
-    return f"trim(regexp_replace({text}, '{SQL_BLANKS}', ' ', 'g'))"
+    return f"trim(regexp_replace(replace({text}, chr(1), ''), '{SQL_BLANKS}', ' ', 'g'))"
 
 
 def _sql_escaped(text: str) -> str:
@@ -333,7 +337,7 @@ def _sql_html_row(*columns: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     round_of_lang = "case lang when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"
-    markup = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', ' ', 'g')"
+    markup = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', chr(1), 'g')"
     title_tag = f"regexp_extract({markup}, '(?i)<title[^<>]*>([^<]*)', 1)"
     title = f"nullif({_sql_plain(_sql_decoded(title_tag))}, '')"
     lang = f"""nullif(regexp_extract({markup}, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
@@ -341,7 +345,8 @@ def oracle_sql() -> dict[str, str]:
     url_no = "try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|\\z)', 1), '') as bigint)"
     query_value = "nullif(regexp_extract(url, '[?&][a-z_]+=([^&#]*)', 1), '')"
     query_no = f"try_cast({query_value} as int)"
-    body = _sql_plain(_sql_decoded(f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT}|[/!?a-z][^>]*(?:>|\\z))', ' ', 'g')"))
+    joined = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT}|{SQL_INLINE_TAG})', chr(1), 'g')"
+    body = _sql_plain(_sql_decoded(f"regexp_replace({joined}, '(?is)<[/!?a-z][^>]*(?:>|\\z)', ' ', 'g')"))
     violations = """concat_ws(',',
         case when not length(trim(text)) > 0 then 'has_text' end,
         case when not length(text) >= 100 then 'long_enough' end,

@@ -1,10 +1,12 @@
 """Markup, entities and numerals.
 
 The patterns keep to the subset that Java regular expressions and RE2 read the
-same way: no look-around, no back-references, ``\\z`` for the end of the text.
-Repetition is over single characters only, which Java matches in a loop. A
-repeated group would recurse once per repetition and could overflow the stack on
-one badly broken document.
+same way: no look-around, no back-references, ``\\z`` for the end of the text,
+and no ``\\b``, which takes more letters for letters in Java. Repetition is over
+single characters only, which Java matches in a loop. A repeated group would
+recurse once per repetition and could overflow the stack on one badly broken
+document. Whatever opens may also end at the end of the text, so that a search
+that finds no end is not made again from every opening.
 """
 
 from __future__ import annotations
@@ -17,12 +19,21 @@ from pyspark.sql import functions as F
 # Parts of a page that hold no readable text, after their "<". A
 # part left open by a truncated document runs to its end.
 NOT_TEXT = (
-    r"script\b.*?(?:</script[^>]*(?:>|\z)|\z)"
-    r"|style\b.*?(?:</style[^>]*(?:>|\z)|\z)"
+    r"script(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    r"|style(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
     r"|!--.*?(?:-->|\z)"
 )
+# The text-level elements of HTML. Their tags do not part words,
+# which matters where words are not written apart anyway.
+INLINE_TAG = (
+    r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
+    r"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /][^>]*)?(?:>|\z)"
+)
 # "<" starts a tag only before a letter, "/", "!" or "?", so "a < b" stays.
 TAG = r"[/!?a-z][^>]*(?:>|\z)"
+# Left where something without a width was cut out, until the tags are gone: the
+# text on its two sides must not grow together into a tag.
+SEAM = "\x01"
 # Blanks besides the ideographic space, which is replaced beforehand: a class
 # within Latin-1 matches a good deal faster.
 BLANKS = r"[\t-\r \x{A0}]+"
@@ -59,13 +70,14 @@ ASCII_NUMERALS = "0123456789.-+,"
 
 
 def collapse_blanks(text: Column) -> Column:
-    """One space for every run of blanks, none at either end."""
-    return F.trim(F.regexp_replace(F.replace(text, F.lit("　"), F.lit(" ")), BLANKS, " "))
+    """One space for every run of blanks, none at either end, and no seams."""
+    even = F.replace(F.replace(text, F.lit(SEAM), F.lit("")), F.lit("　"), F.lit(" "))
+    return F.trim(F.regexp_replace(even, BLANKS, " "))
 
 
 def drop_non_text(html: Column) -> Column:
     """Remove scripts, styles and comments; keep the tags."""
-    return F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT})", " ")
+    return F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT})", SEAM)
 
 
 def _code_point(name: Column) -> Column:
@@ -103,9 +115,13 @@ def decode_references(text: Column) -> Column:
 
 
 def readable_text(html: Column) -> Column:
-    """The text a reader sees: no markup, references decoded, single spaces."""
-    without_markup = F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT}|{TAG})", " ")
-    return collapse_blanks(decode_references(without_markup))
+    """The text a reader sees: no markup, references decoded, single spaces.
+
+    A tag parts words unless it is one of the text-level elements.
+    """
+    joined = F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT}|{INLINE_TAG})", SEAM)
+    parted = F.regexp_replace(joined, f"(?is)<{TAG}", " ")
+    return collapse_blanks(decode_references(parted))
 
 
 def plain_numeral(text: Column) -> Column:

@@ -30,10 +30,14 @@ def run(spark, values, function):
     ("page", "text"),
     [
         ("<p>a</p><p>b</p>", "a b"),
+        ("<p>日<b>本</B>語<br>a<!-- x -->b<span class='c'>c</span></p>", "日本語 abc"),
+        ("x <<b>y</b> z <abc>w", "x <y z w"),
+        ("a<scripty>b</scripty><a日>c", "a b c"),
+        ("a <!-- --> b <i> </i> c", "a b c"),
         ("a < b and c > d", "a < b and c > d"),
-        ("x<script>if (a<b) t='</p>';</script>y", "x y"),
-        ("x<SCRIPT type='a'>no</Script >y", "x y"),
-        ("x<style>p{}</style>y<!-- <p>no</p> -->z", "x y z"),
+        ("x <script>if (a<b) t='</p>';</script>y", "x y"),
+        ("x<SCRIPT type='a'>no</Script >y", "xy"),
+        ("x<style>p{}</style><p>y<!-- <p>no</p> -->z", "x yz"),
         ("kept<script>cut off in the middle", "kept"),
         ("kept<!-- cut off", "kept"),
         ('kept<a href="cut', "kept"),
@@ -53,7 +57,7 @@ def test_readable_text(spark, page, text):
 def test_broken_documents_neither_overflow_nor_hang(spark):
     pages = [
         piece * 100_000
-        for piece in ("<a ", "<", "<script>", "<!--", "&", "&#", "</script", "<a href=", '<a href="', "<title", "<html ", "a = 1 ")
+        for piece in ("<a ", "<", "<script>", "<!--", "&", "&#", "</script", "<a href=", '<a href="', "<title", "<html ", "<script ", "<style/", "a = 1 ")
     ]
     assert len(run(spark, pages, readable_text)) == len(pages)
     docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string").withColumn("url", F.lit("https://h.example/"))
