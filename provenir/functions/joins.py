@@ -8,23 +8,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 # A lookup within both bounds is sent to every task.
 SMALL_ROWS = 10_000
 SMALL_BYTES = 8 * 1024 * 1024
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` is within the bounds, found by reading no more than they allow.
+    """Whether ``df`` is within the bounds, found from the widths of its first rows.
 
-    This runs a job of one short stage. It is needed where Spark cannot know the
-    size of a table, such as one made from Python rows, and would shuffle the
-    large side to be safe.
+    This fetches at most one number more than ``SMALL_ROWS``. It is needed where
+    Spark cannot know the size of a table, such as one made from Python rows, and
+    would shuffle the large side to be safe.
     """
     widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
-    width = reduce(Column.__add__, widths).cast("bigint").alias("width")
-    seen = df.select(width).limit(SMALL_ROWS + 1).agg(F.count("width").alias("n"), F.sum("width").alias("b")).first()
-    return seen.n <= SMALL_ROWS and (seen.b or 0) <= SMALL_BYTES
+    first = df.select(reduce(Column.__add__, widths).cast("bigint").alias("width")).take(SMALL_ROWS + 1)
+    return len(first) <= SMALL_ROWS and sum(r.width for r in first) <= SMALL_BYTES
 
 
 def join_lookup(
@@ -57,6 +55,8 @@ def join_lookup(
     )
     same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
     if not (small or bucketed):
-        same &= F.xxhash64(*keys) == F.xxhash64(*[F.col(f"__{k}") for k in keys])
+        # Equal keys of different types, such as int and bigint, hash differently.
+        alike = [F.col(f"__{k}").try_cast(rows.schema[k].dataType) for k in keys]
+        same &= F.xxhash64(*keys) == F.xxhash64(*alike)
     joined = rows.join(F.broadcast(fact) if small else fact, same, "left")
     return joined.drop(*[f"__{k}" for k in keys])

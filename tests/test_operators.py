@@ -73,6 +73,20 @@ def test_status_keeps_every_record(spark):
     ]
 
 
+@pytest.mark.parametrize(("of_records", "of_checks"), [("long", "int"), ("int", "long"), ("string", "int"), ("decimal(9,2)", "short")])
+def test_keys_of_different_types_meet(spark, of_records, of_checks):
+    records = spark.range(50).select(F.col("id").cast(of_records).alias("doc_id"))
+    checks = spark.range(0, 50, 2).select(F.col("id").cast(of_checks).alias("doc_id"), F.lit(True).alias("passed"))
+    status = pv.verification_status(records, checks)
+    assert status.where("status = 'verified'").count() == 25
+    assert pv.missing_documents(records, checks, ["doc_id"]).count() == 25
+    states = pv.reconcile(records.withColumn("v", F.lit(1)), checks.withColumn("v", F.lit(1)), ["doc_id"], "v")
+    assert states.where("state = 'match'").count() == 25
+    sources = spark.createDataFrame([("A", [1, 2])], "source_page string, rounds array<int>")
+    sourced = pv.attach_provenance(records.withColumnRenamed("doc_id", "round"), sources)
+    assert sourced.where("source_page = 'A'").count() == 2
+
+
 def test_source_page_of_a_round_must_be_definite(spark):
     records = spark.createDataFrame([(1, 1), (2, 7), (3, None)], "doc_id int, round int")
     sources = spark.createDataFrame([("A", [1, 2]), ("A", [1])], "source_page string, rounds array<int>")
