@@ -42,6 +42,9 @@ def organise_by_round(
 ) -> DataFrame:
     """Write one folder per round; reading a round opens its folder only.
 
+    A null round has a folder of its own. Rounds are numbers: Spark reads the
+    folder of an empty text back as null.
+
     By default each task writes its own rows and nothing is shuffled. With
     ``even_files`` rows are first brought together by round, which costs a
     shuffle and gives fewer files; a large round is then split over many tasks

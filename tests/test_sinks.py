@@ -136,6 +136,11 @@ def test_a_round_opens_its_folder_only(spark, edge_rows, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").glob("round=*")) == [f"round={i}" for i in range(4)]
 
 
+def test_records_without_a_round_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), (2, "b"), (None, None)], "round int, t string")
+    assert same_rows(df, pv.organise_by_round(df, str(tmp_path / "out")))
+
+
 def test_even_files_split_a_large_round(spark, tmp_path):
     df = spark.range(0, 60_000, 1, 6).select(
         F.when(F.col("id") < 59_000, 1).otherwise(2).alias("round"), F.sha2(F.col("id").cast("string"), 256).alias("t")
