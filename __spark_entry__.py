@@ -21,6 +21,12 @@ from provenir.sinks.publish import html_row
 from provenir.sinks.scratch import scratch_path
 from provenir.sources import schemas
 
+try:  # the operators for training text may be absent
+    import corpus_pipeline
+    from provenir.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 LANG_ROUND = {"en": 1, "de": 2, "es": 3, "fr": 4}
 SOURCES = "source_page string, rounds array<int>"
 QUERY_VALUE = r"[?&][a-z_]+=([^&#]*)"
@@ -284,7 +290,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         build_records,
         verify_records,
     ]
-    return {query.__name__: query for query in wired}
+    found = {query.__name__: query for query in wired}
+    if llm_queries:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 # --- the same in SQL -----------------------------------------------------------
@@ -358,7 +367,7 @@ def oracle_sql() -> dict[str, str]:
         when l.quality = 1 and l.toxic = 0 then 'verified' else 'rejected' end"""
     stored = f"""select doc_id, {round_of_lang} as round, lang, source, n_chars, md5(text) as text_md5
         from documents"""
-    return {
+    sql = {
         "scan_documents": """select page_id as doc_id, url, cast(strlen(html) as bigint) as n_bytes,
             cast(length(html) as bigint) as n_chars,
             nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') as host,
@@ -489,3 +498,8 @@ def oracle_sql() -> dict[str, str]:
               {status} as status
             from documents d left join labels l on l.doc_id = d.doc_id""",
     }
+    if llm_queries:
+        sql |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
