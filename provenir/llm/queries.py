@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, near_dedup, suffix_dedup
+from provenir.llm import bpe, decontaminate, near_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,27 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark"), width=10)
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    items = F.array_join(F.array_sort(F.col("hits.items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "hits.n_words",
+        n_hit.alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op3_suffix_dedup, op9_minhash_near_dedup]
+    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op9_minhash_near_dedup]
     return {query.__name__: query for query in wired}
 
 
