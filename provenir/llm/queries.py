@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, near_dedup, suffix_dedup
+from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup
+from provenir.llm.common import crc_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +54,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 3) == 1
+    model = language.train(docs, trainable=~held_out)
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op9_minhash_near_dedup]
+    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op6_language_id, op9_minhash_near_dedup]
     return {query.__name__: query for query in wired}
 
 
