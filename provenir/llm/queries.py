@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup
+from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup, topk
 from provenir.llm.common import crc_bucket
 
 
@@ -71,10 +71,33 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op6_language_id, op9_minhash_near_dedup]
+    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op6_language_id, op9_minhash_near_dedup, op10_exact_top_k]
     return {query.__name__: query for query in wired}
 
 
+OP10_SQL = """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
+  from vectors q join vectors c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+  where q.vec_id % 50 = 0),
+ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank,
+    vec_id, score
+  from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_top_k": OP10_SQL}
