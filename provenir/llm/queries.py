@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup, topk
+from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup, topk, toxicity, url_filter
 from provenir.llm.common import crc_bucket
 
 
@@ -39,6 +39,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.UrlRule("net", "/", "block"),
+    url_filter.UrlRule("example.net", "/en/", "allow"),
+    url_filter.UrlRule("example.com", "/de/", "block"),
+    url_filter.UrlRule("org", "/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark"), width=10)
@@ -67,6 +79,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), trainable=~held_out)
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
@@ -77,7 +102,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op3_suffix_dedup, op5_decontaminate, op6_language_id, op9_minhash_near_dedup, op10_exact_top_k]
+    wired = [op1_bpe_round_trip, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op9_minhash_near_dedup, op10_exact_top_k]
     return {query.__name__: query for query in wired}
 
 
