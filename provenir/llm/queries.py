@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, language, near_dedup, suffix_dedup, topk, toxicity, url_filter
+from provenir.llm import bpe, decontaminate, language, licenses, near_dedup, suffix_dedup, topk, toxicity, url_filter
 from provenir.llm.common import crc_bucket
 
 
@@ -28,6 +28,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentences", "rules", "licenses")))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), threshold=50)
     return found.select(
@@ -102,7 +107,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op9_minhash_near_dedup, op10_exact_top_k]
+    wired = [op1_bpe_round_trip, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op9_minhash_near_dedup, op10_exact_top_k]
     return {query.__name__: query for query in wired}
 
 
@@ -124,5 +129,29 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def _op2_sql() -> str:
+    """The notice lines that the tables hold, each its own sentence."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
+    rules = ", ".join(f"('{r.name}', '{r.license}', '|{'|'.join(r.sentences)}|')" for r in licenses.RULES)
+    return f"""with known(id, sentence) as (values {known}),
+      rule(name, license, ids) as (values {rules}),
+      parts as (
+        select doc_id, generate_subscripts(p, 1) as pos, trim(unnest(p)) as sentence
+        from (select doc_id, regexp_split_to_array(regexp_replace(regexp_replace({lower},
+            '{licenses.SENTENCE_END}', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), '\n+') as p
+          from documents)),
+      found as (
+        select doc_id, string_agg(id, '|' order by pos) as ids
+        from parts join known on known.sentence = parts.sentence group by doc_id),
+      matched as (
+        select doc_id, string_agg(name, ',' order by name) as rules,
+          string_agg(distinct license, ',' order by license) as licenses
+        from found join rule on contains('|' || found.ids || '|', rule.ids) group by doc_id)
+      select d.doc_id, coalesce(replace(f.ids, '|', ','), '') as sentences,
+        coalesce(m.rules, '') as rules, coalesce(m.licenses, '') as licenses
+      from documents d left join found f on f.doc_id = d.doc_id left join matched m on m.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_top_k": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op10_exact_top_k": OP10_SQL}
