@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, language, licenses, near_dedup, suffix_dedup, topk, toxicity, url_filter
+from provenir.llm import bpe, decontaminate, language, licenses, near_dedup, suffix_dedup, topk, toxicity, url_filter, warc
 from provenir.llm.common import crc_bucket
 
 
@@ -97,6 +97,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_of(_table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    return warc.derive(responses)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
@@ -107,7 +112,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op9_minhash_near_dedup, op10_exact_top_k]
+    wired = [op1_bpe_round_trip, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op8_warc_derivatives, op9_minhash_near_dedup, op10_exact_top_k]
     return {query.__name__: query for query in wired}
 
 
