@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm.common import chunks, mix64, random_words, text_bytes
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18
 _U64 = np.uint64
 
@@ -125,7 +125,8 @@ class _Block:
         new = np.flatnonzero(np.r_[True, (np.diff(place) != 0) | (np.diff(owner) != 0)])
         last = np.r_[new[1:], len(window)] - 1
         base = starts[owner[new]] - shift
-        return owner[new] + doc, place[new] - base, window[new] - base, window[last] - base, hashed[place[new]]
+        # Chosen digits have small hashes; mixed once more, they fill all buckets alike.
+        return owner[new] + doc, place[new] - base, window[new] - base, window[last] - base, mix64(~hashed[place[new]])
 
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct digits in order, whether two own documents have it, and each run's."""
@@ -285,7 +286,7 @@ def _judge_spans(packets: pa.Table, threshold: int) -> pa.Table:
     )
 
 
-def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kept: list[str]) -> pa.Table:
+def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kept: list[str], as_text: bool) -> pa.Table:
     block = _block_of(block_rows, threshold)
     kinds = replies.column("kind").to_pylist()
     by_kind: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
@@ -320,11 +321,13 @@ def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kep
     rest = []
     for text, cut in zip(block.texts, spans, strict=True):
         edges = [0, *(x for span in cut for x in span), len(text)]
-        rest.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else text)
+        pieces = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        # Each piece by itself, or parts of two characters could make a third.
+        rest.append("".join(p.decode("utf-8", "ignore") for p in pieces) if as_text else b"".join(pieces))
     sources = block_rows.take(pa.array(block.order))
     out = {c: sources.column(c) for c in ["doc_id", *kept]}
     out["n_bytes"] = pa.array([len(t) for t in block.texts], pa.int64())
-    out["kept"] = pa.array(rest, pa.binary())
+    out["kept"] = pa.array(rest, pa.string() if as_text else pa.binary())
     out["removed"] = pa.array(
         [[{"begin": a, "end": b} for a, b in cut] for cut in spans],
         pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64()})),
@@ -338,12 +341,14 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    as_text: bool = False,
 ) -> DataFrame:
     """``doc_id, n_bytes, kept binary, removed array<begin, end>`` and the columns of ``keep``.
 
     Every byte covered by a string of ``threshold`` bytes that also starts in a
     document with a smaller id goes; ``kept`` is the rest and ``removed`` the maximal
-    runs. Strings are judged on the input and do not cross documents.
+    runs. Strings are judged on the input and do not cross documents. ``as_text`` makes
+    ``kept`` a string, without the characters of which a byte goes.
 
     Null and empty texts, and texts shorter than ``threshold``, lose nothing. Rows of
     one id count as one document, so they take nothing from each other. A null id
@@ -377,8 +382,8 @@ def remove_repeats(
         dealt.groupBy("block")
         .cogroup(flags.unionByName(verdicts).groupBy("block"))
         .applyInArrow(
-            lambda t, r: _remove(t, r, threshold, n, kept),
-            schema + "n_bytes long, kept binary, removed array<struct<begin: bigint, end: bigint>>",
+            lambda t, r: _remove(t, r, threshold, n, kept, as_text),
+            schema + f"n_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<begin: bigint, end: bigint>>",
         )
     )
     return out.select("doc_id", *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), "n_bytes", "kept", "removed")
