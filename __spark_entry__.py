@@ -9,16 +9,16 @@ is 0. See FIXTURES.md.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import provenir as pv
+from provenir.functions.text import INSIDE
 from provenir.plans.records import PAGE_FIELDS, with_markup
 from provenir.sinks.publish import html_row
-from provenir.sinks.scratch import scratch_path
+from provenir.sinks.scratch import new_scratch_path
 from provenir.sources import schemas
 
 try:  # the operators for training text may be absent
@@ -58,8 +58,8 @@ def _sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("A", [1, 2]), ("B", [3, 4])], SOURCES)
 
 
-def _table_path(spark: SparkSession, query: str, sf_dir: str) -> str:
-    return scratch_path(spark, query, PurePosixPath(sf_dir).name)
+def _url_round(url: Column) -> Column:
+    return _round_of(F.regexp_extract(url, r"^[a-z]+://[^/]*/([a-z]{2})/", 1))
 
 
 def _rules() -> list[pv.Rule]:
@@ -129,33 +129,32 @@ def verification_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lang = F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1)
-    records = _pages(spark, sf_dir).select("doc_id", "url", _round_of(lang).alias("round"))
+    records = _pages(spark, sf_dir).select("doc_id", "url", _url_round(F.col("url")).alias("round"))
     return pv.attach_provenance(records, _sources(spark))
 
 
 def organise_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _table_path(spark, "organise_by_round", sf_dir)
-    stored = pv.organise_by_round(_documents(spark, sf_dir), path, mode="overwrite")
+    path = new_scratch_path(spark, "organise_by_round")
+    stored = pv.organise_by_round(_documents(spark, sf_dir), path)
     return stored.select("doc_id", "round", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _table_path(spark, "write_csv", sf_dir)
-    stored = pv.write_csv(_documents(spark, sf_dir), path, mode="overwrite")
+    path = new_scratch_path(spark, "write_csv")
+    stored = pv.write_csv(_documents(spark, sf_dir), path)
     return stored.select("doc_id", "round", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def write_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _table_path(spark, "write_jsonl", sf_dir)
-    stored = pv.write_jsonl(_documents(spark, sf_dir), path, mode="overwrite")
+    path = new_scratch_path(spark, "write_jsonl")
+    stored = pv.write_jsonl(_documents(spark, sf_dir), path)
     return stored.select("doc_id", "round", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def write_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _table_path(spark, "write_html", sf_dir)
+    path = new_scratch_path(spark, "write_html")
     records = _documents(spark, sf_dir).select("doc_id", "round", "lang", "text")
-    stored = pv.write_html(records, path, mode="overwrite")
+    stored = pv.write_html(records, path)
     doc_id = F.regexp_extract("row", r"^<tr><td>([0-9]+)</td>", 1).cast("bigint")
     return stored.select(doc_id.alias("doc_id"), F.md5("row").alias("row_md5"))
 
@@ -175,35 +174,42 @@ def missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pv.missing_documents(pages, pages.where("closed"))
 
 
+def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages link to and no page is recorded for."""
+    pages = _pages(spark, sf_dir)
+    listed = pv.listing_links(pages).select(F.col("link").alias("url"))
+    return pv.missing_documents(listed, pages)
+
+
 def completeness_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Round 5 has no document, and no table holds exactly 300 of round 2.
-    expected = spark.createDataFrame([(1, 620), (2, 300), (3, 106), (4, 145), (5, 10)], "round int, expected bigint")
-    return pv.completeness(expected, _documents(spark, sf_dir))
+    """How many of the documents of each round somebody has checked."""
+    docs = _documents(spark, sf_dir)
+    expected = docs.groupBy("round").agg(F.count(F.lit(1)).alias("expected"))
+    checked = docs.join(_checks(spark, sf_dir), "doc_id", "left_semi")
+    return pv.completeness(expected, checked)
+
+
+def _cents(amount: str) -> Column:
+    return F.col(amount).cast("decimal(18,2)")
 
 
 def reconcile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The tables agree with themselves, so faults are put in. See FIXTURES.md.
-    docs = _documents(spark, sf_dir)
-    doc_id, n_chars = F.col("doc_id"), F.col("n_chars")
-    official = docs.where(doc_id % 13 != 0).select("doc_id", "n_chars")
-    faulty = F.when(doc_id % 17 != 0, F.when(doc_id % 11 == 0, n_chars + 1).otherwise(n_chars))
-    extracted = docs.where(doc_id % 7 != 0).select("doc_id", faulty.alias("n_chars"))
-    return pv.reconcile(official, extracted, ["doc_id"], "n_chars")
+    """The total of every order against what its lines add up to."""
+    orders = schemas.read_table(spark, f"{sf_dir}/orders.parquet", schemas.ORDERS)
+    lines = schemas.read_table(spark, f"{sf_dir}/lineitem.parquet", schemas.ORDER_LINES)
+    official = orders.select(F.col("o_orderkey").alias("order_id"), (_cents("o_totalprice") * 100).cast("bigint").alias("cents"))
+    extracted = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        (F.sum(_cents("l_extendedprice")) * 100).cast("bigint").alias("cents")
+    )
+    return pv.reconcile(official, extracted, ["order_id"], "cents")
 
 
 def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As above, field by field, with a wrong language now and then.
-    docs = _documents(spark, sf_dir)
-    doc_id, fields = F.col("doc_id"), ["lang", "source", "n_chars"]
-    official = docs.where(doc_id % 13 != 0)
-    faults = {
-        "lang": F.when(doc_id % 19 == 0, F.lit("xx")).otherwise(F.col("lang")),
-        "n_chars": F.when(doc_id % 17 != 0, F.col("n_chars")),
-    }
-    extracted = docs.where(doc_id % 7 != 0).withColumns(faults)
-    sides = [pv.long_fields(side, ["doc_id"], fields) for side in (official, extracted)]
-    compared = pv.reconcile(*sides, ["doc_id", "field"], "value")
-    return compared.drop("n_official", "n_extracted")
+    """Pages against documents of the same number, all of both, field by field."""
+    pages = _pages(spark, sf_dir)
+    lang = F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1), F.lit(""))
+    official = pages.select("doc_id", lang.alias("lang"), "n_chars")
+    return pv.reconcile_fields(official, _documents(spark, sf_dir), ["doc_id"], ["lang", "n_chars"])
 
 
 def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +262,22 @@ def verify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified.select("doc_id", "round", F.array_join("violations", ",").alias("violations"), "status")
 
 
+def published_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: pages to records with URL, source page and state, published and read back."""
+    records = pv.build_records(_pages(spark, sf_dir), _url_round(F.col("url")))
+    sourced = pv.attach_provenance(records, _sources(spark))
+    checked = pv.verification_status(sourced, _checks(spark, sf_dir))
+    stored = pv.write_jsonl(checked, new_scratch_path(spark, "published_records"))
+    return stored.select("doc_id", "round", "url", "title", "source_page", "status", F.md5("body_text").alias("body_md5"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Every record with its source page and its verification state."""
     return analysis_view(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All but the operators for training text."""
     wired = [
         scan_documents,
         extract_values,
@@ -277,6 +293,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         html_rows,
         listing_links,
         missing_documents,
+        missing_links,
         completeness_by_round,
         reconcile_values,
         reconcile_fields,
@@ -289,8 +306,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         long_fields,
         build_records,
         verify_records,
+        published_records,
     ]
-    found = {query.__name__: query for query in wired}
+    return {query.__name__: query for query in wired}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = library_queries()
     if llm_queries:
         found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
     return found
@@ -298,14 +320,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # --- the same in SQL -----------------------------------------------------------
 
+# RE2 has no possessive repetition; a plain one means the same here.
+SQL_INSIDE = INSIDE.replace("*+", "*").replace("'", "''")
 SQL_NOT_TEXT = (
-    r"script(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    r"|style(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    rf"script(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    rf"|style(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
     r"|!--.*?(?:-->|\z)"
 )
 SQL_INLINE_TAG = (
     r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
-    r"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /][^>]*)?(?:>|\z)"
+    rf"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z)"
 )
 SQL_BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{3000}]+"
 
@@ -347,15 +371,15 @@ def _sql_html_row(*columns: str) -> str:
 def oracle_sql() -> dict[str, str]:
     round_of_lang = "case lang when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"
     markup = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT})', chr(1), 'g')"
-    title_tag = f"regexp_extract({markup}, '(?i)<title[^<>]*>([^<]*)', 1)"
+    title_tag = f"regexp_extract({markup}, '(?is)<title(?:[\\t\\n\\f\\r /]{SQL_INSIDE})?>(.*?)(?:</title|\\z)', 1)"
     title = f"nullif({_sql_plain(_sql_decoded(title_tag))}, '')"
-    lang = f"""nullif(regexp_extract({markup}, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z-]+)', 1), '')"""
+    lang = f"""nullif(regexp_extract({markup}, '(?i)<html\\s(?:[^<>]*?\\s)?lang\\s*=\\s*["'']?([A-Za-z0-9-]+)', 1), '')"""
     n_sections = f"cast(len(regexp_extract_all({markup}, '(?i)<p[\\s>]')) as bigint)"
-    url_no = "try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|\\z)', 1), '') as bigint)"
+    url_no = "try_cast(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/([0-9]+)(?:[/.]|\\z)', 1), '') as bigint)"
     query_value = "nullif(regexp_extract(url, '[?&][a-z_]+=([^&#]*)', 1), '')"
     query_no = f"try_cast({query_value} as int)"
     joined = f"regexp_replace(html, '(?is)<(?:{SQL_NOT_TEXT}|{SQL_INLINE_TAG})', chr(1), 'g')"
-    body = _sql_plain(_sql_decoded(f"regexp_replace({joined}, '(?is)<[/!?a-z][^>]*(?:>|\\z)', ' ', 'g')"))
+    body = _sql_plain(_sql_decoded(f"regexp_replace({joined}, '(?is)<[/!?a-z]{SQL_INSIDE}(?:>|\\z)', ' ', 'g')"))
     violations = """concat_ws(',',
         case when not length(trim(text)) > 0 then 'has_text' end,
         case when not length(text) >= 100 then 'long_enough' end,
@@ -365,13 +389,27 @@ def oracle_sql() -> dict[str, str]:
         case when lang not in ('en', 'de', 'es') then 'lang_listed' end)"""
     status = """case when l.doc_id is null then 'unverified'
         when l.quality = 1 and l.toxic = 0 then 'verified' else 'rejected' end"""
+    # The tables hold no base, no area, and links that start with a slash or a scheme.
+    links = f"""with tags as (
+          select page_id, url,
+            regexp_extract_all({markup}, '(?i)<a[\\t\\n\\f\\r /]{SQL_INSIDE}') as tags
+          from pages),
+        hrefs as (
+          select page_id, url, list_filter(list_transform(tags,
+            lambda t: regexp_extract(t, '(?i)[\\s/"'']href\\s*=\\s*"([^"]*)"', 1)), lambda h: h <> '') as hrefs
+          from tags)
+        select page_id as doc_id, cast(unnest(range(len(hrefs))) as int) as pos,
+          regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {_sql_decoded('unnest(hrefs)')} as link
+        from hrefs"""
+    url_round = """case regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/', 1)
+        when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"""
     stored = f"""select doc_id, {round_of_lang} as round, lang, source, n_chars, md5(text) as text_md5
         from documents"""
     sql = {
         "scan_documents": """select page_id as doc_id, url, cast(strlen(html) as bigint) as n_bytes,
             cast(length(html) as bigint) as n_chars,
             nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') as host,
-            contains(html, '</html>') as closed
+            regexp_matches(html, '(?i)</html[\\s/>]') as closed
             from pages""",
         "extract_values": f"""select page_id as doc_id, {title} as title, {lang} as lang,
             {n_sections} as n_sections, {url_no} as url_no, {query_no} as query_no,
@@ -409,50 +447,48 @@ def oracle_sql() -> dict[str, str]:
             cast(length({_sql_html_row('page_id', 'url', 'html')}) as bigint) as n_chars,
             md5({_sql_html_row('page_id', 'url', 'html')}) as row_md5
             from pages""",
-        "listing_links": f"""with found as (
-              select page_id, url,
-                regexp_extract_all({markup},
-                  '(?i)<a\\s(?:[^<>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) as links
-              from pages)
-            select page_id as doc_id, cast(unnest(range(len(links))) as int) as pos,
-              regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)
-                || {_sql_decoded('unnest(links)')} as link
-            from found""",
+        "listing_links": links,
+        "missing_links": f"""with l as ({links})
+            select link as url, count(*) as n_listed from l
+            where not exists (select 1 from pages r where r.url = l.link) group by link""",
         "missing_documents": """select url, count(*) as n_listed from pages p
             where not exists (
-              select 1 from pages r where r.url = p.url and contains(r.html, '</html>'))
+              select 1 from pages r where r.url = p.url and regexp_matches(r.html, '(?i)</html[\\s/>]'))
             group by url""",
-        "completeness_by_round": f"""with e(round, expected) as (
-              values (1, 620), (2, 300), (3, 106), (4, 145), (5, 10)),
-            f as (select {round_of_lang} as round, count(*) as n from documents group by 1)
-            select e.round, cast(e.expected as bigint) as expected,
-              cast(coalesce(f.n, 0) as bigint) as found,
+        "completeness_by_round": f"""with e as (select {round_of_lang} as round, count(*) as expected from documents group by 1),
+            f as (
+              select {round_of_lang} as round, count(*) as n from documents
+              where doc_id in (select doc_id from labels) group by 1)
+            select e.round, e.expected, cast(coalesce(f.n, 0) as bigint) as found,
               case when coalesce(f.n, 0) = e.expected then 'complete'
                 when coalesce(f.n, 0) < e.expected then 'short' else 'over' end as state
             from e left join f on f.round = e.round""",
-        "reconcile_values": """with o as (select doc_id, n_chars from documents where doc_id % 13 <> 0),
+        "reconcile_values": """with o as (
+              select o_orderkey as order_id, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as cents from orders),
             x as (
-              select doc_id, case when doc_id % 17 = 0 then null
-                when doc_id % 11 = 0 then n_chars + 1 else n_chars end as n_chars
-              from documents where doc_id % 7 <> 0)
-            select coalesce(o.doc_id, x.doc_id) as doc_id, o.n_chars as official, x.n_chars as extracted,
-              cast(o.doc_id is not null as bigint) as n_official,
-              cast(x.doc_id is not null as bigint) as n_extracted,
-              case when x.doc_id is null then 'not_extracted' when o.doc_id is null then 'not_in_official'
-                when o.n_chars is not distinct from x.n_chars then 'match' else 'mismatch' end as state
-            from o full outer join x on o.doc_id = x.doc_id""",
-        "reconcile_fields": """with o as (
-              select doc_id, 'lang' as field, lang as value from documents where doc_id % 13 <> 0
-              union all select doc_id, 'source', source from documents where doc_id % 13 <> 0
-              union all select doc_id, 'n_chars', cast(n_chars as varchar) from documents where doc_id % 13 <> 0),
+              select l_orderkey as order_id, cast(sum(cast(l_extendedprice as decimal(18,2))) * 100 as bigint) as cents
+              from lineitem group by 1)
+            select coalesce(o.order_id, x.order_id) as order_id, o.cents as official, x.cents as extracted,
+              cast(null as bigint) as official_other, cast(null as bigint) as extracted_other,
+              cast(o.order_id is not null as bigint) as n_official,
+              cast(x.order_id is not null as bigint) as n_extracted,
+              case when x.order_id is null then 'not_extracted' when o.order_id is null then 'not_in_official'
+                when o.cents is not distinct from x.cents then 'match' else 'mismatch' end as state
+            from o full outer join x on o.order_id = x.order_id""",
+        "reconcile_fields": """with p as (
+              select page_id as doc_id, nullif(regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/', 1), '') as lang,
+                cast(length(html) as bigint) as n_chars from pages),
+            o as (
+              select doc_id, 'lang' as field, lang as value from p
+              union all select doc_id, 'n_chars', cast(n_chars as varchar) from p),
             x as (
-              select doc_id, 'lang' as field, case when doc_id % 19 = 0 then 'xx' else lang end as value
-              from documents where doc_id % 7 <> 0
-              union all select doc_id, 'source', source from documents where doc_id % 7 <> 0
-              union all select doc_id, 'n_chars', case when doc_id % 17 <> 0 then cast(n_chars as varchar) end
-              from documents where doc_id % 7 <> 0)
+              select doc_id, 'lang' as field, lang as value from documents
+              union all select doc_id, 'n_chars', cast(n_chars as varchar) from documents)
             select coalesce(o.doc_id, x.doc_id) as doc_id, coalesce(o.field, x.field) as field,
               o.value as official, x.value as extracted,
+              cast(null as varchar) as official_other, cast(null as varchar) as extracted_other,
+              cast(o.doc_id is not null as bigint) as n_official,
+              cast(x.doc_id is not null as bigint) as n_extracted,
               case when x.doc_id is null then 'not_extracted' when o.doc_id is null then 'not_in_official'
                 when o.value is not distinct from x.value then 'match' else 'mismatch' end as state
             from o full outer join x on o.doc_id = x.doc_id and o.field = x.field""",
@@ -497,6 +533,12 @@ def oracle_sql() -> dict[str, str]:
         "verify_records": f"""select d.doc_id, {round_of_lang} as round, {violations} as violations,
               {status} as status
             from documents d left join labels l on l.doc_id = d.doc_id""",
+        "published_records": f"""with r as (
+              select page_id as doc_id, {url_round} as round, url, {title} as title, md5({body}) as body_md5 from pages)
+            select r.doc_id, round, url, title,
+              case when round in (1, 2) then 'A' when round in (3, 4) then 'B' end as source_page,
+              {status} as status, body_md5
+            from r left join labels l on l.doc_id = r.doc_id""",
     }
     if llm_queries:
         sql |= llm_queries.oracle_sql()

@@ -1,7 +1,10 @@
 """Checked, sourced tables from published documents, as Spark DataFrames.
 
 Every public function takes DataFrames or Columns and returns them. Nothing runs
-until the caller acts on the result, except the ``write_*`` functions.
+until the caller acts on the result, except for the ``write_*`` functions and
+``organise_by_round``, which write; ``attach_provenance``, ``analysis_view`` and
+``missing_documents``, which look at up to 10,001 rows of the smaller side to see
+whether it can be broadcast; and ``scan_documents``, which reads the file's schema.
 """
 
 from provenir.operators.extract import Field, extract_text, extract_values
@@ -19,6 +22,7 @@ from provenir.operators.validate import (
     duplicate_keys,
     field_coverage,
     reconcile,
+    reconcile_fields,
     validate,
     violation_counts,
 )
@@ -53,6 +57,7 @@ __all__ = [
     "missing_documents",
     "organise_by_round",
     "reconcile",
+    "reconcile_fields",
     "scan_documents",
     "scan_files",
     "status_by_round",

@@ -1,68 +1,59 @@
 """Markup, entities and numerals.
 
-The patterns keep to the subset that Java regular expressions and RE2 read the
-same way: no look-around, no back-references, ``\\z`` for the end of the text,
-and no ``\\b``, which takes more letters for letters in Java. Repetition is over
-single characters only, which Java matches in a loop. A repeated group would
-recurse once per repetition and could overflow the stack on one badly broken
-document. Whatever opens may also end at the end of the text, so that a search
-that finds no end is not made again from every opening.
+The patterns keep to what Java regular expressions and RE2 read the same way, but
+for the possessive ``*+``: no look-around, no back-references, ``\\z`` for the end of
+the text, and no ``\\b``, which takes more letters for letters in Java. Repetition is
+over single characters or possessive, which Java matches in a loop. Another repeated
+group would recurse once per repetition and could overflow the stack on one badly
+broken document. RE2 has no ``*+``; there ``*`` means the same, since the alternatives
+of each such group start with different characters. Whatever opens may also end at the
+end of the text, so that a search that finds no end is not made again from every
+opening.
 """
 
 from __future__ import annotations
 
+import html as markup_names
 import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The inside of a tag: a ">" in a quoted value does not end it. Quotes count after "="
+# only; elsewhere they are letters like others.
+INSIDE = r"""(?:[^>"'=]|["']|=[\t\n\f\r ]*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))?)*+"""
 # Parts of a page that hold no readable text, after their "<". A
 # part left open by a truncated document runs to its end.
 NOT_TEXT = (
-    r"script(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    r"|style(?:[\t\n\f\r /][^>]*)?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    rf"script(?:[\t\n\f\r /]{INSIDE})?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+    rf"|style(?:[\t\n\f\r /]{INSIDE})?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
     r"|!--.*?(?:-->|\z)"
 )
 # The text-level elements of HTML. Their tags do not part words,
 # which matters where words are not written apart anyway.
 INLINE_TAG = (
     r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
-    r"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /][^>]*)?(?:>|\z)"
+    rf"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /]{INSIDE})?(?:>|\z)"
 )
 # "<" starts a tag only before a letter, "/", "!" or "?", so "a < b" stays.
-TAG = r"[/!?a-z][^>]*(?:>|\z)"
+TAG = rf"[/!?a-z]{INSIDE}(?:>|\z)"
 # Left where something without a width was cut out, until the tags are gone: the
 # text on its two sides must not grow together into a tag.
 SEAM = "\x01"
 # Blanks besides the ideographic space, which is replaced beforehand: a class
 # within Latin-1 matches a good deal faster.
 BLANKS = r"[\t-\r \x{A0}]+"
-REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
-
-# Named character references of HTML.
-NAMED_REFERENCES = {
-    "amp": "&",
-    "apos": "'",
-    "copy": "©",
-    "gt": ">",
-    "hellip": "…",
-    "laquo": "«",
-    "ldquo": "“",
-    "lsquo": "‘",
-    "lt": "<",
-    "mdash": "—",
-    "middot": "·",
-    "nbsp": " ",
-    "ndash": "–",
-    "quot": '"',
-    "raquo": "»",
-    "rdquo": "”",
-    "reg": "®",
-    "rsquo": "’",
-    "times": "×",
-    "trade": "™",
-    "yen": "¥",
-}
+# A number, or a name closed by ";". Of the names, those that HTML reads without ";" too
+# are looked for at the start of what is left, the longest first.
+NUMERIC = r"^#([0-9]+|[xX][0-9A-Fa-f]+);?"
+NAMED = r"^([A-Za-z][A-Za-z0-9]{1,31};)"
+UNCLOSED = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+
+# Maps of names by their first letter, from "A" on: a map is searched from its start.
+_NAMES_BY_LETTER = [{n: c for n, c in html5.items() if ord(n[0]) == letter} for letter in range(65, 123)]
+# The numbers 128 to 159 mean characters of another code page.
+_MOVED = {str(n): markup_names.unescape(f"&#{n};") for n in range(128, 160)}
 
 # Full-width forms used in Japanese documents, and their ASCII.
 WIDE_NUMERALS = "０１２３４５６７８９．－＋，"
@@ -80,38 +71,70 @@ def drop_non_text(html: Column) -> Column:
     return F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT})", SEAM)
 
 
-def _code_point(name: Column) -> Column:
-    decimal = F.regexp_extract(name, r"^#([0-9]+)$", 1).try_cast("int")
-    hexadecimal = F.conv(F.regexp_extract(name, r"^#[xX]0*([0-9A-Fa-f]+)$", 1), 16, 10).try_cast("int")
-    return F.coalesce(decimal, hexadecimal)
+def _code_point(digits: Column) -> Column:
+    """The number of a reference; past the last code point for one that is too large."""
+    hexadecimal = F.regexp_extract(digits, r"^[xX]0*([0-9A-Fa-f]{1,7})$", 1)
+    point = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(F.regexp_extract(digits, r"^0*([0-9]{1,7})$", 1))
+    zero = digits.rlike("^[xX]?0+$")
+    return F.when(zero, F.lit(0)).otherwise(F.coalesce(point.try_cast("int"), F.lit(0x110000)))
 
 
 def _character(point: Column) -> Column:
-    # Surrogates, zero and numbers past the last code point are no characters.
-    valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    """What a number stands for in HTML: U+FFFD if it is none, nothing for controls."""
+    moved = F.from_json(F.lit(json.dumps(_MOVED)), "map<string,string>")
+    nothing = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF)
+    return (
+        F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd"))
+        .when(point.between(128, 159), F.try_element_at(moved, point.cast("string")))
+        .when(nothing | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE), F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    )
 
 
 def decode_references(text: Column) -> Column:
-    """Replace character references once; unknown ones stay as written.
+    """Replace character references once, as HTML reads them in text.
 
-    Each piece after an ``&`` is decoded on its own, so ``&amp;lt;`` becomes
-    ``&lt;`` and is not decoded a second time.
+    All named references of HTML are known. Numbers and the older names also count
+    without ``;``, a name for as many letters as the longest that is known; what is
+    unknown stays as written. Each piece after an ``&`` is decoded on its own, so
+    ``&amp;lt;`` becomes ``&lt;`` and is not decoded a second time.
     """
     # A constant once Spark has folded it.
-    named = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")
-
-    def find_name(piece: Column) -> Column:
-        return F.struct(piece.alias("raw"), F.regexp_extract(piece, REFERENCE, 1).alias("name"))
-
-    def decode(piece: Column, index: Column) -> Column:
-        raw, name = piece["raw"], piece["name"]
-        numeric = F.when(name.startswith("#"), _character(_code_point(name)))
-        character = F.coalesce(F.try_element_at(named, name), numeric)
-        decoded = F.concat(character, F.substr(raw, F.length(name) + 2))
-        return F.when(index == 0, raw).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), raw)))
-
-    return F.array_join(F.transform(F.transform(F.split(text, "&"), find_name), decode), "")
+    names = F.from_json(F.lit(json.dumps(_NAMES_BY_LETTER)), "array<map<string,string>>")
+
+    def find(piece: Column) -> Column:
+        numeric = F.regexp_extract(piece, NUMERIC, 1)
+        return F.struct(
+            piece.alias("raw"),
+            F.when(piece.startswith("#") & (numeric != ""), _code_point(numeric)).alias("point"),
+            F.regexp_extract(piece, NAMED, 1).alias("name"),
+        )
+
+    def look_up(name: Column) -> Column:
+        return F.when(name != "", F.try_element_at(F.try_element_at(names, F.ascii(name) - 64), name))
+
+    def resolve(found: Column) -> Column:
+        closed = look_up(found["name"])
+        unclosed = F.when(closed.isNull() & found["point"].isNull(), F.regexp_extract(found["raw"], UNCLOSED, 1))
+        return F.struct(found["raw"].alias("raw"), found["point"].alias("point"), found["name"].alias("name"), closed.alias("closed"), unclosed.alias("unclosed"))
+
+    def write(found: Column, index: Column) -> Column:
+        raw = found["raw"]
+        decoded = F.coalesce(
+            F.concat(_character(found["point"]), F.regexp_replace(raw, NUMERIC, "")),
+            F.concat(found["closed"], F.substr(raw, F.length(found["name"]) + 1)),
+            F.concat(look_up(found["unclosed"]), F.substr(raw, F.length(found["unclosed"]) + 1)),
+            F.concat(F.lit("&"), raw),
+        )
+        return F.when(index == 0, raw).otherwise(decoded)
+
+    pieces = F.transform(F.transform(F.split(text, "&"), find), resolve)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, write), "")).otherwise(text)
+
+
+def _without_tags(joined: Column) -> Column:
+    parted = F.regexp_replace(joined, f"(?is)<{TAG}", " ")
+    return collapse_blanks(decode_references(parted))
 
 
 def readable_text(html: Column) -> Column:
@@ -119,15 +142,18 @@ def readable_text(html: Column) -> Column:
 
     A tag parts words unless it is one of the text-level elements.
     """
-    joined = F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT}|{INLINE_TAG})", SEAM)
-    parted = F.regexp_replace(joined, f"(?is)<{TAG}", " ")
-    return collapse_blanks(decode_references(parted))
+    return _without_tags(F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT}|{INLINE_TAG})", SEAM))
+
+
+def readable_markup(markup: Column) -> Column:
+    """The same for what ``drop_non_text`` has left, without looking for that again."""
+    return _without_tags(F.regexp_replace(markup, f"(?i)<(?:{INLINE_TAG})", SEAM))
 
 
 def plain_numeral(text: Column) -> Column:
     """ASCII digits without grouping commas, ready for ``try_cast``."""
     ascii_text = F.translate(text, WIDE_NUMERALS, ASCII_NUMERALS)
-    grouped = ascii_text.rlike(r"^\s*[+-]?[0-9]{1,3}(,[0-9]{3}){1,9}(\.[0-9]+)?\s*$")
+    grouped = ascii_text.rlike(r"^\s*[+-]?[0-9]{1,3}(,[0-9]{3})++(\.[0-9]+)?\s*$")
     return F.when(grouped, F.replace(ascii_text, F.lit(","), F.lit(""))).otherwise(ascii_text)
 
 

@@ -13,6 +13,7 @@ from provenir.functions.text import (
     collapse_blanks,
     decode_references,
     plain_numeral,
+    readable_markup,
     readable_text,
 )
 
@@ -71,6 +72,9 @@ def extract_values(docs: DataFrame, fields: Sequence[Field], keep: Sequence[str]
     return typed.select(*keep, *[f.name for f in fields], malformed.alias("malformed"))
 
 
-def extract_text(docs: DataFrame, html: str = "html", name: str = "body_text") -> DataFrame:
-    """Add the readable text of ``html``; null stays null."""
-    return docs.withColumn(name, readable_text(F.col(html)))
+def extract_text(docs: DataFrame, html: str = "html", name: str = "body_text", clean: bool = False) -> DataFrame:
+    """Add the readable text of ``html``; null stays null.
+
+    ``clean`` says that scripts, styles and comments are gone already.
+    """
+    return docs.withColumn(name, (readable_markup if clean else readable_text)(F.col(html)))

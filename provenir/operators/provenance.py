@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions.joins import is_small, join_lookup
@@ -14,6 +15,11 @@ REJECTED = "rejected"
 UNVERIFIED = "unverified"
 
 
+def _require_absent(records: DataFrame, column: str) -> None:
+    if column in records.columns:
+        raise ValueError(f"the records have a column {column} already")
+
+
 def verification_status(
     records: DataFrame,
     checks: DataFrame,
@@ -28,6 +34,7 @@ def verification_status(
     Checks are reduced to one row per key first, so several checks of one record
     do not multiply it.
     """
+    _require_absent(records, "status")
     verdicts = checks.groupBy(*keys).agg(F.bool_and(passed).alias("__passed"))
     status = (
         F.when(F.col("__passed"), F.lit(VERIFIED))
@@ -45,9 +52,11 @@ def attach_provenance(records: DataFrame, sources: DataFrame, by: str = "round")
     claim one round would leave its records without a definite source, so that
     stops the query with an error.
 
-    The sources are counted first. As long as they are few, records are not
+    The sources are counted first, by a Spark job of its own that reads at most
+    10,001 of their rows. As long as they are few, records are not
     shuffled; there are only a handful of rounds to shuffle them by.
     """
+    _require_absent(records, "source_page")
     covered = sources.select(F.explode("rounds").alias(by), "source_page")
     distinct = F.min("source_page").eqNullSafe(F.max("source_page"))
     conflict = F.concat(F.lit(f"several source pages for {by} "), F.col(by).cast("string"))
@@ -59,17 +68,23 @@ def attach_provenance(records: DataFrame, sources: DataFrame, by: str = "round")
 def missing_documents(listed: DataFrame, records: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Listed documents without a record, once each, with ``n_listed`` times listed.
 
-    An anti join by other means: both sides are stacked and grouped once, so a
-    document listed or recorded very often is reduced before the shuffle. A
-    listed key that is null matches no record.
+    The listing is reduced to its distinct keys. Records are only asked which of
+    these they hold: a semi join that broadcasts a small listing, so that no record
+    moves, and that adaptive execution can split where the listing is large and one
+    key has very many records. A listed key that is null matches no record.
     """
-    stacked = listed.select(*keys, F.lit(1).alias("__listed")).unionByName(
-        records.dropna(subset=list(keys)).select(*keys, F.lit(0).alias("__listed"))
-    )
-    counted = stacked.groupBy(*keys).agg(
-        F.sum("__listed").alias("n_listed"), F.count_if(F.col("__listed") == 0).alias("__recorded")
-    )
-    return counted.where((F.col("n_listed") > 0) & (F.col("__recorded") == 0)).drop("__recorded")
+    counted = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_listed"))
+    named = counted.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    own = records.select(*keys)
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
+    if is_small(named):
+        found = own.join(F.broadcast(named), same, "left_semi")
+    else:
+        # As in join_lookup: the hash gives the join shuffles of its own, which can be split.
+        alike = [F.col(f"__{k}").try_cast(own.schema[k].dataType) for k in keys]
+        found = own.join(named, same & (F.xxhash64(*keys) == F.xxhash64(*alike)), "left_semi")
+    held = found.distinct().select(*(F.col(k).alias(f"__{k}") for k in keys))
+    return counted.join(held, same, "left_anti")
 
 
 def status_by_round(df: DataFrame, by: str = "round") -> DataFrame:

@@ -69,47 +69,108 @@ def reconcile(official: DataFrame, extracted: DataFrame, keys: Sequence[str], va
     """Compare ``value`` per key: match, mismatch, not_extracted or not_in_official.
 
     Two nulls match. One row per key, also where a side repeats it; repeated
-    values match only if all of them, on both sides, are the same, and the
-    columns ``n_official`` and ``n_extracted`` tell how often a key was given.
+    values match only if all of them, on both sides, are the same. Of each side
+    stand the smallest value, the largest where it differs (``..._other``), and how
+    often the key was given (``n_...``).
 
     Both sides are stacked and grouped once. A full outer join gives the same
     states, but adaptive execution cannot split its skewed partitions and it
     would emit every pair of a repeated key.
     """
+    return _reconciled(official, extracted, keys, {value: value}).select(
+        *keys,
+        F.col(f"__{value}")["official"].alias("official"),
+        F.col(f"__{value}")["extracted"].alias("extracted"),
+        F.col(f"__{value}")["official_other"].alias("official_other"),
+        F.col(f"__{value}")["extracted_other"].alias("extracted_other"),
+        "n_official",
+        "n_extracted",
+        F.col(f"__{value}")["state"].alias("state"),
+    )
+
+
+def reconcile_fields(
+    official: DataFrame, extracted: DataFrame, keys: Sequence[str], fields: Sequence[str]
+) -> DataFrame:
+    """The same for several fields at once: a row per key and field, values as text.
+
+    The wide rows are grouped once by key, and only the one result row per key is
+    taken apart by field afterwards.
+    """
+    as_text = {f: f for f in fields}
+    sides = [t.select(*keys, *(F.col(f).cast("string").alias(f) for f in fields)) for t in (official, extracted)]
+    wide = _reconciled(*sides, keys, as_text)
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("found")) for f in fields)))
+    long = wide.select(*keys, "n_official", "n_extracted", each.alias("__each"))
+    found = F.col("__each.found")
+    return long.select(
+        *keys,
+        F.col("__each.field").alias("field"),
+        *(found[c].alias(c) for c in ("official", "extracted", "official_other", "extracted_other")),
+        "n_official",
+        "n_extracted",
+        found["state"].alias("state"),
+    )
+
+
+def _reconciled(official: DataFrame, extracted: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """One row per key: counts, and a struct ``__name`` of values and state for each value."""
     is_official = F.col("__official")
-    stacked = official.select(*keys, F.col(value).alias("__value"), F.lit(True).alias("__official")).unionByName(
-        extracted.select(*keys, F.col(value).alias("__value"), F.lit(False).alias("__official"))
+    picked = [F.col(v).alias(f"__value_{n}") for n, v in values.items()]
+    stacked = official.select(*keys, *picked, F.lit(True).alias("__official")).unionByName(
+        extracted.select(*keys, *picked, F.lit(False).alias("__official"))
     )
     # Records without a full key belong together on neither side.
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     stacked = stacked.withColumn("__unkeyed", F.when(no_key, is_official))
 
-    def side(name: str, mine: Column) -> list[Column]:
-        own = F.when(mine, F.col("__value"))
+    def side(value: str, name: str, mine: Column) -> list[Column]:
+        own = F.when(mine, F.col(f"__value_{value}"))
         return [
-            F.count_if(mine).alias(f"n_{name}"),
-            F.count(own).alias(f"__{name}_filled"),
-            F.min(own).alias(name),
-            F.max(own).alias(f"__{name}_max"),
+            F.count(own).alias(f"__{value}_{name}_filled"),
+            F.min(own).alias(f"__{value}_{name}"),
+            F.max(own).alias(f"__{value}_{name}_max"),
         ]
 
     grouped = stacked.groupBy(*keys, "__unkeyed").agg(
-        *side("official", is_official), *side("extracted", ~is_official)
+        F.count_if(is_official).alias("n_official"),
+        F.count_if(~is_official).alias("n_extracted"),
+        *(c for v in values for c in side(v, "official", is_official) + side(v, "extracted", ~is_official)),
     )
 
-    def uniform(name: str) -> Column:
-        filled = F.col(f"__{name}_filled")
-        one_value = (filled == F.col(f"n_{name}")) & (F.col(name) == F.col(f"__{name}_max"))
+    def least(value: str, name: str) -> Column:
+        return F.col(f"__{value}_{name}")
+
+    def uniform(value: str, name: str) -> Column:
+        filled = F.col(f"__{value}_{name}_filled")
+        one_value = (filled == F.col(f"n_{name}")) & (least(value, name) == F.col(f"__{value}_{name}_max"))
         return (filled == 0) | one_value
 
-    same = uniform("official") & uniform("extracted") & F.col("official").eqNullSafe(F.col("extracted"))
-    state = (
-        F.when(F.col("n_extracted") == 0, F.lit("not_extracted"))
-        .when(F.col("n_official") == 0, F.lit("not_in_official"))
-        .when(same, F.lit("match"))
-        .otherwise(F.lit("mismatch"))
-    )
-    return grouped.select(*keys, "official", "extracted", "n_official", "n_extracted", state.alias("state"))
+    def other(value: str, name: str) -> Column:
+        most = F.col(f"__{value}_{name}_max")
+        return F.when(most != least(value, name), most).alias(f"{name}_other")
+
+    def state(value: str) -> Column:
+        same = uniform(value, "official") & uniform(value, "extracted")
+        same &= least(value, "official").eqNullSafe(least(value, "extracted"))
+        return (
+            F.when(F.col("n_extracted") == 0, F.lit("not_extracted"))
+            .when(F.col("n_official") == 0, F.lit("not_in_official"))
+            .when(same, F.lit("match"))
+            .otherwise(F.lit("mismatch"))
+        )
+
+    compared = [
+        F.struct(
+            least(v, "official").alias("official"),
+            least(v, "extracted").alias("extracted"),
+            other(v, "official"),
+            other(v, "extracted"),
+            state(v).alias("state"),
+        ).alias(f"__{v}")
+        for v in values
+    ]
+    return grouped.select(*keys, "n_official", "n_extracted", *compared)
 
 
 def field_coverage(df: DataFrame, fields: Sequence[str]) -> DataFrame:

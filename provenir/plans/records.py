@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.functions.text import drop_non_text
+from provenir.functions.text import INSIDE, drop_non_text
 from provenir.operators.extract import Field, extract_text, extract_values
 from provenir.operators.provenance import UNVERIFIED, attach_provenance, verification_status
 from provenir.operators.schema import Target, conform
@@ -18,10 +18,17 @@ from provenir.sources.schemas import RECORD
 # Where each value stands. No pattern depends on a closing tag, so
 # a truncated page still yields what it holds.
 PAGE_FIELDS = (
-    Field("title", "markup", r"(?i)<title[^<>]*>([^<]*)"),
-    Field("lang", "markup", r"""(?i)<html\s(?:[^<>]*?\s)?lang\s*=\s*["']?([A-Za-z-]+)"""),
+    Field("title", "markup", rf"(?is)<title(?:[\t\n\f\r /]{INSIDE})?>(.*?)(?:</title|\z)"),
+    Field("lang", "markup", r"""(?i)<html[\t\n\f\r /](?:[^<>]*?[\t\n\f\r "'/])?lang[\t\n\f\r ]*=[\t\n\f\r ]*["']?([A-Za-z0-9-]+)"""),
     Field("n_sections", "markup", r"(?i)<p[\s>]", T.LongType(), count=True),
-    Field("url_no", "url", r"/([0-9]+)(?:[/.?#]|\z)", T.LongType(), plain=True),
+    # In the path alone: neither the host nor the query is looked at.
+    Field(
+        "url_no",
+        "url",
+        r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*|/[^/?#]+)[^?#]*?/([0-9]+)(?:[/.?#]|\z)",
+        T.LongType(),
+        plain=True,
+    ),
 )
 
 
@@ -31,16 +38,20 @@ def with_markup(documents: DataFrame) -> DataFrame:
     return documents.withColumn("markup", drop_non_text(F.col("html")))
 
 
-def build_records(documents: DataFrame, round_of: Column) -> DataFrame:
+def build_records(documents: DataFrame, round_of: Column, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Records of the declared schema, plus ``malformed`` and ``bad_casts``.
 
-    ``round_of`` may use the extracted columns. Extraction, text and casts are
+    ``keys`` name a document: ``doc_id``, or ``url`` for documents read from files,
+    whose records then have no ``doc_id``. ``round_of`` may use the extracted columns. Extraction, text and casts are
     projections over the scan: no shuffle.
     """
-    with_text = extract_text(with_markup(documents), html="markup")
-    values = extract_values(with_text, PAGE_FIELDS, keep=["doc_id", "url", "body_text"])
+    with_text = extract_text(with_markup(documents), html="markup", clean=True)
+    kept = dict.fromkeys([*keys, "url", "body_text"])
+    values = extract_values(with_text, PAGE_FIELDS, keep=list(kept))
     with_round = values.withColumn("round", round_of)
-    targets = [Target(f.name, f.name, f.dataType) for f in RECORD.fields]
+    declared = [f for f in RECORD.fields if f.name != "doc_id" or "doc_id" in kept]
+    targets = [Target(f.name, f.name, f.dataType) for f in declared]
+    targets += [Target(k, k, with_round.schema[k].dataType) for k in kept if k not in RECORD.names]
     malformed = Target("malformed", "malformed", T.ArrayType(T.StringType()))
     return conform(with_round, [*targets, malformed])
 

@@ -33,8 +33,9 @@ CSV_FORMAT = {
     "nullValue": NULL_MARK,
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "maxColumns": "20480",
 }
+# A CSV file is read by one task, so it gets no more records than this by default.
+CSV_RECORDS_PER_FILE = 250_000
 
 
 def organise_by_round(
@@ -43,13 +44,15 @@ def organise_by_round(
     """Write one folder per round; reading a round opens its folder only.
 
     A null round has a folder of its own. Rounds are numbers: Spark reads the
-    folder of an empty text back as null.
+    folder of an empty text back as null, so a text as ``by`` raises.
 
     By default each task writes its own rows and nothing is shuffled. With
     ``even_files`` rows are first brought together by round, which costs a
     shuffle and gives fewer files; a large round is then split over many tasks
     by size, so it never becomes the work of one.
     """
+    if isinstance(df.schema[by].dataType, T.StringType):
+        raise ValueError(f"{by} is a text, of which '' would be read back as null")
     rows = df.hint("rebalance", by) if even_files else df
     # Overwriting means the whole table, whatever the session says.
     rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(by).parquet(path)
@@ -72,17 +75,20 @@ def _unguard_null_mark(text: Column) -> Column:
     return F.when(text.rlike(r"^\\\\+N\z"), F.substr(text, F.lit(2))).otherwise(text)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error", max_records_per_file: int = 0) -> DataFrame:
+def write_csv(
+    df: DataFrame, path: str, mode: str = "error", max_records_per_file: int = CSV_RECORDS_PER_FILE
+) -> DataFrame:
     """Write CSV with a header; null is ``\\N``, '' is ``""``.
 
-    Fields may hold line ends, so a file is read by one task; cap its size with
-    ``max_records_per_file`` if the tasks that write are large.
+    Fields may hold line ends, so a file is read by one task. A task that writes more
+    than ``max_records_per_file`` records starts another file; 0 is no bound.
     """
+    layout = {**CSV_FORMAT, "maxColumns": str(len(df.columns) + 1)}
     guarded = _per_string(df, _guard_null_mark)
-    guarded.write.mode(mode).options(**CSV_FORMAT, maxRecordsPerFile=max_records_per_file).csv(path)
+    guarded.write.mode(mode).options(**layout, maxRecordsPerFile=max_records_per_file).csv(path)
     stored = (
         df.sparkSession.read.schema(df.schema)
-        .options(**CSV_FORMAT, multiLine="true", mode="FAILFAST", maxCharsPerColumn="-1")
+        .options(**layout, multiLine="true", mode="FAILFAST", maxCharsPerColumn="-1")
         .csv(path)
     )
     return _per_string(stored, _unguard_null_mark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,15 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         shared = _own_folder()
     return "/".join([shared.rstrip("/"), spark.sparkContext.applicationId, *parts])
+
+
+def new_scratch_path(spark: SparkSession, *parts: str) -> str:
+    """Such a path that no other call gets, so that no later write takes a table away."""
+    return scratch_path(spark, *parts, uuid.uuid4().hex)
+
+
+def drop_scratch(spark: SparkSession, *parts: str) -> None:
+    """Remove what this application wrote below ``parts``, or all of it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, *parts))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,12 +9,16 @@ from provenir.functions.urls import url_host
 from provenir.sources.schemas import PAGES, read_table
 
 
+def _closed(content: Column) -> Column:
+    return content.rlike(r"(?i)</html[\t\n\f\r />]")
+
+
 def _facts(content: Column, url: Column) -> list[Column]:
     return [
         F.octet_length(content).cast("bigint").alias("n_bytes"),
         F.length(content).cast("bigint").alias("n_chars"),
         url_host(url).alias("host"),
-        F.contains(content, F.lit("</html>")).alias("closed"),
+        _closed(content).alias("closed"),
     ]
 
 
@@ -37,8 +41,9 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Documents kept one per file: ``url`` is the file path, plus the same facts.
 
-    Bytes that are not UTF-8 become replacement characters. File contents are
-    read only if ``html`` or a fact about it is selected; filters on
+    Where ``valid_utf8`` is false, bytes that are not UTF-8 became replacement
+    characters in ``html``; ``content`` holds the bytes as they are. File contents
+    are read only if these or a fact about them is selected; filters on
     ``modified`` and ``n_bytes`` skip files before they are opened.
     """
     files = (
@@ -52,7 +57,9 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         F.col("path").alias("url"),
         F.col("modificationTime").alias("modified"),
         F.col("length").alias("n_bytes"),
+        "content",
         html.alias("html"),
+        F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"),
         F.length(html).cast("bigint").alias("n_chars"),
-        F.contains(html, F.lit("</html>")).alias("closed"),
+        _closed(html).alias("closed"),
     )

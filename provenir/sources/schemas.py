@@ -35,6 +35,14 @@ ORDER_LINES = T.StructType(
     [
         T.StructField("l_orderkey", T.LongType()),
         T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_extendedprice", T.DoubleType()),
+    ]
+)
+
+ORDERS = T.StructType(
+    [
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_totalprice", T.DoubleType()),
     ]
 )
 
@@ -54,5 +62,12 @@ RECORD = T.StructType(
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read Parquet under a declared schema; columns left out are not read."""
+    """Read Parquet under a declared schema; columns left out are not read.
+
+    A declared column that the file lacks raises; read under the schema alone it
+    would be null in every row.
+    """
+    absent = set(schema.names) - set(spark.read.parquet(path).columns)
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(sorted(absent))}")
     return spark.read.schema(schema).parquet(path)

@@ -1,15 +1,17 @@
 """Operators on random tables and texts against plain Python."""
 
+import html
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 import provenir as pv
-from provenir.functions.text import INLINE_TAG, NAMED_REFERENCES, NOT_TEXT, TAG
+from provenir.functions.text import INLINE_TAG, NOT_TEXT, TAG
 from provenir.functions.urls import with_absolute
 
 
@@ -94,15 +96,7 @@ def python_reading(page):
     text = re.sub(f"(?is)<(?:{NOT_TEXT}|{INLINE_TAG})".replace(r"\z", r"\Z"), "\x01", page, flags=re.ASCII)
     text = re.sub(f"(?is)<{TAG}".replace(r"\z", r"\Z"), " ", text, flags=re.ASCII)
 
-    def decoded(match):
-        name = match[1]
-        if not name.startswith("#"):
-            return NAMED_REFERENCES.get(name, match[0])
-        point = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
-        valid = 0 < point < 0xD800 or 0xE000 <= point < 0x110000
-        return chr(point) if valid else match[0]
-
-    text = re.sub(r"&(#0*[0-9]{1,7}|#[xX]0*[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});", decoded, text)
+    text = html.unescape(text)
     return re.sub("[\t-\r \xa0　]+", " ", text.replace("\x01", "")).strip(" ")
 
 
@@ -117,6 +111,107 @@ def test_readable_text(spark, draw):
     assert got == dict(enumerate(map(python_reading, pages)))
 
 
+class Reader(HTMLParser):
+    """An independent reader: it shares no pattern with the library."""
+
+    INLINE = {"a", "b", "i", "em", "span", "code", "sub"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden, self.title, self.in_title, self.links, self.lang = [], 0, None, False, [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag not in self.INLINE:
+            self.parts.append(" ")
+        first = {}
+        for name, value in attrs:
+            first.setdefault(name, value)
+        if tag in ("a", "area") and first.get("href"):
+            self.links.append(first["href"])
+        if tag == "html" and self.lang is None:
+            self.lang = first.get("lang")
+        if tag == "title" and self.title is None:
+            self.title, self.in_title = "", True
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden -= 1
+        elif tag not in self.INLINE:
+            self.parts.append(" ")
+        if tag == "title":
+            self.in_title = False
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+        if self.in_title:
+            self.title += data
+
+
+def plain(text):
+    return re.sub("[\t-\r \xa0　]+", " ", text).strip(" ")
+
+
+def random_page(draw):
+    words = ["word", "caf&eacute;", "&euro;5", "&auml;&szlig;", "&frac12;", "&AMP;", "&copy 2024", "&#8364;", "&#x41", "&#150;", "&nosuch;", "日本", "1 < 2", "a & b", "x > y", "don't", '"q"']
+    names = ["p", "P", "div", "b", "B", "i", "span", "em", "td", "H2"]
+
+    def attribute():
+        name = draw.choice(["title", "alt", "DATA-x", "class"])
+        value = draw.choice(["plain", "a>b", "x &amp; y", "it is", "<p>"])
+        return f" {name}" + draw.choice([f'="{value}"', f"='{value}'", f' = "{value}"', "=plain", ""])
+
+    def text():
+        return " ".join(draw.choices(words, k=draw.randrange(1, 4)))
+
+    def element(depth):
+        kind = draw.randrange(8)
+        if kind == 0:
+            return draw.choice(["<!-- <p>no</p> -->", "<script type='a>b'>if (a<b) t='<p>'</script>", "<STYLE>p>a{}</STYLE >"])
+        if kind == 1:
+            return f'<a{attribute()} href="/x/{draw.randrange(9)}?a=1&amp;b=2">{text()}</a>'
+        if kind == 2 or depth > 3:
+            return text()
+        name = draw.choice(names)
+        return f"<{name}{attribute()}{attribute()}>" + "".join(element(depth + 1) for _ in range(draw.randrange(3))) + f"</{name}>"
+
+    head = f'<!DOCTYPE html><html data-x="y" lang="{draw.choice(["en", "es-419", "zh-Hant-TW"])}"><head><title{attribute()}>{text()}</title></head>'
+    page = head + "<body>" + "".join(element(0) for _ in range(draw.randrange(8)))
+    return page + draw.choice(["</body></html>", "", "<p>cut off here"])
+
+
+def test_an_independent_reader_agrees(spark, draw):
+    pages = [random_page(draw) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, f"https://h.example/d/{i}", p) for i, p in enumerate(pages)], "doc_id long, url string, html string")
+    records = {r.doc_id: r for r in pv.build_records(docs, F.lit(1)).collect()}
+    links = by_key((r.doc_id, r.link) for r in pv.listing_links(docs).orderBy("doc_id", "pos").collect())
+    for i, page in enumerate(pages):
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert records[i].body_text == plain("".join(reader.parts)), page
+        assert records[i].title == plain(reader.title), page
+        assert records[i].lang == reader.lang, page
+        assert links.get(i, []) == [urljoin(f"https://h.example/d/{i}", x) for x in reader.links], page
+
+
+def test_all_references_are_decoded_as_html_does(spark, draw):
+    from html.entities import html5
+
+    texts = [f"a&{name} b&{name.rstrip(';')}x;" for name in html5]
+    texts += [f"&#{n}; &#x{n:x} &#{n}x" for n in [*range(300), 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**9, 10**30]]
+    pieces = ["&", "#", "x", "amp", "lt", ";", "65", "notin", "copy", " ", "é", "&amp;"]
+    texts += ["".join(draw.choices(pieces, k=draw.randrange(12))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    from provenir.functions.text import decode_references
+
+    got = {r.i: r.out for r in rows.select("i", decode_references(F.col("t")).alias("out")).collect()}
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not wrong[:5]
+
+
 def test_absolute_links(spark, draw):
     segments = ["a", "b.pdf", "..", ".", "...", "c:d", ""]
 

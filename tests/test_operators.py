@@ -47,6 +47,24 @@ def test_conform_flags_bad_casts_but_not_absent_values(spark):
     )
 
 
+def test_conform_flags_numbers_that_do_not_survive(spark):
+    df = spark.createDataFrame([(3.7, 5), (4.0, 6), (None, None)], "x double, n long")
+    conformed = pv.conform(df, [pv.Target("i", "x", T.IntegerType()), pv.Target("d", "n", T.DoubleType())])
+    assert [r.bad_casts for r in conformed.orderBy("i").collect()] == [[], ["i"], []]
+
+
+def test_absent_declared_columns_and_taken_names_raise(spark, sf_dir):
+    from provenir.sources import schemas
+
+    with pytest.raises(ValueError, match="no column"):
+        schemas.read_table(spark, f"{sf_dir}/lineitem.parquet", schemas.PAGES)
+    records = spark.createDataFrame([(1, 1, "x", "y")], "doc_id int, round int, status string, source_page string")
+    with pytest.raises(ValueError, match="status"):
+        pv.verification_status(records, spark.createDataFrame([(1, True)], "doc_id int, passed boolean"))
+    with pytest.raises(ValueError, match="source_page"):
+        pv.attach_provenance(records, spark.createDataFrame([("A", [1])], "source_page string, rounds array<int>"))
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, -5)], "id int, n int")
     rules = [pv.Rule("positive", F.col("n") > 0), pv.Rule("present", F.col("n").isNotNull())]
@@ -144,18 +162,33 @@ def test_reconcile_states(spark):
     assert got.agg(F.sum("n_official"), F.sum("n_extracted")).first() == (13, 10)
 
 
+def test_reconcile_shows_values_that_differ_within_a_side(spark):
+    official = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, v string")
+    extracted = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
+    got = pv.reconcile(official, extracted, ["k"], "v").orderBy("k").collect()
+    assert [(r.official, r.official_other, r.extracted, r.extracted_other, r.state) for r in got] == [
+        ("a", "b", "a", None, "mismatch"),
+        ("a", None, "a", None, "match"),
+    ]
+
+
 def test_reconcile_by_field(spark):
-    official = spark.createDataFrame([(1, "x", 5), (2, "y", None)], "id int, name string, n int")
-    extracted = spark.createDataFrame([(1, "x", 6), (2, "y", None)], "id int, name string, n int")
-    long_official = pv.long_fields(official, ["id"], ["name", "n"])
-    long_extracted = pv.long_fields(extracted, ["id"], ["name", "n"])
-    got = pv.reconcile(long_official, long_extracted, ["id", "field"], "value")
+    official = spark.createDataFrame([(1, "x", 5), (2, "y", None), (3, "z", 1)], "id int, name string, n int")
+    extracted = spark.createDataFrame([(1, "x", 6), (2, "y", None), (4, "z", 1)], "id int, name string, n int")
+    got = pv.reconcile_fields(official, extracted, ["id"], ["name", "n"])
     assert rows(got.select("id", "field", "state")) == [
         (1, "n", "mismatch"),
         (1, "name", "match"),
         (2, "n", "match"),
         (2, "name", "match"),
+        (3, "n", "not_extracted"),
+        (3, "name", "not_extracted"),
+        (4, "n", "not_in_official"),
+        (4, "name", "not_in_official"),
     ]
+    sides = [pv.long_fields(side, ["id"], ["name", "n"]) for side in (official, extracted)]
+    long = pv.reconcile(*sides, ["id", "field"], "value")
+    assert rows(long.select("id", "field", "state")) == rows(got.select("id", "field", "state"))
 
 
 def test_coverage_and_duplicates(spark):
@@ -180,12 +213,15 @@ def test_links_in_scripts_and_comments_do_not_count(spark):
 
 def test_scan_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "a.html").write_bytes("<p>ä</p></html>".encode())
+    (tmp_path / "a.html").write_bytes("<p>ä</p></HTML>".encode())
     (tmp_path / "sub" / "b.html").write_bytes(b"<p>\xff")
     (tmp_path / "c.txt").write_text("no")
     files = pv.scan_files(spark, str(tmp_path), "*.html")
-    got = rows(files.select(F.element_at(F.split("url", "/"), -1).alias("f"), "n_bytes", "n_chars", "closed", "html"))
-    assert got == [("a.html", 16, 15, True, "<p>ä</p></html>"), ("b.html", 4, 4, False, "<p>�")]
+    got = rows(files.select(F.element_at(F.split("url", "/"), -1).alias("f"), "n_bytes", "n_chars", "closed", "valid_utf8", "html"))
+    assert got == [("a.html", 16, 15, True, True, "<p>ä</p></HTML>"), ("b.html", 4, 4, False, False, "<p>�")]
+    records = pv.build_records(files, F.lit(1), keys=["url"])
+    assert "doc_id" not in records.columns
+    assert {(r.url.rsplit("/", 1)[1], r.body_text) for r in records.collect()} == {("a.html", "ä"), ("b.html", "�")}
 
 
 def test_records_of_a_truncated_page(spark):

@@ -26,10 +26,10 @@ def as_text(rows):
 
 
 def test_every_query_has_sql():
-    assert wired.queries().keys() == wired.oracle_sql().keys()
+    assert wired.library_queries().keys() <= wired.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(wired.queries()))
+@pytest.mark.parametrize("name", list(wired.library_queries()))
 def test_matches_duckdb(spark, scale, name):
     folder, con = scale
     got = wired.queries()[name](spark, folder)
@@ -51,9 +51,9 @@ def test_entry_gives_every_document(spark):
     ("name", "broken"),
     [
         ("verification_status", ("'rejected'", "'refused'")),
-        ("reconcile_values", ("n_chars + 1", "n_chars + 2")),
+        ("reconcile_values", ("* 100 as bigint) as cents from orders", "* 10 as bigint) as cents from orders")),
         ("extract_values", ("[?&][a-z_]+=", "[?][a-z]+=")),
-        ("completeness_by_round", ("(5, 10)", "(5, 11)")),
+        ("completeness_by_round", ("'short'", "'over'")),
     ],
 )
 def test_a_changed_expectation_is_noticed(spark, scale, name, broken):

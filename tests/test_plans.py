@@ -59,8 +59,6 @@ NARROW = [
 # The only shuffle is the one that groups the lookup itself.
 BROADCAST = ["verification_status", "attach_provenance", "analysis_view", "verify_records"]
 ONE_SHUFFLE = [
-    "missing_documents",
-    "reconcile_values",
     "reconcile_fields",
     "violation_counts",
     "duplicate_keys",
@@ -78,6 +76,25 @@ def test_groupings_shuffle_once(spark, sf_dir, name):
     assert exchanges(wired.queries()[name](spark, sf_dir)) == 1
 
 
+def test_a_small_listing_leaves_the_records_in_place(spark, like_large_tables, monkeypatch):
+    records = hot_records(spark)
+    listed = spark.range(5, 12).select(F.col("id").alias("doc_id"))
+    plan = plan_of(pv.missing_documents(listed, records, ["doc_id"]))
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", plan)
+    # The one shuffle of records is of the few that were found.
+    assert {r.doc_id for r in pv.missing_documents(listed, records, ["doc_id"]).collect()} == {6}
+
+    monkeypatch.setattr(joins, "SMALL_ROWS", 2)
+    missing = pv.missing_documents(listed, records, ["doc_id"])
+    assert "BroadcastHashJoin" not in plan_of(missing)
+    assert {r.doc_id for r in missing.collect()} == {6}
+
+
+def test_scripts_are_looked_for_once(spark, sf_dir):
+    plan = wired.queries()["build_records"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("!--.*?") <= 1
+
+
 @pytest.mark.parametrize("name", BROADCAST)
 def test_small_lookups_leave_the_records_in_place(spark, sf_dir, name):
     plan = plan_of(wired.queries()[name](spark, sf_dir))
@@ -85,7 +102,7 @@ def test_small_lookups_leave_the_records_in_place(spark, sf_dir, name):
     assert plan.count("BroadcastHashJoin") == plan.count("Exchange hashpartitioning") > 0
 
 
-@pytest.mark.parametrize("name", list(wired.queries()))
+@pytest.mark.parametrize("name", list(wired.library_queries()))
 def test_no_query_leaves_the_jvm_or_pairs_everything(spark, sf_dir, name):
     plan = plan_of(wired.queries()[name](spark, sf_dir))
     assert not re.search(r"Python|Pandas|CartesianProduct|NestedLoop|BatchEvalPython", plan)

@@ -183,3 +183,34 @@ def test_scratch_is_the_shared_folder_when_one_is_named(spark):
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         scratch_path(session("yarn", {}), "q")
     assert scratch_path(spark, "q").endswith(f"/{spark.sparkContext.applicationId}/q")
+
+
+def test_earlier_results_stay_readable(spark, sf_dir):
+    import __spark_entry__ as wired
+
+    first, second = (wired.queries()["write_jsonl"](spark, sf_dir) for _ in range(2))
+    assert first.count() == second.count() == 200
+
+
+def test_dropping_scratch(spark, tmp_path):
+    import os
+
+    from provenir.sinks.scratch import drop_scratch, new_scratch_path, scratch_path
+
+    path = new_scratch_path(spark, "to-drop")
+    spark.range(3).write.parquet(path)
+    drop_scratch(spark, "to-drop")
+    assert not os.path.exists(scratch_path(spark, "to-drop").removeprefix("file:"))
+
+
+def test_a_text_cannot_be_the_round(spark, tmp_path):
+    rows = spark.createDataFrame([("", "a"), (None, "b")], "round string, v string")
+    with pytest.raises(ValueError, match="text"):
+        pv.organise_by_round(rows, str(tmp_path / "r"))
+
+
+def test_wide_and_coalesced_csv(spark, tmp_path):
+    wide = spark.range(2).select(*(F.lit(i).alias(f"c{i}") for i in range(600)))
+    assert pv.write_csv(wide, str(tmp_path / "wide")).count() == 2
+    stored = pv.write_csv(spark.range(1000).coalesce(1), str(tmp_path / "long"), max_records_per_file=100)
+    assert stored.select(F.input_file_name()).distinct().count() == 10
