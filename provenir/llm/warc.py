@@ -55,8 +55,9 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """The readable text of a page: a line for each block, single blanks, references decoded."""
-    text = _SKIPPED.sub(" ", page)
-    text = _TAG.sub("", _LINE_TAG.sub("\n", text.replace("\n", " ")))
+    # What is cut out leaves a mark, or the text on its two sides could make a tag.
+    text = _SKIPPED.sub("\0", page)
+    text = _TAG.sub("\0", _LINE_TAG.sub("\n", text.replace("\n", " "))).replace("\0", "")
     lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
