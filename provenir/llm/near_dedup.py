@@ -15,7 +15,7 @@ Plan: documents with equal sets are one node. Every node of a bucket is compared
 the bucket's smallest node; confirmed links make components. Buckets that still hold
 more than one component are compared once more: the members outside a bucket's largest
 component against all members of other components, in a join whose condition looks at
-the signature distance, so that pairs of unlike documents are never emitted and
+sketches of 1,280 bits, so that pairs of unlike documents are never emitted and
 members of one group of copies never meet. All links are confirmed on the full sets.
 """
 
@@ -45,6 +45,11 @@ VALUES = CHUNKS * WIDTH
 # One bit of each of the 45 values: a pair of similarity 0.8 differs in 4.5 on average, a
 # binomial with a standard deviation of 2; more than 17 has a chance below 1e-6.
 MAX_BITS = 17
+# One bit of each of 1,280 other MinHash values, for documents in open buckets: 128 differ
+# at similarity 0.8, with a standard deviation of 10.7; more than 184 has a chance of 1e-7.
+# At 0.7 they are 192, with 12.8. Twice as many bits part better, but the code that Spark
+# makes of them is too long for the JVM to compile.
+SKETCH_WORDS, MAX_SKETCH_BITS = 20, 184
 
 # Words end at these bytes: space, tab to carriage return.
 IS_WORD = np.ones(256, bool)
@@ -101,6 +106,22 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """1,280 bits for each non-empty set, as ``SKETCH_WORDS`` words."""
+    n = 64 * SKETCH_WORDS
+    multiply = (random_words(15, n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    add = (random_words(16, n) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
+    for i, own in enumerate(sets):
+        x = (own >> np.uint64(32)).astype(np.uint32)
+        least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(x), 256):
+            np.minimum(least, (multiply[:, None] * x[at : at + 256] + add[:, None]).min(axis=1), out=least)
+        bit = (least * np.uint32(0x9E3779B1) >> np.uint32(16) & np.uint32(1)).astype(np.uint8)
+        out[i] = np.packbits(bit, bitorder="little").view(np.uint64)
+    return out
+
+
 def _keys(signatures: np.ndarray) -> np.ndarray:
     """A key for each chunk and each value of it that may differ."""
     n = len(signatures)
@@ -156,22 +177,47 @@ def _key_array(signature: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))
 
 
-def _close(one: Column, other: Column) -> Column:
-    return F.bit_count(one.bitwiseXOR(other)) <= MAX_BITS
+def _close(one: str, other: str) -> Column:
+    """The short signatures are near enough, and so are the long sketches."""
+    differ = lambda name: F.bit_count(F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}")))
+    far = sum((differ(f"sketch_{i}") for i in range(1, SKETCH_WORDS)), differ("sketch_0"))
+    return (differ("bits") <= MAX_BITS) & (far <= MAX_SKETCH_BITS)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(bounded(ids), docs["doc_id"] == ids["node"], "left_semi")
+
+
+def _with_sketches(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``members`` with each node's long sketch, in columns of its own, and its keys here."""
+    nodes = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a node has, at most
+    nodes = settle(nodes, "open-nodes")
+    ids = nodes.select("node")
+
+    def sketch_of(text: pa.Array) -> pa.Array:
+        found = _bit_sketches(shingle_sets(text.to_pylist(), words)).view(np.int64)
+        offsets = pa.array(np.arange(len(found) + 1) * SKETCH_WORDS, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
+
+    sketch = F.arrow_udf(sketch_of, "array<long>")
+    found = _texts_of(docs, ids).select(F.col("doc_id").alias("node"), sketch("text").alias("sketch")).distinct()
+    found = settle(found, "bit-sketches")
+    flat = found.select("node", *(F.col("sketch")[i].alias(f"sketch_{i}") for i in range(SKETCH_WORDS)))
+    return members.join(settle(nodes.join(flat, "node"), "open-sketches"), "node")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs (a, b)`` whose full sets are similar enough, as a written table."""
     ids = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-ends")
 
-    @F.arrow_udf("array<long>")
     def set_of(text: pa.Array) -> pa.Array:
         sets = shingle_sets(text.to_pylist(), words)
         offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+        joined = np.concatenate([np.empty(0, np.uint64), *sets])
+        return pa.ListArray.from_arrays(offsets, pa.array(joined.view(np.int64)))
 
-    texts = docs.join(bounded(ids), docs["doc_id"] == ids["node"], "left_semi")
-    sets = texts.select("doc_id", set_of("text").alias("shingles"))
+    shingles = F.arrow_udf(set_of, "array<long>")("text")
+    sets = _texts_of(docs, ids).select("doc_id", shingles.alias("shingles"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -230,7 +276,8 @@ def near_duplicates(
         F.max_by("component", F.col("count")).alias("largest"), F.count("*").alias("n")
     )
     open_keys = settle(largest.where("n > 1").drop("n"), "open-keys")
-    contested = settle(labelled.join(open_keys, "key"), "contested")
+    contested = labelled.join(open_keys, "key")
+    contested = settle(_with_sketches(contested, texts, words), "contested")
     m = contested.alias("m")
     strays = contested.where("component <> largest").alias("s")
     pairs = strays.join(
@@ -238,8 +285,10 @@ def near_duplicates(
         (F.col("s.key") == F.col("m.key"))
         & (F.col("s.component") != F.col("m.component"))
         & ((F.col("m.component") == F.col("m.largest")) | (F.col("s.node") < F.col("m.node")))
-        & _close(F.col("s.bits"), F.col("m.bits"))
-        & sizes_fit(F.col("s.n_shingles"), F.col("m.n_shingles")),
+        & sizes_fit(F.col("s.n_shingles"), F.col("m.n_shingles"))
+        & _close("s", "m")
+        # A pair that shares several keys is emitted under the first of them.
+        & (F.array_min(F.array_intersect("s.keys", "m.keys")) == F.col("s.key")),
     )
     pairs = pairs.select(F.least("s.node", "m.node").alias("a"), F.greatest("s.node", "m.node").alias("b")).distinct()
     pairs = settle(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
