@@ -116,6 +116,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in wired}
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# Windows of every length that an item has, at every place of every document.
+OP5_SQL = f"""
+with items as (select item_id, {_WORDS} as words from benchmark where item_id is not null),
+docs as (select doc_id, {_WORDS} as words from documents),
+patterns as (
+  select distinct item_id, least(len(words), 10) as n,
+    array_to_string(list_slice(words, k, k + least(len(words), 10) - 1), ' ') as pattern
+  from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as k from items where len(words) > 0)),
+places as (
+  select doc_id, n, k, array_to_string(list_slice(words, k, k + n - 1), ' ') as pattern
+  from (
+    select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as k
+    from docs cross join (select distinct n from patterns) where len(words) >= n)),
+found as (
+  select p.doc_id, p.k, p.n, t.item_id from places p join patterns t on t.n = p.n and t.pattern = p.pattern),
+hit as (
+  select doc_id, count(distinct word) as n_hit
+  from (select doc_id, unnest(range(k, k + n)) as word from found) group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select d.doc_id, cast(len(d.words) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n.n_items, 0) as bigint) as n_items, sha256(coalesce(n.items, '')) as items_sha256,
+  coalesce(h.n_hit, 0) > 0 as contaminated
+from docs d left join hit h on h.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
+"""
+
 OP10_SQL = """
 with vectors as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
@@ -159,4 +189,4 @@ def _op2_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op10_exact_top_k": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_decontaminate": OP5_SQL, "op10_exact_top_k": OP10_SQL}
