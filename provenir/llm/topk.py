@@ -14,7 +14,7 @@ counts a query, and at the end at most k rows a query, however many vectors tie.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -85,10 +85,6 @@ class _Queries:
 _LEAST = np.iinfo(np.int64).min
 
 
-def _map(candidates: DataFrame, task: Callable, schema: str) -> DataFrame:
-    return candidates.mapInArrow(task, schema)
-
-
 def _bounds(candidates: DataFrame, known, k: int) -> DataFrame:
     """Per query: candidates, largest score, and a lower bound of the k-th largest."""
 
@@ -116,7 +112,7 @@ def _bounds(candidates: DataFrame, known, k: int) -> DataFrame:
             }
         )
 
-    found = _map(candidates, run, "query_id long, n long, high long, low long, kth long")
+    found = candidates.mapInArrow(run, "query_id long, n long, high long, low long, kth long")
     return found.groupBy("query_id").agg(
         F.sum("n").alias("n"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("kth").alias("kth")
     )
@@ -141,7 +137,7 @@ def _histograms(candidates: DataFrame, known, ranges) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else ([], [], [])
         yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "bin", "n"), columns, strict=True)})
 
-    found = _map(candidates, run, "query_id long, bin long, n long")
+    found = candidates.mapInArrow(run, "query_id long, bin long, n long")
     return found.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
 
 
@@ -198,7 +194,7 @@ def _selected(candidates: DataFrame, known, kth, k: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else ([], [], [])
         yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-    return _map(candidates, run, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -212,8 +208,8 @@ def top_k(
     """``query_id, rank, vec_id, score``: the ``k`` best candidates of each query.
 
     The score is the inner product of the vectors as integers, floor(scale * x). Ties
-    go to the smaller id. A query is not its own candidate, by id; candidates with
-    fewer than ``k`` others give as many. Vectors of another length than the query's
+    go to the smaller id. A query is not its own candidate, by id; a query with fewer
+    than ``k`` candidates gets them all. Vectors of another length than the query's
     are no candidates of it.
 
     Vectors that are null, empty or hold a null, NaN or infinite component take no
