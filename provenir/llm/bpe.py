@@ -5,8 +5,8 @@ token and begins the next, so the parts are encoded alone with the same ids. Eac
 distinct word is encoded once, wherever it occurs, and the ids are joined back by
 position. Decoding joins every id with its piece.
 
-Plan: texts are dealt once into blocks of about ``BLOCK_BYTES``. A block sends its
-distinct words to buckets by their hash, packed, never more rows than words; a bucket
+Plan: texts are dealt once into blocks of about ``BLOCK_BYTES``, compressed before the
+shuffle, since they are most of what moves. A block sends its distinct words to buckets by their hash, packed, never more rows than words; a bucket
 encodes each word once and sends the ids back, and a block looks up its words. The
 table of words is nowhere held whole; the table of pieces is bounded by the vocabulary.
 """
@@ -15,18 +15,20 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm.common import id_and_text, text_bytes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 # What surely is no white space in any edition of Unicode; a space before anything
 # else begins no word here, which only makes parts longer.
@@ -78,48 +80,110 @@ def _pieces(vocabulary: str) -> list[bytes]:
     return out
 
 
-def _words(texts: list[str], vocabulary: str) -> tuple[set[str], set[str]]:
-    """Distinct first parts, and distinct parts that have a space before them."""
-    firsts, others = set(), set()
-    for text in texts:
-        first, *rest = _parts(text, vocabulary)
-        firsts.add(first)
-        others.update(rest)
-    return firsts, others
+def _deal():
+    """Texts to blocks by a hash of id and text, packed and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0, True]) if len(order) else [0]
+            rows: list[tuple] = []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                own = batch.take(pa.array(order[begin:end]))
+                texts = [t.encode("utf-8", "surrogatepass") for t in own.column("text").to_pylist()]
+                lengths = np.array([len(t) for t in texts], np.int64)
+                rows.append((int(blocks[order[begin]]), own.column("doc_id"), _squeeze(lengths.tobytes()), _squeeze(b"".join(texts))))
+            columns = list(zip(*rows, strict=True)) if rows else ([], [], [], [])
+            ids = pa.array([c.to_pylist() for c in columns[1]], pa.list_(pa.int64()))
+            yield pa.record_batch(
+                {
+                    "block": pa.array(columns[0], pa.int32()),
+                    "ids": ids,
+                    "lengths": pa.array(columns[2], pa.binary()),
+                    "texts": pa.array(columns[3], pa.binary()),
+                }
+            )
+
+    return run
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
+def _texts(block: pa.Table) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a block, packet by packet."""
+    for ids, lengths, data in zip(*(block.column(c) for c in ("ids", "lengths", "texts")), strict=True):
+        sizes = np.frombuffer(_unsqueeze(lengths.as_py()), np.int64)
+        yield ids.as_py(), [t.decode("utf-8", "surrogatepass") for t in _cut(_unsqueeze(data.as_py()), sizes)]
 
-def _by_bucket(texts: list[str], vocabulary: str, n: int) -> dict[int, list[str]]:
-    """The distinct words of a block, sorted, by bucket."""
-    firsts, others = _words(texts, vocabulary)
+
+def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> tuple[set[str], dict[int, list[str]]]:
+    """The words that begin a text, and the distinct words of a block, sorted, by bucket.
+
+    Spark gives all its Python workers one seed, without which hashes would differ.
+    """
+    if "PYTHONHASHSEED" not in os.environ:
+        raise RuntimeError("PYTHONHASHSEED is not set for the Python workers")
+    firsts, others = set(), set()
+    for _, texts in _texts(block):
+        for text in texts:
+            first, *rest = _parts(text, vocabulary)
+            firsts.add(first)
+            others.update(rest)
     firsts.discard("")
     out: dict[int, list[str]] = {}
-    for word in sorted(firsts | {" " + w for w in others}):
-        out.setdefault(crc32(word.encode()) % n, []).append(word)
-    return out
+    for word in sorted(firsts.union(map(" ".__add__, others))):
+        out.setdefault(hash(word) % n, []).append(word)
+    return firsts, out
 
 
 def _send_words(block: pa.Table, vocabulary: str, n: int) -> pa.Table:
     name = block.column("block")[0].as_py()
-    found = _by_bucket(block.column("text").to_pylist(), vocabulary, n)
+    _, found = _by_bucket(block, vocabulary, n)
+    raw = [[w.encode("utf-8", "surrogatepass") for w in words] for words in found.values()]
     return pa.table(
         {
             "block": pa.array([name] * len(found), pa.int32()),
             "bucket": pa.array(list(found), pa.int32()),
-            "words": pa.array(list(found.values()), pa.list_(pa.string())),
+            "words": pa.array([_squeeze(b"".join(r)) for r in raw], pa.binary()),
+            "lengths": pa.array([_squeeze(np.array([len(w) for w in r], np.int32).tobytes()) for r in raw], pa.binary()),
         }
     )
 
 
+def _id_type(vocabulary: str) -> type:
+    return np.uint16 if len(_pieces(vocabulary)) <= 1 << 16 else np.int32
+
+
 def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
-    tokenizer, known = _tokenizer(vocabulary), {}
-    sent = [p.as_py() for p in packets.column("words")]
-    for word in sorted(set().union(*sent)):
-        known[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.int32)
+    """Ids of the words of a bucket; a word that many blocks sent is encoded once."""
+    tokenizer, kind = _tokenizer(vocabulary), _id_type(vocabulary)
+    sent = [
+        _cut(_unsqueeze(w.as_py()), np.frombuffer(_unsqueeze(s.as_py()), np.int32))
+        for w, s in zip(packets.column("words"), packets.column("lengths"), strict=True)
+    ]
+    known: dict[bytes, np.ndarray] = dict.fromkeys(w for words in sent for w in words)
+    words = list(known)
+    for at in range(0, len(words), 2000):
+        some = words[at : at + 2000]
+        found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+        known.update((w, np.array(e.ids, kind)) for w, e in zip(some, found, strict=True))
     ids, lengths = [], []
     for words in sent:
         own = [known[w] for w in words]
-        ids.append(np.concatenate(own).tobytes())
-        lengths.append(np.array([len(o) for o in own], np.int32).tobytes())
+        ids.append(_squeeze(np.concatenate(own).tobytes()))
+        lengths.append(_squeeze(np.array([len(o) for o in own], np.int32).tobytes()))
     return pa.table(
         {
             "block": packets.column("block"),
@@ -131,25 +195,28 @@ def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
 
 
 def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int) -> pa.Table:
-    texts = block.column("text").to_pylist()
-    found = _by_bucket(texts, vocabulary, n)
+    firsts, found = _by_bucket(block, vocabulary, n)
     first_ids, other_ids = {"": b""}, {}
-    for bucket, ids, lengths in zip(*(replies.column(c).to_pylist() for c in ("bucket", "ids", "lengths")), strict=True):
-        ends = (np.cumsum(np.frombuffer(lengths, np.int32)) * 4).tolist()
-        for word, begin, end in zip(found[bucket], [0, *ends], ends, strict=False):
-            first_ids[word] = ids[begin:end]
+    kind = _id_type(vocabulary)
+    size = np.dtype(kind).itemsize
+    for bucket, ids, lengths in zip(*(replies.column(c) for c in ("bucket", "ids", "lengths")), strict=True):
+        sizes = np.frombuffer(_unsqueeze(lengths.as_py()), np.int32) * size
+        for word, own in zip(found.pop(bucket.as_py()), _cut(_unsqueeze(ids.as_py()), sizes), strict=True):
+            if word in firsts:
+                first_ids[word] = own
             if word[0] == " ":
-                other_ids[word[1:]] = ids[begin:end]
-    offsets, values = [0], []
-    for text in texts:
-        first, *rest = _parts(text, vocabulary)
-        own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest))
-        values.append(own)
-        offsets.append(offsets[-1] + len(own) // 4)
-    flat = pa.array(np.frombuffer(b"".join(values), np.int32))
-    return pa.table(
-        {"doc_id": block.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
-    )
+                other_ids[word[1:]] = own
+    doc_ids, lengths, values = [], [0], []
+    for ids, texts in _texts(block):
+        doc_ids += ids
+        for text in texts:
+            first, *rest = _parts(text, vocabulary)
+            own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest))
+            values.append(own)
+            lengths.append(len(own) // size)
+    flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))
+    offsets = pa.array(np.cumsum(lengths), pa.int32())
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, flat)})
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,9 +233,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     n = max(1, ceil(text_bytes(texts) / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    dealt = texts.select(block.alias("block"), "*").repartition(n, "block")
+    dealt = texts.select(block.alias("block"), "*").mapInArrow(
+        _deal(), "block int, ids array<long>, lengths binary, texts binary"
+    )
+    dealt = dealt.repartition(n, "block")
     words = dealt.groupBy("block").applyInArrow(
-        lambda t: _send_words(t, shared.value, n), "block int, bucket int, words array<string>"
+        lambda t: _send_words(t, shared.value, n), "block int, bucket int, words binary, lengths binary"
     )
     encoded = words.groupBy("bucket").applyInArrow(
         lambda t: _encode_words(t, shared.value), "block int, bucket int, ids binary, lengths binary"
@@ -190,16 +260,16 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def join_pieces(ids: pa.Array) -> pa.Array:
-        pieces = _pieces(shared.value)
-        texts = []
-        for row in ids:
-            if not row.is_valid:
-                texts.append(None)
-                continue
-            own = row.values.drop_null().to_numpy().tolist()
-            if own and min(own) < 0:
-                raise ValueError("an id is negative")
-            texts.append(b"".join([pieces[i] for i in own]).decode("utf-8", "replace"))
+        pieces = pa.array(_pieces(shared.value), pa.binary())
+        texts: list[str | None] = []
+        for at in range(0, len(ids), 500):
+            some = ids.slice(at, 500)
+            lengths = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+            parts = pc.fill_null(pieces.take(some.flatten()), b"")
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, parts), b"").to_pylist()
+            known = some.is_valid().to_pylist()
+            texts += [b.decode("utf-8", "replace") if k else None for b, k in zip(joined, known, strict=True)]
         return pa.array(texts, pa.string())
 
     return tokens.withColumn(out, F.arrow_udf(join_pieces, "string")(ids_col))
