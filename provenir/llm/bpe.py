@@ -128,38 +128,42 @@ def _texts(block: pa.Table) -> Iterator[tuple[list, list[str]]]:
         yield ids.as_py(), [t.decode("utf-8", "surrogatepass") for t in _cut(_unsqueeze(data.as_py()), sizes)]
 
 
-def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> tuple[set[str], dict[int, list[str]]]:
-    """The words that begin a text, and the distinct words of a block, sorted, by bucket.
+def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> dict[int, tuple[list[str], list[str]]]:
+    """By bucket the distinct first parts of texts, and the other words, each sorted.
 
-    Spark gives all its Python workers one seed, without which hashes would differ.
+    The other words have a space before them, which is left out here. Spark gives all
+    its Python workers one seed, without which hashes would differ.
     """
     if "PYTHONHASHSEED" not in os.environ:
         raise RuntimeError("PYTHONHASHSEED is not set for the Python workers")
     firsts, others = set(), set()
     for _, texts in _texts(block):
         for text in texts:
-            first, *rest = _parts(text, vocabulary)
-            firsts.add(first)
-            others.update(rest)
+            parts = _parts(text, vocabulary)
+            firsts.add(parts[0])
+            del parts[0]
+            others.update(parts)
     firsts.discard("")
-    out: dict[int, list[str]] = {}
-    for word in sorted(firsts.union(map(" ".__add__, others))):
-        out.setdefault(hash(word) % n, []).append(word)
-    return firsts, out
+    out: dict[int, tuple[list[str], list[str]]] = {}
+    for kind, words in enumerate((firsts, others)):
+        for word in sorted(words):
+            bucket = hash(word) % n
+            if bucket not in out:
+                out[bucket] = ([], [])
+            out[bucket][kind].append(word)
+    return out
 
 
 def _send_words(block: pa.Table, vocabulary: str, n: int) -> pa.Table:
     name = block.column("block")[0].as_py()
-    _, found = _by_bucket(block, vocabulary, n)
-    raw = [[w.encode("utf-8", "surrogatepass") for w in words] for words in found.values()]
-    return pa.table(
-        {
-            "block": pa.array([name] * len(found), pa.int32()),
-            "bucket": pa.array(list(found), pa.int32()),
-            "words": pa.array([_squeeze(b"".join(r)) for r in raw], pa.binary()),
-            "lengths": pa.array([_squeeze(np.array([len(w) for w in r], np.int32).tobytes()) for r in raw], pa.binary()),
-        }
-    )
+    rows = []
+    for bucket, (firsts, others) in _by_bucket(block, vocabulary, n).items():
+        raw = [w.encode("utf-8", "surrogatepass") for w in (*firsts, *others)]
+        lengths = np.fromiter(map(len, raw), np.int32, len(raw))
+        rows.append((name, bucket, len(firsts), _squeeze(b"".join(raw)), _squeeze(lengths.tobytes())))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    types = {"block": pa.int32(), "bucket": pa.int32(), "n_firsts": pa.int32(), "words": pa.binary(), "lengths": pa.binary()}
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(types.items(), columns, strict=True)})
 
 
 def _id_type(vocabulary: str) -> type:
@@ -169,21 +173,24 @@ def _id_type(vocabulary: str) -> type:
 def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
     """Ids of the words of a bucket; a word that many blocks sent is encoded once."""
     tokenizer, kind = _tokenizer(vocabulary), _id_type(vocabulary)
-    sent = [
-        _cut(_unsqueeze(w.as_py()), np.frombuffer(_unsqueeze(s.as_py()), np.int32))
-        for w, s in zip(packets.column("words"), packets.column("lengths"), strict=True)
-    ]
-    known: dict[bytes, np.ndarray] = dict.fromkeys(w for words in sent for w in words)
-    words = list(known)
-    for at in range(0, len(words), 2000):
-        some = words[at : at + 2000]
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-        known.update((w, np.array(e.ids, kind)) for w, e in zip(some, found, strict=True))
+    size = np.dtype(kind).itemsize
+    sent = []
+    for count, words, lengths in zip(*(packets.column(c) for c in ("n_firsts", "words", "lengths")), strict=True):
+        found = _cut(_unsqueeze(words.as_py()), np.frombuffer(_unsqueeze(lengths.as_py()), np.int32))
+        sent.append((found[: count.as_py()], found[count.as_py() :]))
+    ids_of: tuple[dict[bytes, bytes], ...] = ({}, {})
+    for before, (known, own) in enumerate(zip(ids_of, zip(*sent, strict=True), strict=True)):
+        words = list(dict.fromkeys(w for some in own for w in some))
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            texts = [" " * before + w.decode("utf-8", "surrogatepass") for w in some]
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, found, strict=True))
     ids, lengths = [], []
-    for words in sent:
-        own = [known[w] for w in words]
-        ids.append(_squeeze(np.concatenate(own).tobytes()))
-        lengths.append(_squeeze(np.array([len(o) for o in own], np.int32).tobytes()))
+    for firsts, others in sent:
+        own = [*map(ids_of[0].__getitem__, firsts), *map(ids_of[1].__getitem__, others)]
+        ids.append(_squeeze(b"".join(own)))
+        lengths.append(_squeeze((np.fromiter(map(len, own), np.int32, len(own)) // size).tobytes()))
     return pa.table(
         {
             "block": packets.column("block"),
@@ -195,23 +202,23 @@ def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
 
 
 def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int) -> pa.Table:
-    firsts, found = _by_bucket(block, vocabulary, n)
+    found = _by_bucket(block, vocabulary, n)
     first_ids, other_ids = {"": b""}, {}
     kind = _id_type(vocabulary)
     size = np.dtype(kind).itemsize
     for bucket, ids, lengths in zip(*(replies.column(c) for c in ("bucket", "ids", "lengths")), strict=True):
-        sizes = np.frombuffer(_unsqueeze(lengths.as_py()), np.int32) * size
-        for word, own in zip(found.pop(bucket.as_py()), _cut(_unsqueeze(ids.as_py()), sizes), strict=True):
-            if word in firsts:
-                first_ids[word] = own
-            if word[0] == " ":
-                other_ids[word[1:]] = own
+        firsts, others = found.pop(bucket.as_py())
+        own = _cut(_unsqueeze(ids.as_py()), np.frombuffer(_unsqueeze(lengths.as_py()), np.int32) * size)
+        first_ids.update(zip(firsts, own, strict=False))
+        other_ids.update(zip(others, own[len(firsts) :], strict=True))
     doc_ids, lengths, values = [], [0], []
     for ids, texts in _texts(block):
         doc_ids += ids
         for text in texts:
-            first, *rest = _parts(text, vocabulary)
-            own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest))
+            parts = _parts(text, vocabulary)
+            first = parts[0]
+            del parts[0]
+            own = first_ids[first] + b"".join(map(other_ids.__getitem__, parts))
             values.append(own)
             lengths.append(len(own) // size)
     flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))
@@ -238,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     )
     dealt = dealt.repartition(n, "block")
     words = dealt.groupBy("block").applyInArrow(
-        lambda t: _send_words(t, shared.value, n), "block int, bucket int, words binary, lengths binary"
+        lambda t: _send_words(t, shared.value, n), "block int, bucket int, n_firsts int, words binary, lengths binary"
     )
     encoded = words.groupBy("bucket").applyInArrow(
         lambda t: _encode_words(t, shared.value), "block int, bucket int, ids binary, lengths binary"
