@@ -11,7 +11,7 @@ Two choices keep the passes cheap where almost all suffixes are alone:
   thirteen neighbouring windows share one digit, so the first pass moves one number
   for all of them. A digit that no two documents share ends the sort of its windows.
 - The second pass orders the windows that are left by all their bytes. A block sends
-  each distinct run of windows with the smallest id that has it, once.
+  each distinct run of windows with the smallest id that has it, once, compressed.
 
 Windows are compared by 128 bits of hash in the second pass; the chance that any two
 different ones among 10^13 agree is below 10^-12.
@@ -29,6 +29,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -
                     (block.place - block.first)[head[own]].astype(np.int32).tobytes(),
                     block.ids[block.doc[head[own]]].tobytes(),
                     np.array([len(contents[i]) for i in own], np.int32).tobytes(),
-                    b"".join(contents[i] for i in own),
+                    zstandard.ZstdCompressor(level=3).compress(b"".join(contents[i] for i in own)),
                 )
             )
     return _table(schema, rows)
@@ -254,7 +255,7 @@ def _judge_spans(packets: pa.Table, threshold: int) -> pa.Table:
     count = [len(x) // 4 for x in packets.column("lengths").to_pylist()]
     lengths = np.concatenate([np.frombuffer(x, np.int32) for x in packets.column("lengths").to_pylist()]).astype(np.int64)
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in packets.column("ids").to_pylist()])
-    parts = packets.column("bytes").to_pylist()
+    parts = [zstandard.ZstdDecompressor().decompress(p) for p in packets.column("bytes").to_pylist()]
     one, two = [], []
     for part, own in zip(parts, np.split(lengths, np.cumsum(count)[:-1]), strict=True):
         # Windows that lie in one span, in pieces of whole spans.
