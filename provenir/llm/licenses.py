@@ -110,15 +110,19 @@ def _known(parts: Column, sentences: Mapping[str, str]) -> Column:
 def license_sentences(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
     """The identifiers of known sentences in a text, in order.
 
-    Lines are sentences of their own if that finds more or as many; otherwise a
-    sentence may run over line ends.
+    A sentence ends at a full stop, at the end of its line or, if it runs over line ends,
+    at a line without letters or digits. Where the whole of what stands between full
+    stops and such lines is known, its lines aren't looked up.
     """
     lower = F.translate(text, _UPPER, _LOWER)
     marked = F.regexp_replace(F.regexp_replace(lower, SENTENCE_END, "\x01\n"), NOT_WORD, " ")
-    lines = _known(F.split(marked, "[\n\x01]+"), sentences)
-    joined = F.regexp_replace(F.translate(marked, "\n", " "), " +", " ")
-    runs = _known(F.split(joined, "\x01"), sentences)
-    found = F.when(F.size(lines) >= F.size(runs), lines).otherwise(runs)
+    runs = F.split(F.regexp_replace(marked, "\n(?: *\n)+", "\x01"), "\x01")
+
+    def found_in(run: Column) -> Column:
+        whole = _known(F.array(F.regexp_replace(F.translate(run, "\n", " "), " +", " ")), sentences)
+        return F.when(F.size(whole) > 0, whole).otherwise(_known(F.split(run, "\n"), sentences))
+
+    found = F.flatten(F.transform(runs, found_in))
     may = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(a)) for a in ANCHORS))
     return F.when(may, found).otherwise(F.array().cast("array<string>"))
 

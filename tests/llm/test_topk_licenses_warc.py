@@ -84,6 +84,48 @@ def test_license_rules(spark, text, rules):
     assert licenses.scan_licenses(docs(spark, [(1, text)])).first()["rules"] == rules
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+MIT_TEXT = ["mit-grant", "mit-notice", "as-is-software"]
+
+
+@pytest.mark.parametrize(
+    ("text", "found", "rules"),
+    [
+        (MIT_FILE, MIT_TEXT, ["mit-text"]),
+        (MIT_FILE.replace("\n", "\r\n"), MIT_TEXT, ["mit-text"]),
+        ("/*\n" + "".join(f" * {line}\n" for line in MIT_FILE.splitlines()) + " */", MIT_TEXT, ["mit-text"]),
+        (f"The {MIT_FILE}", ["mit-title", *MIT_TEXT], ["mit-text", "mit-title-text"]),
+        # One-line notices without a full stop before, between and after wrapped sentences.
+        (f"Licensed under CC BY 4.0\nby X\n\n{MIT_FILE}\nReleased under the MIT License\nby X", ["cc-by-4", *MIT_TEXT, "mit-release"], ["cc-by-4", "mit-release", "mit-text"]),
+        ("Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file\nexcept in compliance with the License.", ["apache-header", "apache-compliance"], ["apache-header"]),
+    ],
+)
+def test_wrapped_license_texts(spark, text, found, rules):
+    got = licenses.scan_licenses(docs(spark, [(1, text)])).first()
+    assert (got["sentences"], got["rules"]) == (found, rules)
+
+
 def test_licenses_of_awkward_rows(spark):
     rows = [*ROWS, (20, "Licensed under CC BY 4.0.\n" * 5000)]
     got = licenses.scan_licenses(docs(spark, rows))
