@@ -11,6 +11,7 @@ known sentence can be are cut at all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -18,7 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The public wording of licence notices, lower-cased, without punctuation.
+# The public wording of licence notices, lower-cased, without punctuation,
+# cut where SENTENCE_END cuts: what stands before and after a ';' or ':' are two.
 SENTENCES = {
     "mit-title": "the mit license",
     "mit-release": "released under the mit license",
@@ -49,19 +51,27 @@ SENTENCES = {
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
         " following disclaimer in the documentation and or other materials provided with the distribution"
     ),
+    "bsd-advert": (
+        "all advertising materials mentioning features or use of this software must display the following"
+        " acknowledgement"
+    ),
+    "bsd-endorse": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission"
+    ),
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-compliance": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
-        " public license as published by the free software foundation either version 3 of the license or at your"
-        " option any later version"
+    "gpl-free": "this program is free software",
+    "gpl-free-terms": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by"
+        " the free software foundation either version 3 of the license or at your option any later version"
     ),
-    "gpl-warranty": (
-        "this program is distributed in the hope that it will be useful but without any warranty without even the"
-        " implied warranty of merchantability or fitness for a particular purpose"
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-warranty-implied": (
+        "without even the implied warranty of merchantability or fitness for a particular purpose"
     ),
     "cc-by-nc-4": "licensed under cc by nc 4 0",
     "cc-by-4": "licensed under cc by 4 0",
@@ -70,11 +80,15 @@ SENTENCES = {
 
 
 class LicenseRule(NamedTuple):
-    """A licence, known by sentences that follow each other among the known ones."""
+    """A licence, known by sentences that follow each other among the known ones.
+
+    Where one of ``not_before`` follows them, it is another licence.
+    """
 
     name: str
     license: str
     sentences: tuple[str, ...]
+    not_before: tuple[str, ...] = ()
 
 
 RULES = (
@@ -82,21 +96,26 @@ RULES = (
     LicenseRule("mit-title-text", "MIT", ("mit-title", "mit-grant")),
     LicenseRule("mit-release", "MIT", ("mit-release",)),
     LicenseRule("mit-licensed", "MIT", ("mit-licensed",)),
-    LicenseRule("bsd-2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    LicenseRule("bsd-2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), ("bsd-endorse", "bsd-advert")),
+    LicenseRule("bsd-3-text", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    LicenseRule("bsd-4-text", "BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
     LicenseRule("apache-notice", "Apache-2.0", ("apache-notice",)),
     LicenseRule("apache-header", "Apache-2.0", ("apache-header", "apache-compliance")),
     LicenseRule("gpl3-notice", "GPL-3.0-only", ("gpl3-notice",)),
-    LicenseRule("gpl3-header", "GPL-3.0-or-later", ("gpl-free", "gpl-warranty")),
+    LicenseRule("gpl3-header", "GPL-3.0-or-later", ("gpl-free", "gpl-free-terms", "gpl-warranty", "gpl-warranty-implied")),
     LicenseRule("cc-by-nc-4", "CC-BY-NC-4.0", ("cc-by-nc-4",)),
     LicenseRule("cc-by-4", "CC-BY-4.0", ("cc-by-4",)),
     LicenseRule("cc-by-sa-4", "CC-BY-SA-4.0", ("cc-by-sa-4",)),
 )
 
 # Every known sentence holds one of these.
-ANCHORS = ("license", "redistribut", "permission", "warrant")
+ANCHORS = ("license", "redistribut", "permission", "warrant", "software")
 
 SENTENCE_END = r"[.!?;:]+(?:[ \t\r\n]+|$)"
 NOT_WORD = r"[^a-z0-9\n\x01]+"
+# The third BSD clause names whom it protects; a full stop in the name cuts off its head.
+ENDORSER = r"^ *(?:neither the name of [^\n]*)?nor the names of (?:its|their|any|the) contributors may be used "
+_ENDORSED = "neither the name of the copyright holder nor the names of its contributors may be used "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -119,7 +138,9 @@ def license_sentences(text: Column, sentences: Mapping[str, str] = SENTENCES) ->
     runs = F.split(F.regexp_replace(marked, "\n(?: *\n)+", "\x01"), "\x01")
 
     def found_in(run: Column) -> Column:
-        whole = _known(F.array(F.regexp_replace(F.translate(run, "\n", " "), " +", " ")), sentences)
+        joined = F.regexp_replace(F.translate(run, "\n", " "), " +", " ")
+        named = F.regexp_replace(joined, ENDORSER, _ENDORSED)
+        whole = _known(F.array(F.when(F.contains(joined, F.lit("nor the names of")), named).otherwise(joined)), sentences)
         return F.when(F.size(whole) > 0, whole).otherwise(_known(F.split(run, "\n"), sentences))
 
     found = F.flatten(F.transform(runs, found_in))
@@ -137,7 +158,7 @@ def scan_licenses(
     """``doc_id, sentences array, rules array, licenses array`` for every row of ``docs``.
 
     ``sentences`` are identifiers of the known sentences in order; ``rules`` the names
-    of the rules whose sequence stands in them, sorted; ``licenses`` the distinct
+    of the rules whose sequence stands in them, and not before what excludes it, sorted; ``licenses`` the distinct
     licences of these, sorted. The arrays are empty for a null, empty or unlicensed
     text. Rows are independent; an empty table gives no rows. Sentences given
     must hold one of ``ANCHORS``.
@@ -148,8 +169,16 @@ def scan_licenses(
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     found = docs.select(docs[id_col].alias("doc_id"), license_sentences(text, sentences).alias("sentences"))
     sequence = F.concat(F.lit("|"), F.array_join("sentences", "|"), F.lit("|"))
-    hits = [F.when(F.contains(sequence, F.lit(f"|{'|'.join(r.sentences)}|")), F.lit(r.name)) for r in rules]
-    named = [F.when(F.contains(sequence, F.lit(f"|{'|'.join(r.sentences)}|")), F.lit(r.license)) for r in rules]
+
+    def holds(rule: LicenseRule) -> Column:
+        known = f"|{'|'.join(rule.sentences)}|"
+        if not rule.not_before:
+            return F.contains(sequence, F.lit(known))
+        others = "|".join(map(re.escape, rule.not_before))
+        return F.rlike(sequence, F.lit(f"{re.escape(known)}(?!(?:{others})\\|)"))
+
+    hits = [F.when(holds(r), F.lit(r.name)) for r in rules]
+    named = [F.when(holds(r), F.lit(r.license)) for r in rules]
     return found.select(
         "doc_id",
         "sentences",

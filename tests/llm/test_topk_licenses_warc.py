@@ -126,6 +126,87 @@ def test_wrapped_license_texts(spark, text, found, rules):
     assert (got["sentences"], got["rules"]) == (found, rules)
 
 
+BSD = """Copyright (c) 2020 X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by X.
+"""
+GPL = """Copyright (C) 2020  X
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def endorse(name):
+    return f"""3. Neither the name of {name} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "rules", "names"),
+    [
+        (GPL, ["gpl3-header"], ["GPL-3.0-or-later"]),
+        (GPL.replace("software:", "software;"), ["gpl3-header"], ["GPL-3.0-or-later"]),
+        ("".join(f"# {line}\n" for line in GPL.splitlines()), ["gpl3-header"], ["GPL-3.0-or-later"]),
+        (BSD + BSD_END, ["bsd-2-text"], ["BSD-2-Clause"]),
+        (BSD + endorse("the copyright holder") + BSD_END, ["bsd-3-text"], ["BSD-3-Clause"]),
+        (BSD + endorse("Google Inc.") + BSD_END, ["bsd-3-text"], ["BSD-3-Clause"]),
+        (BSD + endorse("the University") + BSD_END, ["bsd-3-text"], ["BSD-3-Clause"]),
+        (BSD + ADVERT + endorse("X") + BSD_END, ["bsd-4-text"], ["BSD-4-Clause"]),
+        (BSD + endorse("X") + BSD_END + BSD + BSD_END, ["bsd-2-text", "bsd-3-text"], ["BSD-2-Clause", "BSD-3-Clause"]),
+        (APACHE, ["apache-header"], ["Apache-2.0"]),
+        ("Licensed under the Apache License,\nVersion 2.0.", ["apache-notice"], ["Apache-2.0"]),
+        (f"The {MIT_FILE}", ["mit-text", "mit-title-text"], ["MIT"]),
+        ("Released under\nthe MIT License.", ["mit-release"], ["MIT"]),
+        ("Licensed under\nthe MIT License.", ["mit-licensed"], ["MIT"]),
+        ("This work is licensed under the GNU General\nPublic License, version 3.", ["gpl3-notice"], ["GPL-3.0-only"]),
+        *((f"Licensed under CC\n{k[3:-2].upper()} 4.0.", [k], [f"CC-{k[3:-2].upper()}-4.0"]) for k in ("cc-by-4", "cc-by-nc-4", "cc-by-sa-4")),
+    ],
+)
+def test_wrapped_official_wordings(spark, text, rules, names):
+    got = licenses.scan_licenses(docs(spark, [(1, text)])).first()
+    assert (got["rules"], got["licenses"]) == (rules, names)
+
+
+def test_known_sentences_are_as_the_splitter_makes_them():
+    import re
+
+    assert {r.name for r in licenses.RULES if not set(r.sentences + r.not_before) <= set(licenses.SENTENCES)} == set()
+    assert all(re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s) for s in licenses.SENTENCES.values())
+
+
 def test_licenses_of_awkward_rows(spark):
     rows = [*ROWS, (20, "Licensed under CC BY 4.0.\n" * 5000)]
     got = licenses.scan_licenses(docs(spark, rows))
