@@ -1,6 +1,7 @@
 """URL filter: listed rules first, else the ratio of two character language models.
 
-One model is learned from accepted URLs, one from rejected ones. Both are Markov models
+One model is learned from accepted URLs, one from rejected ones, from the whole URL with
+scheme, query and fragment; only rules look at host and path. Both are Markov models
 of variable order, smoothed by Witten-Bell interpolation down to a uniform
 distribution. A URL is judged by the difference of its log-likelihoods per character
 against a threshold calibrated on URLs that were held back from training.
@@ -87,18 +88,21 @@ def _log_ratios(learn: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> float:
-    """The score that parts held-back URLs with the largest mean of both recalls."""
+    """The score that parts held-back URLs with the largest mean of both recalls.
+
+    It lies in the middle of the gap between the scores that it parts.
+    """
     edge = 2 * LIMIT / BINS
     bin_of = F.floor((F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) + LIMIT) / edge)
     counts = [F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")]
     rows = sorted(scored.groupBy(bin_of.alias("bin")).agg(*counts).collect(), key=lambda r: r["bin"])
     allow, block = max(1, sum(r["allow"] for r in rows)), max(1, sum(r["block"] for r in rows))
-    best, cut, below_a, below_b = 0.5, 0.0, 0, 0
+    best, cut, below_a, below_b, last = 0.5, 0.0, 0, 0, 0
     for r in rows:  # everything below the bin is blocked
         gain = ((allow - below_a) / allow + below_b / block) / 2
         if gain > best:
-            best, cut = gain, r["bin"] * edge - LIMIT
-        below_a, below_b = below_a + r["allow"], below_b + r["block"]
+            best, cut = gain, (last + r["bin"]) / 2 * edge - LIMIT
+        below_a, below_b, last = below_a + r["allow"], below_b + r["block"], r["bin"] + 1
     return cut
 
 
@@ -115,17 +119,19 @@ def filter_urls(
     ``score`` is the log-likelihood difference per character, and a URL is allowed
     where it reaches the threshold. The score is null where a rule decides.
 
-    A null URL and one without ``://`` have host and path '' and are scored as such.
+    A null URL and one without ``://`` have host and path ''. The models score the whole
+    URL as it is, a null one as ''.
     Without accepted or without rejected URLs to learn from, what no rule decides is
     allowed, with score 0. Rows are independent of their ids; an empty table gives no rows.
     """
     url = pages[url_col].cast("string")
     host, path = host_and_path(url)
-    parted = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
+    text = F.coalesce(url, F.lit(""))
+    parted = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), text.alias("text"))
     ruled = parted.withColumns(
         {"rule": _first_rule(rules, lambda r: r.host + r.path), "verdict": _first_rule(rules, lambda r: r.verdict)}
     )
-    texts = ruled.select(F.concat("host", "path").alias("text"), "verdict").distinct()
+    texts = ruled.select("text", "verdict").distinct()
     texts = settle(texts.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 0), "url-texts")
     known = {r["verdict"] for r in texts.where("verdict is not null and not held").select("verdict").distinct().collect()}
     if known != {"allow", "block"}:
@@ -144,6 +150,6 @@ def filter_urls(
     scored = settle(scored, "url-scores")
     cut = _threshold(scored.where("verdict is not null"))
     open_texts = scored.where("verdict is null").select("text", "score")
-    judged = ruled.withColumn("text", F.when(F.col("rule").isNull(), F.concat("host", "path"))).join(open_texts, "text", "left")
+    judged = ruled.withColumn("text", F.when(F.col("rule").isNull(), F.col("text"))).join(open_texts, "text", "left")
     verdict = F.coalesce("verdict", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -137,6 +137,23 @@ def test_models_part_what_rules_leave_open(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_models_see_scheme_query_and_fragment(spark):
+    """URLs of one host and path, and ones without ``://``, that say different things."""
+    rules = [url_filter.UrlRule("good.example", "/", "allow"), url_filter.UrlRule("bad.example", "/", "block")]
+    rows = [f"https://h{i}.good.example/page?topic=garden{i}#library{i}" for i in range(100)]
+    rows += [f"http://h{i}.bad.example/page?topic=casino{i}#pills{i}" for i in range(100)]
+    rows += ["https://h.other.example/page?topic=garden1", "https://h.other.example/page?topic=casino1"]
+    rows += ["https://h.other.example/page#library1", "https://h.other.example/page#pills1"]
+    rows += ["topic=garden1#library1", "topic=casino1#pills1", "https://h.other.example/x", "http://h.other.example/x", None, ""]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id - 200: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].verdict for i in (0, 1, 4, 5)] == ["allow", "block"] * 2
+    assert all(got[i].score > got[i + 1].score for i in (0, 2, 4, 6))
+    assert got[8].score == got[9].score is not None
+    assert (got[1].host, got[1].path, got[5].host, got[5].path) == ("h.other.example", "/page", "", "")
+
+
 def test_url_query(spark):
     got = queries.op4_url_filter(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
