@@ -19,7 +19,10 @@ different ones among 10^13 agree is below 10^-12.
 Plan: texts are dealt once into blocks of about ``BLOCK_BYTES``, which the three steps
 read (Spark reuses the exchange). Digits go to buckets by their hash in packed
 arrays, never more rows than digits, and flags come back a bit each. A digit that is
-in very many documents comes once from each block, so no bucket is hot.
+in very many documents comes once from each block. Its spans may still differ in every
+document, so the windows of a digit that at least ``HOT_BLOCKS`` blocks have take a
+pass over all their bytes instead: a block sends the hash of each distinct one with
+the smallest id that has it, and the hash picks the bucket. So no bucket is hot.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from provenir.llm.common import chunks, mix64, random_words, text_bytes
 
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18
+HOT_BLOCKS = 64
 _U64 = np.uint64
 
 
@@ -177,8 +181,9 @@ def _slices(sorted_buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 DIGIT_ROWS = "block int, bucket int, digits binary"
+# Kinds: of digits, whether shared and (4) which are hot; of spans (2) and of windows (3).
 FLAG_ROWS = "block int, bucket int, kind int, reply binary"
-SPAN_ROWS = "block int, bucket int, places binary, ids binary, lengths binary, bytes binary"
+SPAN_ROWS = "block int, bucket int, kind int, places binary, ids binary, lengths binary, bytes binary"
 
 
 def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
@@ -196,26 +201,74 @@ def _send_digits(block: pa.Table, threshold: int, n: int) -> pa.Table:
     return _table({"block": _INT, "bucket": _INT, "digits": _BIN}, rows)
 
 
-def _flag_digits(packets: pa.Table) -> pa.Table:
-    """Which digits come from more than one block."""
+def _flag_digits(packets: pa.Table, hot_blocks: int) -> pa.Table:
+    """Which digits come from more than one block, and places of those from very many."""
     parts = [np.frombuffer(p, _U64) for p in packets.column("digits").to_pylist()]
     _, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    flags = np.split(counts[place] > 1, np.cumsum([len(p) for p in parts])[:-1])
-    packed = [np.packbits(f).tobytes() for f in flags]
-    n = packets.num_rows
-    return pa.table(
-        {"block": packets.column("block"), "bucket": packets.column("bucket"), "kind": pa.array([1] * n, _INT), "reply": pa.array(packed, _BIN)}
-    )
+    rows = []
+    names = zip(packets.column("block").to_pylist(), packets.column("bucket").to_pylist(), strict=True)
+    for name, own in zip(names, np.split(counts[place], np.cumsum([len(p) for p in parts])[:-1]), strict=True):
+        rows.append((*name, 1, np.packbits(own > 1).tobytes()))
+        if (own >= hot_blocks).any():
+            rows.append((*name, 4, np.flatnonzero(own >= hot_blocks).astype(np.int32).tobytes()))
+    return _table({"block": _INT, "bucket": _INT, "kind": _INT, "reply": _BIN}, rows)
+
 
+def _by_kind(replies: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {k: {} for k in range(1, 5)}
+    for kind, bucket, reply in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "reply")), strict=True):
+        out[kind][bucket] = reply
+    return out
 
-def _shared(block: _Block, replies: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _shared(block: _Block, replies: dict[int, dict[int, bytes]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct digit, whether it is shared but not hot, and whether it is hot; each run's digit."""
     distinct, shared, of_run = block.digits()
-    shared = shared.copy()
+    shared, hot = shared.copy(), np.zeros(len(distinct), bool)
     if len(distinct):
         for bucket, s in _slices(_bucket(distinct, n)):
-            bits = np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=s.stop - s.start)
+            bits = np.unpackbits(np.frombuffer(replies[1][bucket], np.uint8), count=s.stop - s.start)
             shared[s] |= bits.astype(bool)
-    return distinct, shared, of_run
+            hot[s.start + np.frombuffer(replies[4].get(bucket, b""), np.int32)] = True
+    return shared & ~hot, hot, of_run
+
+
+def _window_hashes(data: bytes, lengths: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that lies in one span, in pieces of whole spans."""
+    one, two = [np.empty(0, _U64)], [np.empty(0, _U64)]
+    ends = np.cumsum(lengths)
+    at, first = 0, 0
+    while first < len(lengths):
+        stop = max(first + 1, int(np.searchsorted(ends, at + PIECE, "right")))
+        part = np.frombuffer(data, np.uint8)[at : ends[stop - 1]]
+        begins = (ends[first:stop] - lengths[first:stop]) - at
+        n_windows = lengths[first:stop] - threshold + 1
+        windows = np.repeat(begins - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
+        one.append(mix64(_Rolling(part, 31).of(threshold)[windows]))
+        two.append(mix64(_Rolling(part, 41).of(threshold)[windows]))
+        at, first = int(ends[stop - 1]), stop
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _grouped(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First of each group of equal windows in the order of ``one``, its least owner, and each window's group."""
+    order = np.lexsort((two, one))
+    new = np.flatnonzero(np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+    group = np.empty(len(one), np.int64)
+    group[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(one)]))
+    return order[new], np.minimum.reduceat(owner[order], new), group
+
+
+def _hot_windows(block: _Block, hot: np.ndarray, of_run: np.ndarray):
+    """Runs of hot digits, the span of each, windows of each span, their groups; both hashes and least id of a group."""
+    runs, of, contents, head = block.spans(hot, of_run)
+    if not len(runs):
+        return None
+    lengths = np.array([len(c) for c in contents], np.int64)
+    one, two = _window_hashes(b"".join(contents), lengths, block.threshold)
+    n_windows = lengths - block.threshold + 1
+    first, least, group = _grouped(one, two, np.repeat(block.ids[block.doc[head]], n_windows))
+    return runs, of, n_windows, group, one[first], two[first], least
 
 
 def _by_bucket(block: _Block, shared: np.ndarray, of_run: np.ndarray, n: int):
@@ -227,11 +280,11 @@ def _by_bucket(block: _Block, shared: np.ndarray, of_run: np.ndarray, n: int):
 
 
 def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -> pa.Table:
-    schema = {"block": _INT, "bucket": _INT, "places": _BIN, "ids": _BIN, "lengths": _BIN, "bytes": _BIN}
+    schema = {"block": _INT, "bucket": _INT, "kind": _INT, "places": _BIN, "ids": _BIN, "lengths": _BIN, "bytes": _BIN}
     if not block_rows.num_rows:
         return _table(schema, [])
     block = _block_of(block_rows, threshold)
-    _, shared, of_run = _shared(block, dict(zip(flags.column("bucket").to_pylist(), flags.column("reply").to_pylist(), strict=True)), n)
+    shared, hot, of_run = _shared(block, _by_kind(flags), n)
     _, _, contents, head, buckets, order = _by_bucket(block, shared, of_run, n)
     name, rows = block_rows.column("block")[0].as_py(), []
     if len(order):
@@ -241,84 +294,90 @@ def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -
                 (
                     name,
                     bucket,
+                    2,
                     (block.place - block.first)[head[own]].astype(np.int32).tobytes(),
                     block.ids[block.doc[head[own]]].tobytes(),
                     np.array([len(contents[i]) for i in own], np.int32).tobytes(),
                     zstandard.ZstdCompressor(level=3).compress(b"".join(contents[i] for i in own)),
                 )
             )
+    if found := _hot_windows(block, hot, of_run):
+        *_, one, two, least = found
+        for bucket, s in _slices(_bucket(one, n)):
+            rows.append((name, bucket, 3, b"", least[s].tobytes(), b"", one[s].tobytes() + two[s].tobytes()))
     return _table(schema, rows)
 
 
 def _judge_spans(packets: pa.Table, threshold: int) -> pa.Table:
-    """For every span a bit for each of its windows: a smaller id has that window."""
-    count = [len(x) // 4 for x in packets.column("lengths").to_pylist()]
-    lengths = np.concatenate([np.frombuffer(x, np.int32) for x in packets.column("lengths").to_pylist()]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in packets.column("ids").to_pylist()])
-    parts = [zstandard.ZstdDecompressor().decompress(p) for p in packets.column("bytes").to_pylist()]
-    one, two = [], []
-    for part, own in zip(parts, np.split(lengths, np.cumsum(count)[:-1]), strict=True):
-        # Windows that lie in one span, in pieces of whole spans.
-        ends = np.cumsum(own)
-        at, first = 0, 0
-        while first < len(own):
-            stop = max(first + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-            data = np.frombuffer(part, np.uint8)[at : ends[stop - 1]]
-            begins = (ends[first:stop] - own[first:stop]) - at
-            n_windows = own[first:stop] - threshold + 1
-            windows = np.repeat(begins - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
-            one.append(mix64(_Rolling(data, 31).of(threshold)[windows]))
-            two.append(mix64(_Rolling(data, 41).of(threshold)[windows]))
-            at, first = int(ends[stop - 1]), stop
-    one, two = np.concatenate(one), np.concatenate(two)
-    n_windows = lengths - threshold + 1
-    owner = np.repeat(ids, n_windows)
-    order = np.lexsort((two, one))
-    new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
-    group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-    hit = np.empty(len(owner), bool)
-    hit[order] = least[group] < owner[order]
-    of_packet = np.add.reduceat(n_windows, np.cumsum(count) - count)
-    packed = [np.packbits(h).tobytes() for h in np.split(hit, np.cumsum(of_packet)[:-1])]
+    """A bit for each window of every span, or for each window sent: a smaller id has it. Packets are of one kind."""
+    kind = packets.column("kind")[0].as_py()
+    ids = [np.frombuffer(x, np.int64) for x in packets.column("ids").to_pylist()]
+    found, owners, sizes = [], [], []
+    for own, sent, part in zip(ids, packets.column("lengths").to_pylist(), packets.column("bytes").to_pylist(), strict=True):
+        if kind == 3:
+            found.append(np.split(np.frombuffer(part, _U64), 2))
+            owners.append(own)
+        else:
+            lengths = np.frombuffer(sent, np.int32).astype(np.int64)
+            found.append(_window_hashes(zstandard.ZstdDecompressor().decompress(part), lengths, threshold))
+            owners.append(np.repeat(own, lengths - threshold + 1))
+        sizes.append(len(owners[-1]))
+    one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    owner = np.concatenate(owners)
+    _, least, group = _grouped(one, two, owner)
+    packed = [np.packbits(h).tobytes() for h in np.split(least[group] < owner, np.cumsum(sizes)[:-1])]
     n = packets.num_rows
     return pa.table(
-        {"block": packets.column("block"), "bucket": packets.column("bucket"), "kind": pa.array([2] * n, _INT), "reply": pa.array(packed, _BIN)}
+        {"block": packets.column("block"), "bucket": packets.column("bucket"), "kind": pa.array([kind] * n, _INT), "reply": pa.array(packed, _BIN)}
     )
 
 
+def _bits(replies: dict[int, bytes], buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Replies in the order of ``buckets``, which ascend; each has as many bits as ``sizes`` add up to."""
+    parts = [np.unpackbits(np.frombuffer(replies[b], np.uint8), count=int(sizes[s].sum())) for b, s in _slices(buckets)]
+    return np.concatenate(parts).astype(bool)
+
+
+def _spread(width: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``width`` consecutive numbers from each ``begin``."""
+    return np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(width.sum())
+
+
 def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kept: list[str], as_text: bool) -> pa.Table:
     block = _block_of(block_rows, threshold)
-    kinds = replies.column("kind").to_pylist()
-    by_kind: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
-    for kind, bucket, reply in zip(kinds, replies.column("bucket").to_pylist(), replies.column("reply").to_pylist(), strict=True):
-        by_kind[kind][bucket] = reply
-    _, shared, of_run = _shared(block, by_kind[1], n)
+    by_kind = _by_kind(replies)
+    shared, hot, of_run = _shared(block, by_kind, n)
     runs, of, contents, head, buckets, order = _by_bucket(block, shared, of_run, n)
     spans: list[list[tuple[int, int]]] = [[] for _ in block.texts]
+    docs, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if len(order):
         n_windows = np.array([len(c) for c in contents], np.int64) - threshold + 1
-        bits = np.concatenate(
-            [
-                np.unpackbits(np.frombuffer(by_kind[2][bucket], np.uint8), count=int(n_windows[order[s]].sum()))
-                for bucket, s in _slices(buckets[order])
-            ]
-        ).astype(bool)
+        bits = _bits(by_kind[2], buckets[order], n_windows[order])
         begin = np.empty(len(order), np.int64)
         begin[order] = np.cumsum(n_windows[order]) - n_windows[order]
         # A document that isn't the smallest of its block with this span loses all of it.
         later = block.ids[block.doc[runs]] > block.ids[block.doc[head[of]]]
         width = n_windows[of]
-        place = np.repeat(begin[of] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        hit = bits[place] | np.repeat(later, width)
-        window = np.repeat(block.first[runs] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        doc, window = np.repeat(block.doc[runs], width)[hit], window[hit]
-        if len(doc):
-            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(window) > threshold)]
-            starts = np.flatnonzero(new)
-            stops = np.r_[starts[1:], len(doc)] - 1
-            for d, a, b in zip(doc[starts].tolist(), window[starts].tolist(), (window[stops] + threshold).tolist(), strict=True):
-                spans[d].append((a, b))
+        hit = bits[_spread(width, begin[of])] | np.repeat(later, width)
+        docs.append(np.repeat(block.doc[runs], width)[hit])
+        windows.append(_spread(width, block.first[runs])[hit])
+    if found := _hot_windows(block, hot, of_run):
+        runs, of, n_windows, group, one, _, least = found
+        bits = _bits(by_kind[3], _bucket(one, n), np.ones(len(one), np.int64))
+        width = n_windows[of]
+        own = group[_spread(width, (np.cumsum(n_windows) - n_windows)[of])]
+        hit = bits[own] | (least[own] < np.repeat(block.ids[block.doc[runs]], width))
+        docs.append(np.repeat(block.doc[runs], width)[hit])
+        windows.append(_spread(width, block.first[runs])[hit])
+    doc, window = np.concatenate(docs), np.concatenate(windows)
+    if len(doc):
+        order = np.lexsort((window, doc))
+        doc, window = doc[order], window[order]
+        new = np.r_[True, (np.diff(doc) != 0) | (np.diff(window) > threshold)]
+        starts = np.flatnonzero(new)
+        stops = np.r_[starts[1:], len(doc)] - 1
+        for d, a, b in zip(doc[starts].tolist(), window[starts].tolist(), (window[stops] + threshold).tolist(), strict=True):
+            spans[d].append((a, b))
     rest = []
     for text, cut in zip(block.texts, spans, strict=True):
         edges = [0, *(x for span in cut for x in span), len(text)]
@@ -363,20 +422,20 @@ def remove_repeats(
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
         *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)),
     )
-    n = max(1, ceil(text_bytes(texts) / BLOCK_BYTES))
+    n, hot = max(1, ceil(text_bytes(texts) / BLOCK_BYTES)), HOT_BLOCKS
     kept = [f"keep_{i}" for i in range(len(keep))]
     # A long text is rare, so blocks are dealt by id and text; equal rows meet.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     dealt = texts.select(block.alias("block"), "*").repartition(n, "block")
 
     digits = dealt.groupBy("block").applyInArrow(lambda t: _send_digits(t, threshold, n), DIGIT_ROWS)
-    flags = digits.groupBy("bucket").applyInArrow(_flag_digits, FLAG_ROWS)
+    flags = digits.groupBy("bucket").applyInArrow(lambda t: _flag_digits(t, hot), FLAG_ROWS)
     spans = (
         dealt.groupBy("block")
         .cogroup(flags.groupBy("block"))
         .applyInArrow(lambda t, f: _send_spans(t, f, threshold, n), SPAN_ROWS)
     )
-    verdicts = spans.groupBy("bucket").applyInArrow(lambda t: _judge_spans(t, threshold), FLAG_ROWS)
+    verdicts = spans.groupBy("bucket", "kind").applyInArrow(lambda t: _judge_spans(t, threshold), FLAG_ROWS)
     carried = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in ((c, texts.schema[c]) for c in kept))
     schema = "doc_id long, " + (carried + ", " if kept else "")
     out = (

@@ -1,5 +1,6 @@
 """Repeated windows against a table of all windows."""
 
+import pyarrow as pa
 import pytest
 
 from provenir.llm import queries, suffix_dedup
@@ -40,6 +41,37 @@ def test_awkward_rows(spark, monkeypatch, threshold, block):
     assert {(r.block, r.lang) for r in got} == {("extra", "extra")}
 
 
+def test_windows_of_hot_digits(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 3)
+    rows = [r for r in ROWS if len(r[1] or "") < 10_000]
+    rows += [(100 + i, f"{words(i, 20)} {PASSAGE[:30]} {words(50 + i % 7, 20)}") for i in range(40)] + [(None, PASSAGE), (100, PASSAGE)]
+    got = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    want = [(i, *found) for (i, _), found in zip(rows, brute_force(rows, 50), strict=True)]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, bytes(r.kept), [tuple(s) for s in r.removed])) for r in got)
+
+
+def test_a_phrase_of_many_documents_fills_no_bucket():
+    """A phrase of one digit, and other text around it in every document."""
+    n = 80
+    schema = pa.schema({"block": pa.int32(), "doc_id": pa.int64(), "text": pa.string()})
+    blocks = [
+        pa.table([[b] * 20, range(b * 20, b * 20 + 20), [f"{words(b * 20 + i, 9)} {PASSAGE[:40]} {words(9000 + b * 20 + i, 9)}" for i in range(20)]], schema=schema)
+        for b in range(n)
+    ]
+
+    def grouped(tables, *keys):
+        rows = pa.concat_tables(tables).combine_chunks()
+        names = list(zip(*(rows.column(k).to_pylist() for k in keys), strict=True))
+        return {k: rows.take([i for i, x in enumerate(names) if x == k]) for k in sorted(set(names))}
+
+    digits = grouped([suffix_dedup._send_digits(b, 50, n) for b in blocks], "bucket")
+    flags = grouped([suffix_dedup._flag_digits(d, suffix_dedup.HOT_BLOCKS) for d in digits.values()], "block")
+    spans = grouped([suffix_dedup._send_spans(b, flags[(k,)], 50, n) for k, b in enumerate(blocks)], "bucket", "kind")
+    sizes = [sum(map(len, t.column("ids").to_pylist())) // 8 for t in spans.values()]
+    assert sum(sizes) > 20 * n and max(sizes) < 0.05 * sum(sizes)
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     rows = [(1, words(1, 2000)), (2, words(2, 500) + words(1, 2000)[300:7000] + words(3, 100)), (3, "ab" * 4000), (4, "ba" * 300)]
