@@ -1,16 +1,15 @@
-"""Repeated passages across documents, by a depth-limited radix sort of suffixes.
+"""Repeated passages across documents, by minimisers and hashes of windows.
 
-Suffixes of the texts, as UTF-8 bytes, are ordered through their first ``threshold``
-bytes only, by passes over digits. Groups that are equal after the last pass are
-exactly the windows that repeat.
+The windows are the first ``threshold`` bytes of each suffix of the texts, as UTF-8. The
+groups of equal ones are those that a radix sort of the suffixes to this depth would end
+with, but no suffix is ordered and no digit is passed over in turn. Two passes keep this
+cheap where almost all windows are alone:
 
-Two choices keep the passes cheap where almost all suffixes are alone:
-
-- The most significant digit of a window is the substring of ``DIGIT`` bytes in it
+- The digit of a window is its minimiser: the substring of ``DIGIT`` bytes in it
   whose hash is least. Equal windows have equal digits at equal places, and some
   thirteen neighbouring windows share one digit, so the first pass moves one number
-  for all of them. A digit that no two documents share ends the sort of its windows.
-- The second pass orders the windows that are left by all their bytes. A block sends
+  for all of them. The windows of a digit that no two documents share are done.
+- The second pass groups the windows that are left by all their bytes. A block sends
   each distinct run of windows with the smallest id that has it, once, compressed.
 
 Windows are compared by 128 bits of hash in the second pass; the chance that any two
