@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, decontaminate, language, licenses, near_dedup, suffix_dedup, topk, toxicity, url_filter, warc
+from provenir.llm import bpe, chat, collocations, decontaminate, language, licenses, near_dedup, suffix_dedup, topk, toxicity, url_filter, warc, whitening
 from provenir.llm.common import crc_bucket
 
 
@@ -111,8 +111,40 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), count=4, scale=256)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
+# Says what its own marks say.
+AWKWARD_TURN = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-7, 0, "user", AWKWARD_TURN), (-7, 1, "assistant", AWKWARD_TURN)]
+    rows = rows.unionByName(spark.createDataFrame(added, "conv_id long, turn long, role string, text string"))
+    whole = chat.whole_conversations(chat.format_conversations(rows), rows)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "")
+    replies = F.flatten(F.transform("blocks", lambda b: chat.read_replies(b["text"], b["examples"])))
+    read = whole.select("conv_id", text.alias("text"), F.array_join(replies, "").alias("loss"))
+    read = read.select("*", chat.read_turns(F.col("text")).alias("turns"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    wired = [op1_bpe_round_trip, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op8_warc_derivatives, op9_minhash_near_dedup, op10_exact_top_k]
+    wired = [op1_bpe_round_trip, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_decontaminate, op6_language_id, op7_toxicity, op8_warc_derivatives, op9_minhash_near_dedup, op10_exact_top_k, op11_embedding_whitening, op12_phrase_collocations, op13_chat_formatting]
     return {query.__name__: query for query in wired}
 
 
@@ -163,6 +195,55 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
+OP12_SQL = r"""
+with pieces as (
+  select row_number() over () as piece, lang, words from (
+    select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as words
+    from (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents))),
+total as (select lang, cast(sum(len(words)) as bigint) as n from pieces group by lang),
+places as (
+  select lang, words, k, unnest(range(1, len(words) - k + 2)) as pos
+  from pieces, (values (1), (2), (3)) as v(k) where len(words) >= k),
+counted as (select lang, list_slice(words, pos, pos + k - 1) as phrase, k, count(*) as f from places group by all),
+candidates as (select * from counted where k >= 2 and f >= 10),
+cuts as (select lang, phrase, f as a, unnest(range(1, k)) as cut from candidates),
+scored as (
+  select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, 1000000 * c.a::hugeint * c.a // (x.f::hugeint * y.f) as score
+  from cuts c
+  join counted x on x.lang = c.lang and x.phrase = list_slice(c.phrase, 1, c.cut)
+  join counted y on y.lang = c.lang and y.phrase = list_slice(c.phrase, c.cut + 1, len(c.phrase))),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inside as (
+  select lang, list_slice(phrase, pos, pos + 1) as phrase, max(f) as cover
+  from (select lang, phrase, f, unnest(range(1, 3)) as pos from candidates where k = 3) group by all),
+ranked as (
+  select b.lang, array_to_string(b.phrase, ' ') as phrase, a, l, r, cast(score as bigint) as score,
+    row_number() over (partition by b.lang order by score desc, a desc, array_to_string(b.phrase, ' ')) as rank
+  from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase
+  where i.cover is null or 100 * i.cover < 50 * a)
+select r.lang, rank, phrase, a, l, r.r, n, score from ranked r join total t on t.lang = r.lang where rank <= 2000
+"""
+
+# A text grows by a backslash for each backslash, for each "#" before two more, and for each end mark.
+_GROWTH = r"""length({0}) + length({0}) - length(replace({0}, '\', '')) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"""
+_COLONS = "length(role) - length(replace(role, ':', ''))"
+OP13_SQL = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as v(t, r))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + {_GROWTH.format("role")} + {_COLONS} + 2 + {_GROWTH.format("text")} + 8) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
 
 def _op2_sql() -> str:
     """The notice lines that the tables hold, each its own sentence."""
@@ -189,4 +270,4 @@ def _op2_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_decontaminate": OP5_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_decontaminate": OP5_SQL, "op10_exact_top_k": OP10_SQL, "op12_phrase_collocations": OP12_SQL, "op13_chat_formatting": OP13_SQL}
