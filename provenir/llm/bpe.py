@@ -13,6 +13,7 @@ table of words is nowhere held whole; the table of pieces is bounded by the voca
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -52,11 +53,16 @@ def _tokenizer(vocabulary: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def _added(vocabulary: str) -> dict[str, int]:
+    """Added tokens and their ids, from the file itself: a tokenizer is large to build."""
+    return {t["content"]: t["id"] for t in json.loads(vocabulary).get("added_tokens") or ()}
+
+
 @lru_cache(maxsize=2)
 def _splitter(vocabulary: str) -> tuple[re.Pattern, re.Pattern]:
     """What makes a text odd, and where an odd text is split."""
-    added = _tokenizer(vocabulary).get_added_tokens_decoder().values()
-    special = "|".join(re.escape(t.content) for t in added) or "(?!)"
+    special = "|".join(map(re.escape, _added(vocabulary))) or "(?!)"
     return re.compile(f" (?![{_SURE}])|{special}"), re.compile(f" (?=[{_SURE}])(?!{special})")
 
 
@@ -67,17 +73,17 @@ def _parts(text: str, vocabulary: str) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def _pieces(vocabulary: str) -> list[bytes]:
+def _pieces(vocabulary: str) -> pa.Array:
     """The bytes of every id. Byte-level vocabularies write a byte as one character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    tokenizer = _tokenizer(vocabulary)
-    out = [b""] * (max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
-    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+    ids = json.loads(vocabulary)["model"]["vocab"] | _added(vocabulary)
+    out = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
         known = all(c in byte_of for c in token)
         out[i] = bytes(byte_of[c] for c in token) if known else token.encode()
-    return out
+    return pa.array(out, pa.binary())
 
 
 def _deal():
@@ -201,7 +207,7 @@ def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
     )
 
 
-def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int) -> pa.Table:
+def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int, decoded: str | None) -> pa.Table:
     found = _by_bucket(block, vocabulary, n)
     first_ids, other_ids = {"": b""}, {}
     kind = _id_type(vocabulary)
@@ -211,9 +217,10 @@ def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int) -> p
         own = _cut(_unsqueeze(ids.as_py()), np.frombuffer(_unsqueeze(lengths.as_py()), np.int32) * size)
         first_ids.update(zip(firsts, own, strict=False))
         other_ids.update(zip(others, own[len(firsts) :], strict=True))
-    doc_ids, lengths, values = [], [0], []
+    pieces = _pieces(vocabulary) if decoded else None
+    placed = []
     for ids, texts in _texts(block):
-        doc_ids += ids
+        lengths, values = [0], []
         for text in texts:
             parts = _parts(text, vocabulary)
             first = parts[0]
@@ -221,14 +228,37 @@ def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int) -> p
             own = first_ids[first] + b"".join(map(other_ids.__getitem__, parts))
             values.append(own)
             lengths.append(len(own) // size)
-    flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))
-    offsets = pa.array(np.cumsum(lengths), pa.int32())
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, flat)})
-
-
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))
+        found = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
+        columns = {"doc_id": pa.array(ids, pa.int64()), "ids": found}
+        if decoded:
+            columns[decoded] = _joined(found, pieces)
+        placed.append(pa.record_batch(columns))
+    return pa.Table.from_batches(placed)
+
+
+def _joined(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """The text of every array of ids."""
+    texts: list[str | None] = []
+    for at in range(0, len(ids), 500):
+        some = ids.slice(at, 500)
+        lengths = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+        parts = pc.fill_null(pieces.take(some.flatten()), b"")
+        offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, parts), b"").to_pylist()
+        known = some.is_valid().to_pylist()
+        texts += [b.decode("utf-8", "replace") if k else None for b, k in zip(joined, known, strict=True)]
+    return pa.array(texts, pa.string())
+
+
+def encode(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None
+) -> DataFrame:
     """``doc_id, ids array<int>``: each whole text as the tokenizer encodes it.
 
+    ``decoded`` names a further column for what the ids decode to, as ``decode`` gives
+    it; here the pieces are joined where the ids are, without another Python worker.
+
     ``vocabulary`` is the content of a byte-level tokenizer file without added prefix
     spaces, truncation and padding left aside and no special tokens put around. The
     string of an added token within a text becomes that token.
@@ -253,7 +283,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return (
         dealt.groupBy("block")
         .cogroup(encoded.groupBy("block"))
-        .applyInArrow(lambda t, r: _place_ids(t, r, shared.value, n), "doc_id long, ids array<int>")
+        .applyInArrow(
+            lambda t, r: _place_ids(t, r, shared.value, n, decoded),
+            "doc_id long, ids array<int>" + (f", {decoded} string" if decoded else ""),
+        )
     )
 
 
@@ -267,16 +300,6 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def join_pieces(ids: pa.Array) -> pa.Array:
-        pieces = pa.array(_pieces(shared.value), pa.binary())
-        texts: list[str | None] = []
-        for at in range(0, len(ids), 500):
-            some = ids.slice(at, 500)
-            lengths = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
-            parts = pc.fill_null(pieces.take(some.flatten()), b"")
-            offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
-            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, parts), b"").to_pylist()
-            known = some.is_valid().to_pylist()
-            texts += [b.decode("utf-8", "replace") if k else None for b, k in zip(joined, known, strict=True)]
-        return pa.array(texts, pa.string())
+        return _joined(ids, _pieces(shared.value))
 
     return tokens.withColumn(out, F.arrow_udf(join_pieces, "string")(ids_col))

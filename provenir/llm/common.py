@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,12 @@ def word_hashes(buffer: np.ndarray, is_word: np.ndarray, piece: int = 1 << 20) -
     return np.concatenate(starts_all), np.concatenate(hashes_all)
 
 
+def each_text(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The texts of a column, so many of them as Python strings at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``size`` bytes; a longer text stands alone."""
     begin, held = 0, 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import share
+from provenir.llm.common import each_text, share
 
 FEATURES = 1 << 15
 SAMPLE_PER_LANGUAGE = 1500
@@ -86,7 +86,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in each_text(batch.column("text")):
                 total += _grams(text) > 0
                 n += 1
         at = np.flatnonzero(total)
@@ -177,7 +177,7 @@ def train(
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in each_text(batch.column("text")):
                 counts = _grams(text)
                 at = np.flatnonzero(counts)
                 out.append((at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()))
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: LanguageModel, out: str = "language", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: pa.Array) -> pa.Array:
-        found = [shared.value.predict(text) for text in texts.to_pylist()]
+        found = [shared.value.predict(text) for text in each_text(texts)]
         return pa.StructArray.from_arrays(
             [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())],
             names=["lang", "score"],

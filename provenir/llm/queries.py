@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    tokens = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, decoded="decoded")
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
