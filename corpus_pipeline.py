@@ -61,7 +61,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of what they decode to."""
     vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    tokens = bpe.encode(docs, vocabulary, decoded="decoded")
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
