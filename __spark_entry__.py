@@ -271,6 +271,60 @@ def published_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "round", "url", "title", "source_page", "status", F.md5("body_text").alias("body_md5"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.read_table(spark, f"{sf_dir}/events.parquet", schemas.EVENTS)
+
+
+def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bought = _events(spark, sf_dir).where("event_type = 'purchase'")
+    return bought.select("event_id", "user_id", F.col("ts").alias("at"))
+
+
+def status_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a user stood at each purchase, by the last event of another kind before it."""
+    checks = _events(spark, sf_dir).where("event_type <> 'purchase'")
+    checks = checks.select("user_id", F.col("ts").alias("checked_at"), (F.col("event_type") != "error").alias("passed"))
+    found = pv.status_as_of(_purchases(spark, sf_dir), checks, ["user_id"])
+    return found.select("event_id", "user_id", "status", F.col("checked_at").cast("string").alias("checked_at"))
+
+
+def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one kind of event of each user."""
+    runs = pv.status_history(_events(spark, sf_dir), ["user_id"], "ts", "event_type")
+    return runs.withColumns({c: F.col(c).cast("string") for c in ("since", "last_at", "until")})
+
+
+def covering_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signup in force at each purchase; one lasts ten minutes for each unit of its value."""
+    signups = _events(spark, sf_dir).where("event_type = 'signup'")
+    lasts = F.make_dt_interval(secs=F.floor(F.col("value") * 600).cast("decimal(18,6)"))
+    sources = signups.select(
+        "user_id", F.col("ts").alias("valid_from"), (F.col("ts") + lasts).alias("valid_to"), F.col("event_id").alias("source_page")
+    )
+    return pv.covering_source(_purchases(spark, sf_dir), sources, keys=["user_id"]).select("event_id", "user_id", "source_page")
+
+
+def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that differ by two letters at most."""
+    parts = schemas.read_table(spark, f"{sf_dir}/part.parquet", schemas.PARTS)
+    return pv.match_names(parts, parts, "p_name")
+
+
+def page_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pv.page_boilerplate(_pages(spark, sf_dir))
+    return found.select("doc_id", "n_dropped", F.md5("body_text").alias("text_md5"))
+
+
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that lie one per file, read from there and made into records."""
+    path = new_scratch_path(spark, "file_records")
+    _pages(spark, sf_dir).select("doc_id", "html").write.partitionBy("doc_id").text(path)
+    files = pv.scan_files(spark, path, "part-*")
+    records = pv.build_records(files, _round_of(F.col("lang")), keys=["url"])
+    doc_id = F.regexp_extract("url", "/doc_id=([0-9]+)/", 1).cast("bigint")
+    return records.select(doc_id.alias("doc_id"), "round", "title", "lang", "n_sections", F.md5("body_text").alias("body_md5"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Every record with its source page and its verification state."""
     return analysis_view(spark, "/root/testdata/sf0.001")
@@ -307,6 +361,12 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         build_records,
         verify_records,
         published_records,
+        status_as_of,
+        status_history,
+        covering_source,
+        match_names,
+        page_boilerplate,
+        file_records,
     ]
     return {query.__name__: query for query in wired}
 
@@ -321,11 +381,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- the same in SQL -----------------------------------------------------------
 
 # RE2 has no possessive repetition; a plain one means the same here.
-SQL_INSIDE = INSIDE.replace("*+", "*").replace("'", "''")
-SQL_NOT_TEXT = (
-    rf"script(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    rf"|style(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    r"|!--.*?(?:-->|\z)"
+SQL_INSIDE = INSIDE.replace("*+", "*").replace("++", "+").replace("'", "''")
+SQL_NOT_TEXT = "|".join(
+    [rf"{name}(?:[\t\n\f\r /]{SQL_INSIDE})?(?:>|\z).*?(?:</{name}(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)" for name in ("script", "style", "template", "svg")]
+    + [r"!--.*?(?:-->|\z)"]
 )
 SQL_INLINE_TAG = (
     r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
@@ -405,6 +464,9 @@ def oracle_sql() -> dict[str, str]:
         when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end"""
     stored = f"""select doc_id, {round_of_lang} as round, lang, source, n_chars, md5(text) as text_md5
         from documents"""
+    blocks = f"""list_filter(list_transform(
+          regexp_split_to_array({joined}, '(?is)<[/!?a-z]{SQL_INSIDE}(?:>|\\z)'), lambda b: {_sql_plain(_sql_decoded('b'))}),
+          lambda b: b <> '')"""
     sql = {
         "scan_documents": """select page_id as doc_id, url, cast(strlen(html) as bigint) as n_bytes,
             cast(length(html) as bigint) as n_chars,
@@ -540,6 +602,55 @@ def oracle_sql() -> dict[str, str]:
               {status} as status, body_md5
             from r left join labels l on l.doc_id = r.doc_id""",
     }
+    sql |= {
+        "status_as_of": """select p.event_id, p.user_id,
+              case when c.ts is null then 'unverified' when c.event_type = 'error' then 'rejected' else 'verified' end as status,
+              cast(c.ts as varchar) as checked_at
+            from (select * from events where event_type = 'purchase') p
+            asof left join (select * from events where event_type <> 'purchase') c
+              on c.user_id = p.user_id and p.ts >= c.ts""",
+        "status_history": """with e as (
+              select user_id, ts, event_type,
+                case when row_number() over w > 1 and lag(event_type) over w is not distinct from event_type then 0 else 1 end as starts
+              from events window w as (partition by user_id order by ts, event_type)),
+            s as (select *, sum(starts) over (partition by user_id order by ts, event_type rows unbounded preceding) as run from e),
+            r as (
+              select user_id, run, any_value(event_type) as event_type, min(ts) as since, max(ts) as last_at, count(*) as n_rows
+              from s group by user_id, run)
+            select user_id, event_type, cast(since as varchar) as since, cast(last_at as varchar) as last_at,
+              cast(lead(since) over (partition by user_id order by run) as varchar) as until, n_rows
+            from r""",
+        "covering_source": """with s as (
+              select user_id, event_id, ts as valid_from, ts + to_seconds(cast(floor(value * 600) as bigint)) as valid_to
+              from events where event_type = 'signup')
+            select p.event_id, p.user_id, s.event_id as source_page
+            from (select * from events where event_type = 'purchase') p
+            left join s on s.user_id = p.user_id and s.valid_from <= p.ts and p.ts < s.valid_to
+            qualify row_number() over (partition by p.event_id order by s.valid_from desc, s.event_id desc) = 1""",
+        "match_names": """with n as (select p_name as name, count(*) as n from part where p_name is not null group by 1)
+            select a.name as official, b.name as extracted, cast(levenshtein(a.name, b.name) as int) as distance,
+              a.n as n_official, b.n as n_extracted
+            from n a cross join n b where levenshtein(a.name, b.name) <= 2""",
+        "page_boilerplate": f"""with p as (
+              select page_id, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') as host, {blocks} as blocks
+              from pages),
+            counted as (
+              select host, block, count(*) as n from (select distinct page_id, host, unnest(blocks) as block from p) group by all),
+            furniture as (
+              select c.host, list(c.block) as furniture from counted c
+              join (select host, count(*) as n from p group by host) h on h.host = c.host
+              where c.n >= 3 and 2 * c.n >= h.n group by c.host),
+            kept as (
+              select page_id, blocks, list_filter(blocks, lambda b: not list_contains(coalesce(furniture, []), b)) as kept
+              from p left join furniture f on f.host = p.host)
+            select page_id as doc_id, cast(len(blocks) - len(kept) as bigint) as n_dropped,
+              md5(array_to_string(kept, ' ')) as text_md5
+            from kept""",
+        "file_records": f"""select page_id as doc_id,
+              case {lang} when 'en' then 1 when 'de' then 2 when 'es' then 3 when 'fr' then 4 end as round,
+              {title} as title, {lang} as lang, {n_sections} as n_sections, md5({body}) as body_md5
+            from pages""",
+    }
     if llm_queries:
         sql |= llm_queries.oracle_sql()
         if corpus_pipeline.ORACLE_SQL:

@@ -2,12 +2,19 @@
 
 Every public function takes DataFrames or Columns and returns them. Nothing runs
 until the caller acts on the result, except for the ``write_*`` functions and
-``organise_by_round``, which write; ``attach_provenance``, ``analysis_view`` and
-``missing_documents``, which look at up to 10,001 rows of the smaller side to see
-whether it can be broadcast; and ``scan_documents``, which reads the file's schema.
+``organise_by_round``, which write; ``attach_provenance`` and ``analysis_view``, which look
+at up to 10,001 rows of the smaller side to see whether it can be broadcast;
+``missing_documents`` and ``page_boilerplate``, which write a reduced table that they use
+more than once; ``status_as_of``, ``status_history`` and ``covering_source``, which look
+for hot keys or the widths of intervals; and ``scan_documents``, which reads the file's schema.
 """
 
+from provenir.operators.boilerplate import page_boilerplate
+from provenir.operators.covering import covering_source
+
 from provenir.operators.extract import Field, extract_text, extract_values
+from provenir.operators.history import join_as_of, status_as_of, status_history
+from provenir.operators.names import match_names
 from provenir.operators.provenance import (
     attach_provenance,
     missing_documents,
@@ -46,21 +53,27 @@ __all__ = [
     "build_records",
     "completeness",
     "conform",
+    "covering_source",
     "duplicate_content",
     "duplicate_keys",
     "extract_text",
     "extract_values",
     "field_coverage",
     "html_rows",
+    "join_as_of",
     "listing_links",
     "long_fields",
+    "match_names",
     "missing_documents",
     "organise_by_round",
+    "page_boilerplate",
     "reconcile",
     "reconcile_fields",
     "scan_documents",
     "scan_files",
+    "status_as_of",
     "status_by_round",
+    "status_history",
     "validate",
     "verification_status",
     "verify_records",

@@ -1,11 +1,11 @@
 """Markup, entities and numerals.
 
 The patterns keep to what Java regular expressions and RE2 read the same way, but
-for the possessive ``*+``: no look-around, no back-references, ``\\z`` for the end of
+for the possessive ``*+`` and ``++``: no look-around, no back-references, ``\\z`` for the end of
 the text, and no ``\\b``, which takes more letters for letters in Java. Repetition is
 over single characters or possessive, which Java matches in a loop. Another repeated
 group would recurse once per repetition and could overflow the stack on one badly
-broken document. RE2 has no ``*+``; there ``*`` means the same, since the alternatives
+broken document. RE2 has neither; there ``*`` and ``+`` mean the same, since the alternatives
 of each such group start with different characters. Whatever opens may also end at the
 end of the text, so that a search that finds no end is not made again from every
 opening.
@@ -22,14 +22,19 @@ from pyspark.sql import functions as F
 
 # The inside of a tag: a ">" in a quoted value does not end it. Quotes count after "="
 # only; elsewhere they are letters like others.
-INSIDE = r"""(?:[^>"'=]|["']|=[\t\n\f\r ]*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))?)*+"""
-# Parts of a page that hold no readable text, after their "<". A
-# part left open by a truncated document runs to its end.
-NOT_TEXT = (
-    rf"script(?:[\t\n\f\r /]{INSIDE})?(?:>|\z).*?(?:</script(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    rf"|style(?:[\t\n\f\r /]{INSIDE})?(?:>|\z).*?(?:</style(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
-    r"|!--.*?(?:-->|\z)"
-)
+INSIDE = r"""(?:[^>"'=]++|["']|=[\t\n\f\r ]*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))?)*+"""
+# Elements whose content is no readable text of the page. What stands in
+# ``noscript`` is kept: it is there to be read.
+SILENT = ("script", "style", "template", "svg")
+
+
+def _silent(name: str) -> str:
+    """An element from its name to its end tag."""
+    return rf"{name}(?:[\t\n\f\r /]{INSIDE})?(?:>|\z).*?(?:</{name}(?:[\t\n\f\r /][^>]*)?(?:>|\z)|\z)"
+
+
+# After a "<". A part left open by a truncated document runs to its end.
+NOT_TEXT = "|".join(map(_silent, SILENT)) + r"|!--.*?(?:-->|\z)"
 # The text-level elements of HTML. Their tags do not part words,
 # which matters where words are not written apart anyway.
 INLINE_TAG = (
@@ -38,6 +43,8 @@ INLINE_TAG = (
 )
 # "<" starts a tag only before a letter, "/", "!" or "?", so "a < b" stays.
 TAG = rf"[/!?a-z]{INSIDE}(?:>|\z)"
+# An attribute with its value; the name ends at the first "=".
+ATTRIBUTE = r"""[^\t\n\f\r "'>/=]+[\t\n\f\r ]*=[\t\n\f\r ]*(?:"[^"]*"|'[^']*'|[^\t\n\f\r >"'][^\t\n\f\r >]*)"""
 # Left where something without a width was cut out, until the tags are gone: the
 # text on its two sides must not grow together into a tag.
 SEAM = "\x01"
@@ -66,6 +73,12 @@ def collapse_blanks(text: Column) -> Column:
     return F.trim(F.regexp_replace(even, BLANKS, " "))
 
 
+def tag_attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name as it is written, null without one."""
+    given = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), lambda a: a.rlike(rf"(?i)^{name}[\t\n\f\r ]*="))
+    return F.regexp_replace(F.get(given, F.lit(0)), r"^[^=]*=[\t\n\f\r ]*", "")
+
+
 def drop_non_text(html: Column) -> Column:
     """Remove scripts, styles and comments; keep the tags."""
     return F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT})", SEAM)

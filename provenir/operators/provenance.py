@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions.joins import is_small, join_lookup
+from provenir.sinks.scratch import stored
 
 VERIFIED = "verified"
 REJECTED = "rejected"
@@ -68,23 +69,26 @@ def attach_provenance(records: DataFrame, sources: DataFrame, by: str = "round")
 def missing_documents(listed: DataFrame, records: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Listed documents without a record, once each, with ``n_listed`` times listed.
 
-    The listing is reduced to its distinct keys. Records are only asked which of
-    these they hold: a semi join that broadcasts a small listing, so that no record
-    moves, and that adaptive execution can split where the listing is large and one
+    The listing is reduced to its distinct keys and written once (``sinks/scratch.py``),
+    since finding links is most of the work and three steps need them. Records are only
+    asked which of these they hold: a semi join that broadcasts a small listing, so that no
+    record moves, and that adaptive execution can split where the listing is large and one
     key has very many records. A listed key that is null matches no record.
     """
-    counted = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_listed"))
+    counted = stored(listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_listed")), "missing_documents")
     named = counted.select(*(F.col(k).alias(f"__{k}") for k in keys))
     own = records.select(*keys)
     same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
-    if is_small(named):
+    small = is_small(named)
+    if small:
         found = own.join(F.broadcast(named), same, "left_semi")
     else:
         # As in join_lookup: the hash gives the join shuffles of its own, which can be split.
         alike = [F.col(f"__{k}").try_cast(own.schema[k].dataType) for k in keys]
         found = own.join(named, same & (F.xxhash64(*keys) == F.xxhash64(*alike)), "left_semi")
     held = found.distinct().select(*(F.col(k).alias(f"__{k}") for k in keys))
-    return counted.join(held, same, "left_anti")
+    # No more rows are held than listed, so what was small is small.
+    return counted.join(F.broadcast(held) if small else held, same, "left_anti")
 
 
 def status_by_round(df: DataFrame, by: str = "round") -> DataFrame:

@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.functions.text import INSIDE, drop_non_text
+from provenir.functions.text import INSIDE, TAG, drop_non_text, tag_attribute
 from provenir.operators.extract import Field, extract_text, extract_values
 from provenir.operators.provenance import UNVERIFIED, attach_provenance, verification_status
 from provenir.operators.schema import Target, conform
 from provenir.operators.validate import Rule, validate
 from provenir.sources.schemas import RECORD
 
+# Before every tag in ``tags``. A page's own marks of this kind are taken out.
+MARK = "\x02"
 # Where each value stands. No pattern depends on a closing tag, so
 # a truncated page still yields what it holds.
 PAGE_FIELDS = (
     Field("title", "markup", rf"(?is)<title(?:[\t\n\f\r /]{INSIDE})?>(.*?)(?:</title|\z)"),
-    Field("lang", "markup", r"""(?i)<html[\t\n\f\r /](?:[^<>]*?[\t\n\f\r "'/])?lang[\t\n\f\r ]*=[\t\n\f\r ]*["']?([A-Za-z0-9-]+)"""),
-    Field("n_sections", "markup", r"(?i)<p[\s>]", T.LongType(), count=True),
+    Field("lang", "page_lang", r"""^["']?[\t\n\f\r ]*([A-Za-z0-9-]+)"""),
+    Field("n_sections", "tags", rf"(?i){MARK}<p[\t\n\f\r />]", T.LongType(), count=True),
     # In the path alone: neither the host nor the query is looked at.
     Field(
         "url_no",
@@ -33,9 +35,16 @@ PAGE_FIELDS = (
 
 
 def with_markup(documents: DataFrame) -> DataFrame:
-    """Add ``markup``: the page without the scripts, styles and comments that may
-    look like its content."""
-    return documents.withColumn("markup", drop_non_text(F.col("html")))
+    """Add ``markup``, the page without what only looks like its content, and from it
+    ``tags``, its whole tags, and ``page_lang``, the ``lang`` of its ``html``.
+
+    Whole tags, since the value of an attribute may hold what looks like a tag.
+    """
+    cleaned = documents.withColumn("markup", drop_non_text(F.col("html")))
+    found = F.regexp_extract_all(F.translate("markup", MARK, ""), F.lit(rf"(?is)<{TAG}"), 0)
+    listed = cleaned.withColumn("tags", F.concat(F.lit(MARK), F.array_join(found, MARK)))
+    first = F.regexp_extract("tags", rf"(?is){MARK}(<html[\t\n\f\r /][^{MARK}]*)", 1)
+    return listed.withColumn("page_lang", F.coalesce(tag_attribute(first, "lang"), F.lit("")))
 
 
 def build_records(documents: DataFrame, round_of: Column, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

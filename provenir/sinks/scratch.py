@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -35,6 +35,16 @@ def new_scratch_path(spark: SparkSession, *parts: str) -> str:
     return scratch_path(spark, *parts, uuid.uuid4().hex)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to such a path and read back, for what is used more than once.
+
+    Later steps read the table instead of computing it again, also after losing an executor.
+    """
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession, *parts: str) -> None:
     """Remove what this application wrote below ``parts``, or all of it."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,9 @@ from provenir.sources.schemas import PAGES, read_table
 
 
 def _closed(content: Column) -> Column:
-    return content.rlike(r"(?i)</html[\t\n\f\r />]")
+    # Nearly every page ends in one of two spellings, and looking for these is cheap.
+    usual = F.contains(content, F.lit("</html>")) | F.contains(content, F.lit("</HTML>"))
+    return usual | content.rlike(r"(?i)</html[\t\n\f\r />]")
 
 
 def _facts(content: Column, url: Column) -> list[Column]:

@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.functions.text import INSIDE, decode_references, drop_non_text
+from provenir.functions.text import INSIDE, decode_references, drop_non_text, tag_attribute
 from provenir.functions.urls import with_absolute
 
 LINK_TAG = rf"(?i)<(?:a|area)[\t\n\f\r /]{INSIDE}"
 BASE_TAG = rf"(?i)<base[\t\n\f\r /]{INSIDE}"
-ATTRIBUTE = r"""([^\t\n\f\r "'>/=]+)[\t\n\f\r ]*=[\t\n\f\r ]*("[^"]*"|'[^']*'|[^\t\n\f\r >"'][^\t\n\f\r >]*)"""
-
-
-def _href(tag: Column) -> Column:
-    """The value of a tag's first ``href``, null without one."""
-    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower)
-    at = F.array_position(names, "href").cast("int")
-    return F.when(at > 0, F.element_at(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2), at))
 
 
 def _written_url(value: Column) -> Column:
@@ -36,8 +28,8 @@ def listing_links(
     without links gives no row.
     """
     markup = pages.select(key, F.col(url).alias("__page"), drop_non_text(F.col(html)).alias("__markup"))
-    hrefs = F.transform(F.regexp_extract_all("__markup", F.lit(LINK_TAG), 0), _href)
-    bases = F.transform(F.regexp_extract_all("__markup", F.lit(BASE_TAG), 0), _href)
+    hrefs = F.transform(F.regexp_extract_all("__markup", F.lit(LINK_TAG), 0), lambda t: tag_attribute(t, "href"))
+    bases = F.transform(F.regexp_extract_all("__markup", F.lit(BASE_TAG), 0), lambda t: tag_attribute(t, "href"))
     parts = markup.select(
         key,
         "__page",

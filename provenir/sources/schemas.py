@@ -46,6 +46,24 @@ ORDERS = T.StructType(
     ]
 )
 
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+PARTS = T.StructType(
+    [
+        T.StructField("p_partkey", T.LongType()),
+        T.StructField("p_name", T.StringType()),
+    ]
+)
+
 # What a finished record holds.
 RECORD = T.StructType(
     [

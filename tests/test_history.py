@@ -1,0 +1,159 @@
+"""States at a date, histories and sources in force, against plain Python; and hot keys."""
+
+import random
+from datetime import datetime, timedelta
+from itertools import groupby
+
+import pytest
+from pyspark.sql import functions as F
+
+import provenir as pv
+from provenir.functions.ordered import hot_spans, in_spans
+from tests.test_plans import SMALL_PARTITIONS, plan_of
+
+START = datetime(2024, 3, 31)  # clocks change on this day in much of Europe
+
+
+def time_of(n):
+    return None if n is None else START + timedelta(minutes=30 * n)
+
+
+def some_rows(draw, n, span=60):
+    """Keys of which one has a third of the rows; equal times, null keys and times."""
+    return [
+        (draw.choice([7, *[None] * 2, *range(4)]) if draw.random() < 0.67 else 7, draw.choice([None, *range(span)]), draw.choice([None, True, True, False]))
+        for _ in range(n)
+    ]
+
+
+@pytest.fixture
+def draw():
+    return random.Random(11)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20, 3])
+def test_status_as_of(spark, draw, hot_rows):
+    checks = some_rows(draw, 300)
+    records = [(i, k, t) for i, (k, t, _) in enumerate(some_rows(draw, 300))]
+
+    def expected(key, at):
+        known = [] if key is None or at is None else [(t, p) for k, t, p in checks if k == key and t is not None and p is not None and t <= at]
+        return ("unverified", None) if not known else ("verified" if max(known)[1] else "rejected", time_of(max(known)[0]))
+
+    left = spark.createDataFrame([(i, k, time_of(t)) for i, k, t in records], "i int, doc_id int, at timestamp_ntz")
+    right = spark.createDataFrame([(k, time_of(t), p) for k, t, p in checks], "doc_id int, checked_at timestamp_ntz, passed boolean")
+    got = pv.status_as_of(left, right, hot_rows=hot_rows).collect()
+    assert len(got) == 300
+    assert {(r.i, r.status, r.checked_at) for r in got} == {(i, *expected(k, t)) for i, k, t in records}
+    assert {r.status for r in got} == {"verified", "rejected", "unverified"}
+
+
+def test_carried_values_may_be_null_and_rows_repeat(spark):
+    facts = spark.createDataFrame([("a", 1, None), ("a", 1, "x"), ("a", 3, None)], "k string, since int, v string")
+    rows = spark.createDataFrame([("a", 0), ("a", 2), ("a", 2), ("a", 3), ("b", 9)], "k string, at int")
+    for hot_rows in (None, 1):
+        got = pv.join_as_of(rows, facts, ["k"], "at", "since", ["v"], hot_rows=hot_rows)
+        assert sorted(got.collect(), key=str) == sorted([("a", 0, None, None), ("a", 2, 1, "x"), ("a", 2, 1, "x"), ("a", 3, 3, None), ("b", 9, None, None)], key=str)
+        assert pv.join_as_of(rows.limit(0), facts, ["k"], "at", "since", ["v"], hot_rows=hot_rows).count() == 0
+        assert pv.join_as_of(rows, facts.limit(0), ["k"], "at", "since", ["v"], hot_rows=hot_rows).where("since is null").count() == 5
+    with pytest.raises(ValueError, match="have a column v"):
+        pv.join_as_of(rows.withColumn("v", F.lit(1)), facts, ["k"], "at", "since", ["v"])
+
+
+@pytest.mark.parametrize("hot_rows", [None, 25, 4, 1])
+def test_status_history(spark, draw, hot_rows):
+    rows = [(k, t, draw.choice("aab") if draw.random() < 0.9 else None) for k, t, _ in some_rows(draw, 400)]
+    expected = set()
+    for key in {k for k, *_ in rows if k is not None}:
+        own = sorted(((t, s is not None, s or "", s) for k, t, s in rows if k == key and t is not None))
+        runs = [list(run) for _, run in groupby(own, key=lambda r: r[3])]
+        starts = [*(run[0][0] for run in runs[1:]), None]
+        expected |= {(key, run[0][3], run[0][0], run[-1][0], until, len(run)) for run, until in zip(runs, starts, strict=True)}
+    got = pv.status_history(spark.createDataFrame(rows, "k int, t int, s string"), ["k"], "t", "s", hot_rows=hot_rows)
+    assert got.columns == ["k", "s", "since", "last_at", "until", "n_rows"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_one_state_through_all_spans(spark):
+    rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.lit("on").alias("s"))
+    assert [tuple(r) for r in pv.status_history(rows, ["k"], "t", "s", hot_rows=10).collect()] == [(1, "on", 0, 999, None, 1000)]
+    assert pv.status_history(rows.limit(0), ["k"], "t", "s").count() == 0
+
+
+def test_spans_are_even_and_keep_equal_times_together(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit(9)).otherwise(F.col("id"))
+    rows = spark.range(0, 90_000, 1, 8).select(key.alias("k"), F.pow(F.col("id") / 3, 2).cast("long").alias("t"))
+    spans = hot_spans(rows, ["k"], "t", 1000)
+    assert [r.k for r in spans.collect()] == [9]
+    sizes = in_spans(rows, spans, ["k"], "t").where("__span is not null").groupBy("__span").count().collect()
+    assert 20 <= len(sizes) <= 31 and max(r["count"] for r in sizes) < 2500
+    assert hot_spans(rows, ["k"], "t", 50_000) is None
+    alike = rows.withColumn("t", F.lit(5))
+    assert in_spans(alike, hot_spans(alike, ["k"], "t", 1000), ["k"], "t").select("k", "__span").where("k = 9").distinct().count() == 1
+
+
+@pytest.mark.parametrize("build", ["as_of", "history"])
+def test_a_hot_key_is_spread_over_tasks(spark, build):
+    """A third of the rows on one key: no task has over twice the mean."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_PARTITIONS}
+    for k, v in (SMALL_PARTITIONS | {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}).items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(9)).otherwise(F.col("id") % 20_000)
+        rows = spark.range(0, 240_000, 1, 8).select(key.alias("doc_id"), F.col("id").alias("at"))
+        if build == "as_of":
+            checks = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("checked_at"), F.lit(True).alias("passed"))
+            df = pv.status_as_of(rows, checks, hot_rows=2000)
+            assert df.where("status <> 'verified'").count() == 0
+        else:
+            df = pv.status_history(rows, ["doc_id"], "at", "at", hot_rows=2000)
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 240_000 and max(sizes) < 2 * 240_000 / 12
+        assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_covering_source(spark, draw, zone, keys):
+    records = [(i, draw.choice([None, 1, 2, 3]), draw.choice([None, *range(-50, 250)])) for i in range(250)]
+    sources = []
+    for i in range(120):
+        start = draw.choice([None, *range(-60, 240)])
+        length = draw.choice([-5, 0, 1, 1, 2, 3, 17, 64, 300])
+        sources.append((draw.choice([None, 1, 2]), start, None if start is None or draw.random() < 0.05 else start + length, f"s{i % 50}"))
+
+    def expected(key, at):
+        fits = (
+            (s, name) for k, s, e, name in sources
+            if s is not None and e is not None and at is not None and s <= at < e and (not keys or (k is not None and k == key))
+        )
+        return max(fits, default=(None, None))[1]
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for convert, kind in ((lambda n: n, "int"), (time_of, "timestamp_ntz")):
+            left = spark.createDataFrame([(i, k, convert(t)) for i, k, t in records], f"i int, k int, at {kind}")
+            right = spark.createDataFrame([(k, convert(s), convert(e), n) for k, s, e, n in sources], f"k int, valid_from {kind}, valid_to {kind}, source_page string")
+            got = pv.covering_source(left, right, keys=keys)
+            assert sorted((r.i, r.source_page) for r in got.collect()) == [(i, expected(k, t)) for i, k, t in records]
+            assert pv.covering_source(left, right.limit(0), keys=keys).where("source_page is null").count() == 250
+            assert pv.covering_source(left.limit(0), right, keys=keys).count() == 0
+            assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_lengths_of_intervals_may_differ_a_lot(spark):
+    """One source for all time and very many short ones: few pairs fail the exact test."""
+    short = spark.range(20_000).select((F.col("id") * 10).alias("valid_from"), (F.col("id") * 10 + 5).alias("valid_to"), F.col("id").cast("string").alias("source_page"))
+    ever = spark.createDataFrame([(-1, 1 << 40, "ever")], "valid_from long, valid_to long, source_page string")
+    records = spark.range(0, 200_000, 5).select(F.col("id").alias("at"))
+    got = pv.covering_source(records, short.unionByName(ever))
+    assert got.where("source_page = 'ever'").count() == 20_000
+    assert got.where("source_page <> cast(at div 10 as string) and at % 10 = 0").count() == 0

@@ -1,0 +1,95 @@
+"""Names within an edit distance, and the furniture of sites, against plain Python."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import provenir as pv
+from tests.test_plans import plan_of
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_match_names(spark, most):
+    draw = random.Random(most)
+    names = [None, "", "a", "é", "ab", "日本", "🙂x"] + ["".join(draw.choices("abcé", k=draw.randrange(1, 9))) for _ in range(90)]
+    left, right = ([draw.choice(names) for _ in range(140)] for _ in range(2))
+    a, b = Counter(n for n in left if n is not None), Counter(n for n in right if n is not None)
+    want = {(x, y, d, a[x], b[y]) for x in a for y in b if (d := distance(x, y)) <= most}
+    tables = [spark.createDataFrame([(n,) for n in side], "name string") for side in (left, right)]
+    got = pv.match_names(*tables, "name", most)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+
+
+def test_one_name_in_a_third_of_all_rows(spark):
+    name = F.when(F.col("id") % 3 == 0, F.lit("the usual name")).otherwise(F.md5(F.col("id").cast("string")))
+    rows = spark.range(30_000).select(name.alias("name"))
+    got = pv.match_names(rows, spark.createDataFrame([("the usual nme",)], "other string"), "name", 2, "other").collect()
+    assert [tuple(r) for r in got] == [("the usual name", "the usual nme", 1, 10_000, 1)]
+    assert pv.match_names(rows.limit(0), rows, "name").count() == 0
+
+
+MENU = "<nav><a href='/'>Home</a> <a href='/x'>News</a></nav>"
+
+
+def page(i, host, *blocks):
+    return (i, None if host is None else f"https://{host}/p/{i}", None if blocks == (None,) else f"<html><body>{MENU}{''.join(f'<p>{b}</p>' for b in blocks)}<footer>All rights of {host}</footer>")
+
+
+def test_page_boilerplate(spark):
+    rows = [page(i, "a.example", f"text {i}", "common &amp; known" if i < 5 else "rare", "twice", "twice") for i in range(8)]
+    rows += [page(20, "b.example", "alone"), page(21, "b.example", "alone"), page(30, None, "no host"), page(31, "a.example", None), (32, "https://a.example/", "")]
+    df = spark.createDataFrame(rows, "doc_id int, url string, html string").withColumns({c: F.lit(1) for c in ("n", "hash", "pages")})
+    got = {r.doc_id: (r.body_text, r.n_dropped) for r in pv.page_boilerplate(df).collect()}
+    # Of a.example's 9 pages 8 have menu, footer and "twice", 5 the common text.
+    assert all(got[i] == (f"text {i}", 5) for i in range(5)) and all(got[i] == (f"text {i} rare", 4) for i in range(5, 8))
+    assert got[20] == ("Home News alone All rights of b.example", 0) and got[30] == ("Home News no host All rights of None", 0)
+    assert got[31] == (None, None)
+    assert got[32] == ("", 0)
+    assert set(pv.page_boilerplate(df).columns) == {*df.columns, "body_text", "n_dropped"}
+    assert pv.page_boilerplate(df.limit(0)).count() == 0
+    strict = {r.doc_id: r.body_text for r in pv.page_boilerplate(df, share=1.0, least=9).collect()}
+    assert strict[0] == "Home News text 0 common & known twice twice All rights of a.example"
+
+
+def test_texts_stay_where_they_are(spark, sf_dir):
+    """Only hashes and hosts are shuffled, and a list too long to send splits a hot host."""
+    plan = plan_of(pv.page_boilerplate(pv.scan_documents(spark, f"{sf_dir}/pages.parquet")))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("html" not in line and "blocks" not in line for line in shuffles)
+
+
+PROBES = [
+    ('<html class="a lang=zz" lang="en"><title>t</title>', "en", "t", 0),
+    ('<html data-x="1>2" lang="en">', "en", None, 0),
+    ("<svg><title>icon</title></svg><title>real</title>", None, "real", 0),
+    ('<p title="<p >">one</p><P>two<p\n>', None, None, 3),
+    ("<html lang=de><HTML lang=en>", "de", None, 0),
+    ('<html xml:lang="fr" LANG = \'pt-BR\'><pre>', "pt-BR", None, 0),
+    ("<template><title>no</title><p></template><p>", None, None, 1),
+    ("<!-- <html lang=xx> --><html LANG=ja", "ja", None, 0),
+]
+
+
+def test_values_where_markup_misleads(spark):
+    pages = spark.createDataFrame([(i, "u", p[0]) for i, p in enumerate(PROBES)], "doc_id long, url string, html string")
+    got = {r.doc_id: (r.lang, r.title, r.n_sections) for r in pv.build_records(pages, F.lit(1)).collect()}
+    assert got == {i: p[1:] for i, p in enumerate(PROBES)}
+
+
+def test_templates_are_no_text_and_noscript_is(spark):
+    html = "a<template>b<p>c</template>d<noscript>e</noscript><svg><text>f</text></svg>g<template>open"
+    assert pv.extract_text(spark.createDataFrame([(html,)], "html string")).first().body_text == "ad e g"
