@@ -18,7 +18,7 @@ import provenir as pv
 from provenir.functions.text import INSIDE
 from provenir.plans.records import PAGE_FIELDS, with_markup
 from provenir.sinks.publish import html_row
-from provenir.sinks.scratch import new_scratch_path
+from provenir.sinks.scratch import new_scratch_path, stored
 from provenir.sources import schemas
 
 try:  # the operators for training text may be absent
@@ -315,6 +315,69 @@ def page_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_dropped", F.md5("body_text").alias("text_md5"))
 
 
+def _earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for the last publication: documents as the pages have them."""
+    pages = _pages(spark, sf_dir)
+    return pages.select("doc_id", _url_round(F.col("url")).alias("round"), F.floor(F.col("n_chars") / 1000).alias("size"))
+
+
+def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "round", F.floor(F.col("n_chars") / 1000).alias("size"))
+
+
+def publication_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pv.publication_diff(_earlier(spark, sf_dir), _later(spark, sf_dir))
+
+
+def publish_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last publication brought up to date, as it then reads."""
+    path = new_scratch_path(spark, "publish_changes")
+    pv.organise_by_round(_earlier(spark, sf_dir), path)
+    return pv.publish_changes(_later(spark, sf_dir), path)
+
+
+def semi_structured_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [pv.JsonField("k", "$.k", T.IntegerType()), pv.JsonField("label", "$.label")]
+    found = pv.semi_structured_values(_events(spark, sf_dir), "props", fields, keep=["event_id"])
+    return found.withColumn("mistyped", F.array_join("mistyped", ","))
+
+
+def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken in as a stream, each once."""
+    path, checkpoint = (new_scratch_path(spark, "intake_stream", name) for name in ("table", "checkpoint"))
+    taken = pv.intake_stream(
+        spark, f"{sf_dir}/events*.parquet", schemas.EVENTS, path, checkpoint, ["event_id"], at="ts", delay="365 days"
+    )
+    return taken.select("event_id", "user_id", "event_type", "value")
+
+
+def publication_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root over all documents, and for each what proves that it belongs to it."""
+    manifest = pv.publication_manifest(_documents(spark, sf_dir).drop("round"))
+    found = pv.proofs(manifest)
+    proof = F.array_join(F.transform("proof", lambda p: F.array_join(p, "")), "")
+    return found.select("doc_id", "position", "hash", F.sha2(proof, 256).alias("proof_sha256"), F.lit(manifest.root).alias("root"))
+
+
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _documents(spark, sf_dir).select("doc_id", "round", "lang")
+    return pv.status_rollup(pv.verification_status(records, _checks(spark, sf_dir)))
+
+
+def distinct_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sources of each round, and of all rounds from the same sketches."""
+    sketches = stored(pv.distinct_sketches(_documents(spark, sf_dir), "source"), "distinct_by_round")
+    whole = pv.distinct_counts(sketches).withColumn("round", F.lit(0))
+    return pv.distinct_counts(sketches, ["round"]).unionByName(whole)
+
+
+def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of the length of documents by round."""
+    found = pv.value_profile(pv.value_sketches(_documents(spark, sf_dir), "n_chars"), ["round"])
+    quartiles = [F.col("quantiles")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    return found.select("round", "n_rows", "n_missing", "low", "high", *quartiles)
+
+
 def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that lie one per file, read from there and made into records."""
     path = new_scratch_path(spark, "file_records")
@@ -367,6 +430,14 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         match_names,
         page_boilerplate,
         file_records,
+        publication_diff,
+        publish_changes,
+        semi_structured_values,
+        intake_stream,
+        publication_manifest,
+        status_rollup,
+        distinct_by_round,
+        value_profile,
     ]
     return {query.__name__: query for query in wired}
 
@@ -602,7 +673,50 @@ def oracle_sql() -> dict[str, str]:
               {status} as status, body_md5
             from r left join labels l on l.doc_id = r.doc_id""",
     }
+    earlier = f"select page_id as doc_id, {url_round} as round, length(html) // 1000 as size from pages"
+    later = f"select doc_id, {round_of_lang} as round, n_chars // 1000 as size from documents"
+    content = " || ".join(
+        f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "text", "lang", "source", "n_chars")
+    )
+    quartile = ", ".join(f"cast(n[cast(ceil({q} * len(n)) as int)] as double) as {name}" for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
     sql |= {
+        "publication_diff": f"""select coalesce(p.doc_id, d.doc_id) as doc_id,
+              cast(p.doc_id is not null as bigint) as n_published, cast(d.doc_id is not null as bigint) as n_records,
+              case when p.doc_id is null then 'added' when d.doc_id is null then 'removed'
+                when p.size is distinct from d.size then 'changed'
+                when p.round is distinct from d.round then 'moved' else 'unchanged' end as change
+            from ({earlier}) p full outer join ({later}) d on d.doc_id = p.doc_id""",
+        "publish_changes": later,
+        "semi_structured_values": """select event_id, try_cast(json_extract_string(props, '$.k') as int) as k,
+              json_extract_string(props, '$.label') as label, not json_valid(props) as malformed,
+              case when json_extract_string(props, '$.k') is not null and try_cast(json_extract_string(props, '$.k') as int) is null
+                then 'k' else '' end as mistyped
+            from events""",
+        "intake_stream": "select event_id, user_id, event_type, value from events",
+        # Three levels of sixteen hold up to 4,096 documents.
+        "publication_manifest": f"""with h as (select doc_id, sha256({content}) as hash from documents),
+            leaf as (select *, row_number() over (order by doc_id, hash) - 1 as position from h),
+            one as (select position // 16 as position, string_agg(hash, '' order by position) as parts from leaf group by 1),
+            two as (select position // 16 as position, string_agg(sha256(parts), '' order by position) as parts from one group by 1),
+            three as (select position // 16 as position, string_agg(sha256(parts), '' order by position) as parts from two group by 1),
+            top as (select case when (select count(*) from leaf) <= 16 then 1 when (select count(*) from leaf) <= 256 then 2 else 3 end as n)
+            select doc_id, leaf.position, hash,
+              sha256(one.parts || case when n > 1 then two.parts else '' end || case when n > 2 then three.parts else '' end) as proof_sha256,
+              sha256(case n when 1 then one.parts when 2 then two.parts else three.parts end) as root
+            from leaf cross join top join one on one.position = leaf.position // 16
+              join two on two.position = leaf.position // 256 join three on three.position = leaf.position // 4096""",
+        "status_rollup": f"""with s as (
+              select {round_of_lang} as round, lang, {status} as status from documents d left join labels l on l.doc_id = d.doc_id)
+            select round, lang, status, cast(grouping_id(round, lang, status) as bigint) as grouping, count(*) as n_records
+            from s group by cube (round, lang, status)""",
+        "distinct_by_round": f"""with s as (select {round_of_lang} as round, source from documents)
+            select round, count(*) as n_rows, count(distinct source) as n_distinct from s group by round
+            union all select 0, count(*), count(distinct source) from s""",
+        "value_profile": f"""with s as (
+              select {round_of_lang} as round, list_sort(list(n_chars) filter (n_chars is not null)) as n, count(*) as n_rows
+              from documents group by 1)
+            select round, n_rows, n_rows - len(n) as n_missing, cast(n[1] as double) as low, cast(n[len(n)] as double) as high, {quartile}
+            from s""",
         "status_as_of": """select p.event_id, p.user_id,
               case when c.ts is null then 'unverified' when c.event_type = 'error' then 'rejected' else 'verified' end as status,
               cast(c.ts as varchar) as checked_at

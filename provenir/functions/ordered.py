@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.joins import join_lookup
+from provenir.sinks.scratch import stored
 
 # A key with more rows than this is cut into spans of about as many.
 HOT_ROWS = 5_000_000
@@ -58,3 +59,21 @@ def in_spans(rows: DataFrame, spans: DataFrame | None, keys: Sequence[str], at:
     placed = join_lookup(rows, spans, keys, small=True)
     span = F.size(F.filter("__cuts", lambda c: c <= F.col(at)))
     return placed.withColumn("__span", F.when(F.col("__cuts").isNotNull(), span)).drop("__cuts")
+
+
+def with_positions(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``position``, counted from 0 in the order of the columns ``order``.
+
+    Rows go to ranges of the order and are written; ranges are then counted and numbered
+    each in a task of its own, from where the ones before end. Equal rows are spread by
+    where they were read, so even a row that is a third of the table fills no range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(n, *order, "__row")
+    ranged = stored(spread.withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__row"))
+    numbered = ranged.withColumn("__within", within).join(F.broadcast(begins), F.col("__range") == F.col("__r"))
+    return numbered.select(*rows.columns, (F.col("__begin") + F.col("__within") - 1).cast("long").alias("position"))

@@ -7,11 +7,16 @@ back under the schema it was written with.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provenir.functions.joins import is_small
 from provenir.functions.text import escape_markup
+from provenir.operators.changes import touched_groups
+from provenir.sinks.scratch import drop_folder, stored
 
 NULL_MARK = r"\N"
 
@@ -61,6 +66,31 @@ def organise_by_round(
     return df.sparkSession.read.schema(stored).parquet(path).select(*df.columns)
 
 
+def publish_changes(
+    records: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), by: str = "round", even_files: bool = False
+) -> DataFrame:
+    """Bring what ``organise_by_round`` wrote to ``path`` up to ``records``.
+
+    Only rounds of which a row differs are written; the files of all others stay as they
+    are. A round that has no record any more goes. Returns the table as it then stands.
+    ``records`` must not be read from ``path``. Whoever reads a round while it is written
+    may find the old rows, the new ones or none.
+    """
+    spark = records.sparkSession
+    fields = [f for f in records.schema.fields if f.name != by]
+    published = spark.read.schema(T.StructType([*fields, records.schema[by]])).parquet(path)
+    touched = stored(touched_groups(published, records, keys, by), "touched")  # a row for each round
+    same = F.col(by).eqNullSafe(F.col("__by"))
+    written = touched.where("left").select(F.col(by).alias("__by"))
+    rows = records.join(F.broadcast(written) if is_small(written) else written, same, "left_semi")
+    rows = rows.hint("rebalance", by) if even_files else rows
+    gone = [r[0] for r in touched.where("not left").select(by).collect()]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for value in gone:
+        drop_folder(spark, f"{path}/{by}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+    return spark.read.schema(published.schema).parquet(path).select(*records.columns)
+
+
 def _per_string(df: DataFrame, change) -> DataFrame:
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({name: change(F.col(name)) for name in strings})

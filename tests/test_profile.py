@@ -1,0 +1,70 @@
+"""Rollups, sketches and JSON columns."""
+
+import random
+from collections import Counter
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import provenir as pv
+from tests.test_plans import exchanges
+
+
+def test_status_rollup(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1, 2]), draw.choice(["a", None]), draw.choice("xy")) for _ in range(200)]
+    want = Counter()
+    for row, bits in product(rows, range(8)):
+        want[(*(None if bits >> (2 - i) & 1 else v for i, v in enumerate(row)), bits)] += 1
+    got = pv.status_rollup(spark.createDataFrame(rows, "round int, lang string, status string"))
+    assert exchanges(got) == 1
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and {r[:4]: r[4] for r in found} == want
+
+
+@pytest.mark.parametrize("n", [100, 30_000])
+def test_distinct_counts(spark, n):
+    rows = spark.range(0, 3 * n, 1, 6).select((F.col("id") % 3).cast("int").alias("round"), (F.col("id") % n).alias("v"))
+    sketches = pv.distinct_sketches(rows.unionByName(rows.select("round", F.lit(None).cast("long").alias("v"))), "v")
+    by_round = {r.round: r for r in pv.distinct_counts(sketches, ["round"]).collect()}
+    exact = {r.round: r.n for r in rows.groupBy("round").agg(F.countDistinct("v").alias("n")).collect()}
+    assert all(abs(by_round[g].n_distinct - exact[g]) <= 0.03 * exact[g] and by_round[g].n_rows == 2 * n for g in exact)
+    whole = pv.distinct_counts(sketches).first()
+    at_once = pv.distinct_counts(pv.distinct_sketches(rows, "v", by=[])).first()
+    assert abs(whole.n_distinct - n) <= 0.03 * n and abs(whole.n_distinct - at_once.n_distinct) <= 0.01 * n
+    assert pv.distinct_counts(pv.distinct_sketches(rows.where("false"), "v"), ["round"]).count() == 0
+
+
+def test_value_profile_and_outliers(spark):
+    n = 50_000
+    rows = spark.range(0, n, 1, 6).select((F.col("id") % 2).cast("int").alias("round"), F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(0, float("nan")), (0, 1e9), (5, None)], "round int, v double"))
+    sketches = pv.value_sketches(rows, "v")
+    got = {r.round: r for r in pv.value_profile(sketches, ["round"]).collect()}
+    assert (got[0].n_rows, got[0].n_missing, got[0].low, got[0].high) == (n // 2 + 2, n // 10 + 1, 2.0, 1e9)
+    assert got[5].quantiles is None and (got[5].n_rows, got[5].n_missing) == (1, 1)
+    for g in (0, 1):
+        assert all(abs(q - share * n) < 0.02 * n for q, share in zip(got[g].quantiles, (0.25, 0.5, 0.75), strict=True))
+    whole = pv.value_profile(sketches, shares=[0.5]).first()
+    assert abs(whole.quantiles[0] - n / 2) < 0.02 * n and whole.n_rows == n + 3
+    assert [tuple(r) for r in pv.outliers(rows, pv.value_profile(sketches, ["round"]), "v").collect()] == [(0, 1e9)]
+
+
+def test_semi_structured_values(spark):
+    texts = ['{"k": 1, "n": {"a": [1, "x"]}}', '{"k": "2"}', '{"k": "two"}', '{"k": null}', "{}", "[]", "", "{", None, '{"k": 1.0}', '{"k": {"k": 1}}', '"k"', '{"n": 5}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("malformed_", F.lit(1))
+    fields = [pv.JsonField("k", "$.k", T.IntegerType()), pv.JsonField("x", "$.n.a[1]")]
+    got = {r.i: (r.k, r.x, r.malformed, r.mistyped) for r in pv.semi_structured_values(df, "t", fields, keep=["i"]).collect()}
+    plain = (None, None, False, [])
+    assert got == {
+        0: (1, "x", False, []), 1: (2, None, False, []), 2: (None, None, False, ["k"]), 3: plain, 4: plain, 5: plain,
+        6: (None, None, True, []), 7: (None, None, True, []), 8: plain, 9: (1, None, False, []), 10: (None, None, False, ["k"]), 11: plain, 12: plain,
+    }
+
+
+def test_json_schemas(spark):
+    rows = [("a", '{"k": 1}'), ("a", '{"k": 2, "l": "x"}'), ("b", '{"k": "s"}'), ("b", '{"k": 1}'), ("c", "{"), ("c", None)]
+    got = {r.g: tuple(r)[1:] for r in pv.json_schemas(spark.createDataFrame(rows, "g string, t string"), "t", ["g"]).collect()}
+    assert got == {"a": (2, 0, "OBJECT<k: BIGINT, l: STRING>"), "b": (2, 0, "OBJECT<k: VARIANT>"), "c": (2, 1, "VOID")}
