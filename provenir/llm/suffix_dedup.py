@@ -1,27 +1,28 @@
-"""Repeated passages across documents, by minimisers and hashes of windows.
+"""Repeated passages across documents, by a depth-limited radix sort of suffixes.
 
-The windows are the first ``threshold`` bytes of each suffix of the texts, as UTF-8. The
-groups of equal ones are those that a radix sort of the suffixes to this depth would end
-with, but no suffix is ordered and no digit is passed over in turn. Two passes keep this
-cheap where almost all windows are alone:
+The windows are the first ``threshold`` bytes of each suffix of the texts, as UTF-8.
+Suffixes are ordered through these bytes alone, most significant digits first; the groups
+that no digit parts are exactly the repeated windows. What makes this cheap where almost
+all suffixes are alone is how they are parted before:
 
-- The digit of a window is its minimiser: the substring of ``DIGIT`` bytes in it
-  whose hash is least. Equal windows have equal digits at equal places, and some
-  thirteen neighbouring windows share one digit, so the first pass moves one number
-  for all of them. The windows of a digit that no two documents share are done.
-- The second pass groups the windows that are left by all their bytes. A block sends
-  each distinct run of windows with the smallest id that has it, once, compressed.
+- The partition of a suffix is the minimiser of its window: the substring of ``DIGIT``
+  bytes in it whose hash is least. Equal windows have equal minimisers at equal places, so
+  no group is split, and some thirteen neighbouring suffixes share one, so a first pass
+  moves one number for all of them. Suffixes of a minimiser that no two documents share
+  are alone already, and done.
+- The suffixes that are left are ordered within their partition, eight bytes a pass; those
+  alone after a pass are dropped from the next ones. A block sends each distinct run of
+  windows with the smallest id that has it, once, compressed.
 
-Windows are compared by 128 bits of hash in the second pass; the chance that any two
-different ones among 10^13 agree is below 10^-12.
+Hashes pick partitions and buckets; whether windows are equal is told by their bytes.
 
 Plan: texts are dealt once into blocks of about ``BLOCK_BYTES``, which the three steps
 read (Spark reuses the exchange). Digits go to buckets by their hash in packed
 arrays, never more rows than digits, and flags come back a bit each. A digit that is
 in very many documents comes once from each block. Its spans may still differ in every
-document, so the windows of a digit that at least ``HOT_BLOCKS`` blocks have take a
-pass over all their bytes instead: a block sends the hash of each distinct one with
-the smallest id that has it, and the hash picks the bucket. So no bucket is hot.
+document, so the windows of a digit that at least ``HOT_BLOCKS`` blocks have are ordered
+in their block first, and a block sends each distinct one with the smallest id that has
+it to the bucket of its own hash. So no bucket is hot.
 """
 
 from __future__ import annotations
@@ -232,42 +233,103 @@ def _shared(block: _Block, replies: dict[int, dict[int, bytes]], n: int) -> tupl
     return shared & ~hot, hot, of_run
 
 
-def _window_hashes(data: bytes, lengths: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window that lies in one span, in pieces of whole spans."""
-    one, two = [np.empty(0, _U64)], [np.empty(0, _U64)]
-    ends = np.cumsum(lengths)
-    at, first = 0, 0
-    while first < len(lengths):
-        stop = max(first + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-        part = np.frombuffer(data, np.uint8)[at : ends[stop - 1]]
-        begins = (ends[first:stop] - lengths[first:stop]) - at
-        n_windows = lengths[first:stop] - threshold + 1
-        windows = np.repeat(begins - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
-        one.append(mix64(_Rolling(part, 31).of(threshold)[windows]))
-        two.append(mix64(_Rolling(part, 41).of(threshold)[windows]))
-        at, first = int(ends[stop - 1]), stop
-    return np.concatenate(one), np.concatenate(two)
-
-
-def _grouped(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First of each group of equal windows in the order of ``one``, its least owner, and each window's group."""
-    order = np.lexsort((two, one))
-    new = np.flatnonzero(np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
-    group = np.empty(len(one), np.int64)
-    group[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(one)]))
-    return order[new], np.minimum.reduceat(owner[order], new), group
-
-
-def _hot_windows(block: _Block, hot: np.ndarray, of_run: np.ndarray):
-    """Runs of hot digits, the span of each, windows of each span, their groups; both hashes and least id of a group."""
+def _starts(lengths: np.ndarray, threshold: int) -> np.ndarray:
+    """Where the windows begin that lie in one of the spans written one after the other."""
+    begins = np.cumsum(lengths) - lengths
+    return _spread(lengths - threshold + 1, begins)
+
+
+def _digits_at_all(data: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bytes from every place as one number, the first byte the highest."""
+    out, n = data.astype(_U64), 1
+    while n < width:
+        out = (out[: len(out) - n] << _U64(8 * n)) | out[n:]
+        n *= 2
+    return out
+
+
+def _without_lone(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept = ~(new & np.r_[new[1:], True])
+    return order[kept], new[kept]
+
+
+def _radix_order(data: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that are not alone in order of their bytes, and where a group of equal ones begins.
+
+    Passes go from the first bytes to the last, ``width`` of them at a time; the last one
+    may overlap the one before. A group in which a digit is the same throughout keeps its
+    order; only the others are sorted by it.
+    """
+    if len(starts) < 2:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    width = 1 << (min(threshold, 8).bit_length() - 1)
+    digits = _digits_at_all(data, width)
+    order = np.argsort(digits[starts], kind="stable")
+    digit = digits[starts[order]]
+    order, new = _without_lone(order, np.r_[True, digit[1:] != digit[:-1]])
+    for at in dict.fromkeys((*range(width, threshold - width, width), threshold - width)):
+        if not len(order):
+            break
+        digit = digits[starts[order] + at]
+        parts = np.r_[False, digit[1:] != digit[:-1]] & ~new
+        if parts.any():
+            group = np.cumsum(new) - 1
+            parted = np.zeros(int(group[-1]) + 1, bool)
+            parted[group[parts]] = True
+            mixed = np.flatnonzero(parted[group])
+            resorted = mixed[np.lexsort((digit[mixed], group[mixed]))]
+            order[mixed], digit[mixed] = order[resorted], digit[resorted]
+            new = new | np.r_[False, digit[1:] != digit[:-1]]
+            order, new = _without_lone(order, new)
+    return order, new
+
+
+def _grouped(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window of each group of equal ones, its least owner, and each window's group; the lone ones last."""
+    order, new = _radix_order(data, starts, threshold)
+    heads = np.flatnonzero(new)
+    group = np.full(len(starts), -1, np.int64)
+    group[order] = np.cumsum(new) - 1
+    lone = np.flatnonzero(group < 0)
+    group[lone] = len(heads) + np.arange(len(lone))
+    least = np.minimum.reduceat(owner[order], heads) if len(heads) else np.empty(0, owner.dtype)
+    return np.r_[order[heads], lone].astype(np.int64), np.r_[least, owner[lone]], group
+
+
+def _hot_windows(block: _Block, hot: np.ndarray, of_run: np.ndarray, n: int):
+    """Runs of hot digits, the span of each, windows of each span and their groups; bucket, bytes and least id of a group.
+
+    Groups are in the order of their buckets.
+    """
     runs, of, contents, head = block.spans(hot, of_run)
     if not len(runs):
         return None
     lengths = np.array([len(c) for c in contents], np.int64)
-    one, two = _window_hashes(b"".join(contents), lengths, block.threshold)
-    n_windows = lengths - block.threshold + 1
-    first, least, group = _grouped(one, two, np.repeat(block.ids[block.doc[head]], n_windows))
-    return runs, of, n_windows, group, one[first], two[first], least
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    starts, n_windows = _starts(lengths, block.threshold), lengths - block.threshold + 1
+    first, least, group = _grouped(data, starts, np.repeat(block.ids[block.doc[head]], n_windows), block.threshold)
+    hashes = np.empty(len(first), _U64)
+    for at in range(0, len(first), PIECE // block.threshold + 1):
+        some = slice(at, at + PIECE // block.threshold + 1)
+        hashes[some] = _hash_of(_windows(data, starts[first[some]], block.threshold))
+    buckets = _bucket(hashes, n)
+    order = np.argsort(buckets, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return runs, of, n_windows, rank[group], buckets[order], _windows(data, starts[first[order]], block.threshold), least[order]
+
+
+def _windows(data: np.ndarray, starts: np.ndarray, threshold: int) -> np.ndarray:
+    """The bytes of the windows, one row each."""
+    return np.lib.stride_tricks.sliding_window_view(data, threshold)[starts]
+
+
+def _hash_of(windows: np.ndarray) -> np.ndarray:
+    table = random_words(31, windows.shape[1] * 256).reshape(-1, 256)
+    total = np.zeros(len(windows), _U64)
+    for k in range(windows.shape[1]):
+        total += table[k][windows[:, k]]
+    return mix64(total)
 
 
 def _by_bucket(block: _Block, shared: np.ndarray, of_run: np.ndarray, n: int):
@@ -300,10 +362,11 @@ def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -
                     zstandard.ZstdCompressor(level=3).compress(b"".join(contents[i] for i in own)),
                 )
             )
-    if found := _hot_windows(block, hot, of_run):
-        *_, one, two, least = found
-        for bucket, s in _slices(_bucket(one, n)):
-            rows.append((name, bucket, 3, b"", least[s].tobytes(), b"", one[s].tobytes() + two[s].tobytes()))
+    if found := _hot_windows(block, hot, of_run, n):
+        *_, own, windows, least = found
+        for bucket, s in _slices(own):
+            packed = zstandard.ZstdCompressor(level=3).compress(windows[s].tobytes())
+            rows.append((name, bucket, 3, b"", least[s].tobytes(), b"", packed))
     return _table(schema, rows)
 
 
@@ -311,19 +374,15 @@ def _judge_spans(packets: pa.Table, threshold: int) -> pa.Table:
     """A bit for each window of every span, or for each window sent: a smaller id has it. Packets are of one kind."""
     kind = packets.column("kind")[0].as_py()
     ids = [np.frombuffer(x, np.int64) for x in packets.column("ids").to_pylist()]
-    found, owners, sizes = [], [], []
-    for own, sent, part in zip(ids, packets.column("lengths").to_pylist(), packets.column("bytes").to_pylist(), strict=True):
-        if kind == 3:
-            found.append(np.split(np.frombuffer(part, _U64), 2))
-            owners.append(own)
-        else:
-            lengths = np.frombuffer(sent, np.int32).astype(np.int64)
-            found.append(_window_hashes(zstandard.ZstdDecompressor().decompress(part), lengths, threshold))
-            owners.append(np.repeat(own, lengths - threshold + 1))
-        sizes.append(len(owners[-1]))
-    one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-    owner = np.concatenate(owners)
-    _, least, group = _grouped(one, two, owner)
+    if kind == 3:
+        lengths = [np.full(len(own), threshold, np.int64) for own in ids]
+    else:
+        lengths = [np.frombuffer(x, np.int32).astype(np.int64) for x in packets.column("lengths").to_pylist()]
+    sizes = [int((n - threshold + 1).sum()) for n in lengths]
+    data = b"".join(map(zstandard.ZstdDecompressor().decompress, packets.column("bytes").to_pylist()))
+    every = np.concatenate(lengths)
+    owner = np.repeat(np.concatenate(ids), every - threshold + 1)
+    _, least, group = _grouped(np.frombuffer(data, np.uint8), _starts(every, threshold), owner, threshold)
     packed = [np.packbits(h).tobytes() for h in np.split(least[group] < owner, np.cumsum(sizes)[:-1])]
     n = packets.num_rows
     return pa.table(
@@ -360,9 +419,9 @@ def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kep
         hit = bits[_spread(width, begin[of])] | np.repeat(later, width)
         docs.append(np.repeat(block.doc[runs], width)[hit])
         windows.append(_spread(width, block.first[runs])[hit])
-    if found := _hot_windows(block, hot, of_run):
-        runs, of, n_windows, group, one, _, least = found
-        bits = _bits(by_kind[3], _bucket(one, n), np.ones(len(one), np.int64))
+    if found := _hot_windows(block, hot, of_run, n):
+        runs, of, n_windows, group, own, _, least = found
+        bits = _bits(by_kind[3], own, np.ones(len(own), np.int64))
         width = n_windows[of]
         own = group[_spread(width, (np.cumsum(n_windows) - n_windows)[of])]
         hit = bits[own] | (least[own] < np.repeat(block.ids[block.doc[runs]], width))
