@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -100,9 +102,13 @@ class ToxicityModel:
         if len(automaton):
             for end, (length, weight) in automaton.iter(folded):
                 (excepted if weight is None else hits).append((end + 1 - length, end, weight))
+        # How far the phrases that begin up to a place reach, so that no hit looks at every phrase.
+        excepted.sort(key=lambda e: e[0])
+        begins, reach = [a for a, *_ in excepted], [*accumulate((b for _, b, _ in excepted), max)]
         best: dict[int, float] = {}  # one term counts for each beginning of a word
         for begin, end, weight in hits:
-            if not any(a <= begin and end <= b for a, b, _ in excepted):
+            before = bisect_right(begins, begin)
+            if not before or reach[before - 1] < end:
                 best[begin] = max(best.get(begin, 0.0), weight)
         total = sum(best.values())
         return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
