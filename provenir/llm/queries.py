@@ -245,29 +245,25 @@ from turns group by conv_id
 """
 
 
-def _op2_sql() -> str:
-    """The notice lines that the tables hold, each its own sentence."""
-    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
-    rules = ", ".join(f"('{r.name}', '{r.license}', '|{'|'.join(r.sentences)}|')" for r in licenses.RULES)
-    return f"""with known(id, sentence) as (values {known}),
-      rule(name, license, ids) as (values {rules}),
-      parts as (
-        select doc_id, generate_subscripts(p, 1) as pos, trim(unnest(p)) as sentence
-        from (select doc_id, regexp_split_to_array(regexp_replace(regexp_replace({lower},
-            '{licenses.SENTENCE_END}', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), '\n+') as p
-          from documents)),
-      found as (
-        select doc_id, string_agg(id, '|' order by pos) as ids
-        from parts join known on known.sentence = parts.sentence group by doc_id),
-      matched as (
-        select doc_id, string_agg(name, ',' order by name) as rules,
-          string_agg(distinct license, ',' order by license) as licenses
-        from found join rule on contains('|' || found.ids || '|', rule.ids) group by doc_id)
-      select d.doc_id, coalesce(replace(f.ids, '|', ','), '') as sentences,
-        coalesce(m.rules, '') as rules, coalesce(m.licenses, '') as licenses
-      from documents d left join found f on f.doc_id = d.doc_id left join matched m on m.doc_id = d.doc_id"""
+# The notices that the tables hold stand alone on their lines.
+OP2_SQL = """
+with known(line, sentence, rule, license) as (values
+  ('This work is licensed under the GNU General Public License, version 3.', 'gpl3-notice', 'gpl3-notice', 'GPL-3.0-only'),
+  ('Released under the MIT License.', 'mit-release', 'mit-release', 'MIT'),
+  ('Licensed under CC BY-NC 4.0.', 'cc-by-nc-4', 'cc-by-nc-4', 'CC-BY-NC-4.0'),
+  ('Licensed under the Apache License, Version 2.0.', 'apache-notice', 'apache-notice', 'Apache-2.0')),
+lines as (
+  select doc_id, generate_subscripts(parts, 1) as pos, trim(unnest(parts)) as line
+  from (select doc_id, string_split(text, chr(10)) as parts from documents)),
+found as (
+  select doc_id, string_agg(sentence, ',' order by pos) as sentences,
+    array_to_string(list_sort(list_distinct(list(rule))), ',') as rules,
+    array_to_string(list_sort(list_distinct(list(license))), ',') as licenses
+  from lines join known on known.line = lines.line group by doc_id)
+select d.doc_id, coalesce(sentences, '') as sentences, coalesce(rules, '') as rules, coalesce(licenses, '') as licenses
+from documents d left join found f on f.doc_id = d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_decontaminate": OP5_SQL, "op10_exact_top_k": OP10_SQL, "op12_phrase_collocations": OP12_SQL, "op13_chat_formatting": OP13_SQL}
+    return {"op2_license_scan": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_exact_top_k": OP10_SQL, "op12_phrase_collocations": OP12_SQL, "op13_chat_formatting": OP13_SQL}

@@ -70,7 +70,7 @@ def sentence(name):
         ("Some text.\nReleased under the MIT License.", ["mit-release"]),
         (f"{sentence('mit-grant').upper()}:\n\n{sentence('mit-notice')}. {sentence('as-is-software')}.", ["mit-text"]),
         (f"{sentence('mit-notice')}. {sentence('mit-grant')}. {sentence('as-is-software')}.", []),  # another order
-        (f"The MIT License\n{sentence('mit-grant').replace(' copy ', ' copy\n')}.", []),
+        (f"The MIT License\n{sentence('mit-grant').replace(' copy ', ' copy\n')}.", ["mit-title-text"]),
         (f"The MIT License. {sentence('mit-grant').replace(' copy ', ' copy\n')}.", ["mit-title-text"]),
         ("This work is licensed under the GNU General Public License, version 3.", ["gpl3-notice"]),
         ("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", ["cc-by-4", "cc-by-nc-4"]),
@@ -200,6 +200,86 @@ def test_wrapped_official_wordings(spark, text, rules, names):
     assert (got["rules"], got["licenses"]) == (rules, names)
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide. This software is distributed without any warranty.
+"""
+BOOST = "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)\n"
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+NOTICES = {
+    "ISC": ISC, "0BSD": ISC.replace("granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "granted."),
+    "MPL-2.0": MPL, "GPL-2.0-or-later": GPL2, "GPL-2.0-only": GPL2.replace("either version 2\nof the License, or (at your option) any later version", "version 2 of the License"),
+    "LGPL-2.1-or-later": LGPL, "AGPL-3.0-or-later": AGPL, "Unlicense": UNLICENSE, "CC0-1.0": CC0, "BSL-1.0": BOOST, "Zlib": ZLIB,
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", ";; ", "-- "])
+def test_notices_wrapped_and_commented(spark, prefix):
+    lines = {name: ["A title", "Copyright (c) 2020 X", *text.splitlines()] for name, text in NOTICES.items()}
+    rows = [(i, "".join(f"{prefix}{line}\n" for line in own)) for i, own in enumerate(lines.values())]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {i: [name] for i, name in enumerate(NOTICES)}
+
+
+def test_tag_lines(spark):
+    rows = [(i, f"// SPDX-License-Identifier: {name}\nint main;") for i, name in enumerate(licenses.SPDX)]
+    rows += [(100 + i, f"license {name}\n{name}") for i, name in enumerate(licenses.SPDX)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {i: [name] for i, name in enumerate(licenses.SPDX)} | {100 + i: [] for i in range(len(licenses.SPDX))}
+
+
+def test_tight_text_and_see_the_file(spark):
+    tight = MIT_FILE.replace("\n\n", "\n")
+    rows = [(1, tight), (2, "Licensed under the MIT license, see the file."), (3, tight.replace("\n", "\r\n"))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got[1].sentences == got[3].sentences == MIT_TEXT and got[1].licenses == got[2].licenses == ["MIT"]
+
+
+@pytest.mark.parametrize("blank", ["\n", " \n", "\r\n", "\t \r\n", ".\n", "...\n ", "\n# ", "; \n", " " * 7, "-"])
+def test_very_many_blank_lines(spark, blank):
+    text = f"{MIT_FILE}{blank * 100_000}\nReleased under the MIT License{blank * 100_000}\n{MIT_FILE}"
+    found = licenses.scan_licenses(docs(spark, [(1, text)])).first().sentences
+    assert [s for s in found if s != "mit-release"] == MIT_TEXT * 2
+    assert "mit-release" in found or blank in ("-", " " * 7, "\n# ")
+
+
 def test_known_sentences_are_as_the_splitter_makes_them():
     import re
 
