@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import ceil
 
@@ -134,7 +134,22 @@ def _texts(block: pa.Table) -> Iterator[tuple[list, list[str]]]:
         yield ids.as_py(), [t.decode("utf-8", "surrogatepass") for t in _cut(_unsqueeze(data.as_py()), sizes)]
 
 
-def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> dict[int, tuple[list[str], list[str]]]:
+Words = tuple[str, list[str]]
+
+
+def _words(block: pa.Table, vocabulary: str) -> Iterator[tuple[list, list[Words]]]:
+    """Ids of a packet and of each of its texts the first part and the others."""
+    for ids, texts in _texts(block):
+        parted = []
+        for text in texts:
+            parts = _parts(text, vocabulary)
+            first = parts[0]
+            del parts[0]
+            parted.append((first, parts))
+        yield ids, parted
+
+
+def _by_bucket(packets: Iterable[tuple[list, list[Words]]], n: int) -> dict[int, tuple[list[str], list[str]]]:
     """By bucket the distinct first parts of texts, and the other words, each sorted.
 
     The other words have a space before them, which is left out here. Spark gives all
@@ -143,12 +158,10 @@ def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> dict[int, tuple[list
     if "PYTHONHASHSEED" not in os.environ:
         raise RuntimeError("PYTHONHASHSEED is not set for the Python workers")
     firsts, others = set(), set()
-    for _, texts in _texts(block):
-        for text in texts:
-            parts = _parts(text, vocabulary)
-            firsts.add(parts[0])
-            del parts[0]
-            others.update(parts)
+    for _, texts in packets:
+        for first, rest in texts:
+            firsts.add(first)
+            others.update(rest)
     firsts.discard("")
     out: dict[int, tuple[list[str], list[str]]] = {}
     for kind, words in enumerate((firsts, others)):
@@ -163,7 +176,7 @@ def _by_bucket(block: pa.Table, vocabulary: str, n: int) -> dict[int, tuple[list
 def _send_words(block: pa.Table, vocabulary: str, n: int) -> pa.Table:
     name = block.column("block")[0].as_py()
     rows = []
-    for bucket, (firsts, others) in _by_bucket(block, vocabulary, n).items():
+    for bucket, (firsts, others) in _by_bucket(_words(block, vocabulary), n).items():
         raw = [w.encode("utf-8", "surrogatepass") for w in (*firsts, *others)]
         lengths = np.fromiter(map(len, raw), np.int32, len(raw))
         rows.append((name, bucket, len(firsts), _squeeze(b"".join(raw)), _squeeze(lengths.tobytes())))
@@ -208,7 +221,8 @@ def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
 
 
 def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int, decoded: str | None) -> pa.Table:
-    found = _by_bucket(block, vocabulary, n)
+    packets = list(_words(block, vocabulary))
+    found = _by_bucket(packets, n)
     first_ids, other_ids = {"": b""}, {}
     kind = _id_type(vocabulary)
     size = np.dtype(kind).itemsize
@@ -219,13 +233,11 @@ def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int, deco
         other_ids.update(zip(others, own[len(firsts) :], strict=True))
     pieces = _pieces(vocabulary) if decoded else None
     placed = []
-    for ids, texts in _texts(block):
+    while packets:
+        ids, texts = packets.pop()
         lengths, values = [0], []
-        for text in texts:
-            parts = _parts(text, vocabulary)
-            first = parts[0]
-            del parts[0]
-            own = first_ids[first] + b"".join(map(other_ids.__getitem__, parts))
+        for first, rest in texts:
+            own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest))
             values.append(own)
             lengths.append(len(own) // size)
         flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))
