@@ -32,6 +32,7 @@ from provenir.llm.common import (
     LOWER,
     bounded,
     chunks,
+    free_name,
     id_and_text,
     mix64,
     random_words,
@@ -304,6 +305,24 @@ def near_duplicates(
     )
 
 
+def drop_repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of those with the same id and text, nulls being equal; all columns, whatever their names.
+
+    Rows are found by a hash of both, so only repeated ones move.
+    """
+    name, mark = free_name(docs, "row_hash"), free_name(docs, "repeated_hash")
+    known = F.to_json(F.struct(docs[id_col].cast("string").alias("i"), F.md5(docs[text_col].cast("string")).alias("t")))
+    hashed = docs.withColumn(name, F.md5(known))
+    repeated = hashed.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(name).alias(mark))
+    repeated = settle(repeated, "repeated-rows")
+    if repeated.isEmpty():
+        return docs
+    bound = bounded(repeated)
+    same = F.col(name) == F.col(mark)
+    once = hashed.join(bound, same, "left_semi").dropDuplicates([name])
+    return hashed.join(bound, same, "left_anti").unionByName(once).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, result: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document is kept; all columns, whatever their names."""
     dropped = settle(result.where("not kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")

@@ -3,7 +3,7 @@
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 from provenir.llm.common import settle
-from tests.llm.cases import PASSAGE, words
+from tests.llm.cases import PASSAGE, docs, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,15 @@ def test_run(spark):
 def test_stage_names_and_sql():
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "decontamination", "bpe"]
     assert pipeline.ORACLE_SQL is None
+
+
+def test_repeated_rows_are_dropped_once(spark):
+    rows = [(1, words(1, 60)), (1, words(1, 60)), (1, words(2, 60)), (None, words(3, 60)), (None, words(3, 60)), (None, words(4, 60)), (2, None), (2, None), (None, None), (None, "")]
+    table = docs(spark, rows)
+    got = pipeline.drop_near_duplicates(spark, table, SF)
+    assert got.columns == table.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted({repr(r) for r in rows})
+
+
+def test_a_passage_of_51_words_is_long_enough():
+    assert len(" ".join("a" * 51)) >= pipeline.PASSAGE_BYTES
