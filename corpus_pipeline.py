@@ -15,15 +15,17 @@ from provenir.llm.common import free_name, settle
 
 # A document whose likeliest language is less likely than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
-# Bytes of a passage that is taken out where it repeats: some 35 words or more, so that
-# notices and set phrases stay.
-PASSAGE_BYTES = 200
+# Bytes of a passage that is taken out where it repeats. Any passage of over 50 words has as
+# many, however short they are; shorter notices and set phrases stay.
+PASSAGE_BYTES = 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without a letter and unsure ones go.
 
-    Learned from the documents that have a language; where none has, nothing is judged.
+    Learned from the documents that have a language; where none has, nothing is judged and
+    all stay. A null text has no letter. Each row is judged by itself, so repeated ones are
+    alike; of equally likely languages the first by name counts.
     """
     model = language.train(docs)
     if not model.languages:
@@ -35,14 +37,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Of rows with the same id, null or not, and the same text one is left. Other rows of one
+    id stay together. Null and empty texts are near to nothing, and so are null ids.
+    """
+    docs = near_dedup.drop_repeated_rows(docs)
     return near_dedup.keep_one(docs, near_dedup.near_duplicates(docs, words=5, percent=80))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in a document with a smaller id.
 
-    Every document stays, if with less text; ``n_chars`` follows the text.
+    Every document stays, if with less text; ``n_chars`` follows the text. A null text
+    comes out empty. Rows of one id take nothing from each other; a null id comes last.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = suffix_dedup.remove_repeats(docs, threshold=PASSAGE_BYTES, keep=others, as_text=True)
@@ -51,7 +59,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words in a row of a benchmark item."""
+    """Documents that hold no ten words in a row of a benchmark item.
+
+    Nor all words of a shorter item. A null text has no words and stays; each row is judged
+    by itself.
+    """
     name = free_name(docs, "benchmark_hits")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_benchmark(docs, benchmark, width=10, out=name)
@@ -59,7 +71,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and a digest of what they decode to."""
+    """Token ids of every text, and a digest of what they decode to.
+
+    A row for every row; a null or empty text has no ids.
+    """
     vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     tokens = bpe.encode(docs, vocabulary, decoded="decoded")
     return tokens.select(
