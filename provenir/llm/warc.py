@@ -1,7 +1,8 @@
 """WARC derivatives: a metadata and a plain-text conversion record for each response.
 
-Both refer to the response by its id, keep its target URI and source headers, and carry
-digests: of the source payload, and of their own block. Ids of derived records are
+Both refer to the response by its id, target URI and date, and carry digests: of the
+source payload, and of their own block. The source's HTTP headers are fields of the metadata
+record, so a reader of the records alone has them. Ids of derived records are
 made from the response's id and the kind, so a task that runs again writes the same.
 
 Plan: one pass over the responses, without a shuffle; the work of a row depends on that
@@ -73,6 +74,13 @@ def _charset(headers: str) -> tuple[str, str]:
     return (message.get_content_type() if message["Content-Type"] else ""), message.get_content_charset() or "utf-8"
 
 
+def _header_fields(headers: str) -> list[tuple[str, str]]:
+    """The source's status line and headers as fields, a folded header on one line."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", headers).splitlines()
+    status = lines[:1] if headers.startswith("HTTP/") else []
+    return [("http-status-line", line.strip()) for line in status] + [("http-header", line.strip()) for line in lines[len(status) :]]
+
+
 def _decoded(payload: bytes, charset: str) -> str:
     try:
         return payload.decode(charset, "replace")
@@ -86,9 +94,13 @@ def _record(kind: str, response: dict, content_type: str, content: bytes, made_a
         "WARC-Type": kind,
         "WARC-Record-ID": record_id,
         "WARC-Refers-To": response["record_id"],
+        "WARC-Refers-To-Target-URI": response["target_uri"],
+        "WARC-Refers-To-Date": response["date"],
         "WARC-Target-URI": response["target_uri"],
         "WARC-Date": made_at or response["date"],
         "WARC-Block-Digest": digest(content),
+        # Of the payload that the record refers to.
+        "WARC-Payload-Digest": response["payload_digest"],
         "Content-Type": content_type,
         "Content-Length": str(len(content)),
     }
@@ -127,7 +139,7 @@ def _derived(response: dict, made_at: str | None) -> Iterator[dict]:
             if (tag := _HTML_TAG.search(page)) and (lang := _LANG.search(tag.group())):
                 fields["language"] = lang[1]
             fields["links"] = str(sum(1 for tag in _LINK.finditer(page) if _HREF.search(tag.group())))
-    block = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v).encode()
+    block = "".join(f"{k}: {v}\r\n" for k, v in [*fields.items(), *_header_fields(response["http_headers"] or "")] if v).encode()
     yield _record("metadata", response, "application/warc-fields", block, made_at)
     if is_text and response["payload"] is not None:
         yield _record("conversion", response, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), made_at)
@@ -140,7 +152,8 @@ def derive(responses: DataFrame, made_at: str | None = None) -> DataFrame:
     (binary) and ``payload_digest``; other columns are left aside. ``headers`` is the
     WARC header block of a derived record, ``content`` its block; put together with two
     line ends behind, they are the record. ``made_at`` dates the derived records,
-    which otherwise have the date of the response.
+    which otherwise have the date of the response. The metadata block has a field
+    ``http-header`` for each of the source's headers, in their order, after its status line.
 
     Every response gives a metadata record. Text and HTML with a payload give a
     conversion record too, which may be empty; a null payload and other media do not.

@@ -331,6 +331,11 @@ def test_warc_records(spark):
     assert (text.source_headers, text.source_digest, text.source_digest_holds) == (HTML, sha1(page), None)
     fields = bytes(found["<urn:uuid:1>", "metadata"].content).decode()
     assert "title: A & b\r\nlanguage: es-419\r\nlinks: 1\r\n" in fields
+    assert "http-status-line: HTTP/1.1 200 OK\r\nhttp-header: Content-Type: text/html; charset=iso-8859-1\r\nhttp-header: Server: x\r\n" in fields
+    for kind in ("metadata", "conversion"):
+        header = found["<urn:uuid:1>", kind].headers.split("\r\n")
+        assert {"WARC-Refers-To-Target-URI: https://h.example/1", "WARC-Refers-To-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: {sha1(page)}"} <= set(header)
+    assert "http-header: Content-Type: image/png\r\n" in bytes(found["<urn:uuid:3>", "metadata"].content).decode()
     assert found["<urn:uuid:3>", "metadata"].source_digest_holds is True
     assert found["<urn:uuid:4>", "metadata"].source_digest_holds is False
     assert found["<urn:uuid:4>", "metadata"].source_digest == "sha1:WRONG"
