@@ -1,5 +1,6 @@
 """Ids and texts against the tokenizers library."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -49,6 +50,17 @@ def test_decoding_odd_arrays(spark, vocabulary):
         bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>"), vocabulary).collect()
 
 
+def test_ids_of_every_document(spark, sf_dir):
+    """Digests of ids and decoded texts against the library, document by document."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op1_bpe_round_trip(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for row, (ids, decoded) in zip(rows, expected([r.text for r in rows]), strict=True):
+        own = got[row.doc_id]
+        digests = (hashlib.sha256(t.encode()).hexdigest() for t in (",".join(map(str, ids)), decoded))
+        assert (own.n_tokens, own.ids_sha256, own.decoded_sha256) == (len(ids), *digests)
+
+
 def test_query(spark, sf_dir):
     got = queries.op1_bpe_round_trip(spark, sf_dir)
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))

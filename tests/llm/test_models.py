@@ -2,10 +2,12 @@
 
 import random
 import time
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from provenir.llm import language, queries, toxicity, url_filter
@@ -188,3 +190,45 @@ def test_exceptions_are_looked_up_in_one_pass():
         started = time.perf_counter()
         model.features(text * (1_000_000 // len(text)))
         assert time.perf_counter() - started < 2
+
+
+def by_witten_bell(learn):
+    """The probability of a character after those before it, from plain counts of each order."""
+    pad = "\x02" * url_filter.ORDER
+    counts = [Counter() for _ in range(url_filter.ORDER + 2)]
+    for text in learn:
+        whole = pad + text + "\x03"
+        for i in range(url_filter.ORDER, len(whole)):
+            for k in range(url_filter.ORDER + 1):
+                counts[k][whole[i - k : i + 1]] += 1
+
+    def probability(gram):
+        p = 1 / url_filter.ALPHABET
+        for k in range(url_filter.ORDER + 1):
+            context = gram[url_filter.ORDER - k : url_filter.ORDER]
+            after = {g: n for g, n in counts[k].items() if g[:-1] == context}
+            if after:
+                p = (after.get(context + gram[-1], 0) + len(after) * p) / (sum(after.values()) + len(after))
+        return p
+
+    return probability
+
+
+def test_url_scores_by_hand(spark):
+    draw = random.Random(4)
+    urls = [f"http://{h}/{draw.choice(['a', 'bb', 'xyz'])}{draw.randrange(9)}" for h in ("ok.org", "ok.org", "bad.net", "bad.net", "open.io") for _ in range(9)]
+    rules = [url_filter.UrlRule("org", "/", "allow"), url_filter.UrlRule("net", "/", "block")]
+    table = spark.createDataFrame(list(enumerate([*urls, None, "ok.org/x"])), "page_id int, url string")
+    got = url_filter.filter_urls(table, rules).collect()
+    texts = sorted(set(urls))
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    held = {t for t in texts if signed(xxhash.xxh64_intdigest(t, seed=42)) % url_filter.HELD_BACK == 0}
+    good, bad = (by_witten_bell([t for t in texts if mark in t and t not in held]) for mark in ("ok.org", "bad.net"))
+    scored = [r for r in got if r.rule is None]
+    assert {r.page_id for r in scored} == set(range(36, 47))
+    for r in scored:
+        text = ([*urls, None, "ok.org/x"][r.page_id]) or ""
+        whole = "\x02" * url_filter.ORDER + text + "\x03"
+        grams = [whole[i : i + url_filter.ORDER + 1] for i in range(len(text) + 1)]
+        assert np.isclose(r.score, np.mean([np.log(good(g) / bad(g)) for g in grams]))
+    assert max([r.score for r in scored if r.verdict == "block"], default=-9) < min([r.score for r in scored if r.verdict == "allow"], default=9)
