@@ -20,6 +20,8 @@ from provenir.sinks.scratch import stored
 HOT_ROWS = 5_000_000
 # Spans of all keys together, which bounds what is sent to every task.
 MAX_SPANS = 10_000
+# A time is looked up among every so manyth cut, then among as many that follow.
+STRIDE = 64
 
 
 def have_all(columns: Sequence[str]) -> Column:
@@ -27,7 +29,8 @@ def have_all(columns: Sequence[str]) -> Column:
 
 
 def hot_spans(rows: DataFrame, keys: Sequence[str], at: str, hot_rows: int | None = None) -> DataFrame | None:
-    """``keys, __cuts``: where in time the rows of each hot key are cut, None without such keys.
+    """``keys, __cuts, __coarse``: where in time the rows of each hot key are cut, and every
+    ``STRIDE``-th of these; None without such keys.
 
     Two passes over keys and times alone: one counts rows by key; if any key is hot, one
     takes the quantiles of its times. There are fewer than ``MAX_SPANS`` hot keys and cuts,
@@ -42,11 +45,12 @@ def hot_spans(rows: DataFrame, keys: Sequence[str], at: str, hot_rows: int | Non
     pieces = min(-(-most // span), MAX_SPANS)
     own = rows.select(*keys, at).join(F.broadcast(hot), list(keys))
     shares = F.array(*(F.lit(i / pieces) for i in range(1, pieces)))
-    found = own.groupBy(*keys, "__n").agg(F.percentile_approx(at, shares, F.lit(10 * pieces)).alias("__cuts"))
+    found = own.groupBy(*keys, "__n").agg(F.percentile_approx(at, shares, F.lit(max(100, 4 * pieces))).alias("__cuts"))
     # All keys were asked for as many quantiles; a smaller key takes every so manyth of them.
     step = F.greatest(F.floor(F.lit(pieces * span) / F.col("__n")), F.lit(1))
     thinned = F.array_distinct(F.filter("__cuts", lambda c, i: (i + 1) % step == 0))
-    return found.select(*keys, thinned.alias("__cuts"))
+    coarse = F.filter("__cuts", lambda c, i: (i + 1) % STRIDE == 0)
+    return found.select(*keys, thinned.alias("__cuts")).withColumn("__coarse", coarse)
 
 
 def in_spans(rows: DataFrame, spans: DataFrame | None, keys: Sequence[str], at: str) -> DataFrame:
@@ -57,8 +61,9 @@ def in_spans(rows: DataFrame, spans: DataFrame | None, keys: Sequence[str], at:
     if spans is None:
         return rows.withColumn("__span", F.lit(None).cast("int"))
     placed = join_lookup(rows, spans, keys, small=True)
-    span = F.size(F.filter("__cuts", lambda c: c <= F.col(at)))
-    return placed.withColumn("__span", F.when(F.col("__cuts").isNotNull(), span)).drop("__cuts")
+    past = STRIDE * F.size(F.filter("__coarse", lambda c: c <= F.col(at)))
+    span = past + F.size(F.filter(F.slice("__cuts", past + 1, F.lit(STRIDE)), lambda c: c <= F.col(at)))
+    return placed.withColumn("__span", F.when(F.col("__cuts").isNotNull(), span)).drop("__cuts", "__coarse")
 
 
 def with_positions(rows: DataFrame, order: Sequence[str]) -> DataFrame:

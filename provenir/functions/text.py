@@ -37,10 +37,21 @@ def _silent(name: str) -> str:
 NOT_TEXT = "|".join(map(_silent, SILENT)) + r"|!--.*?(?:-->|\z)"
 # The text-level elements of HTML. Their tags do not part words,
 # which matters where words are not written apart anyway.
-INLINE_TAG = (
-    r"/?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|rb|rp|rt|ruby"
-    rf"|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:[\t\n\f\r /]{INSIDE})?(?:>|\z)"
-)
+INLINE = (
+    "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
+    "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+)
+
+
+def _any_of(names: tuple[str, ...]) -> str:
+    """One branch for each first letter: every tag of a page is held against all branches."""
+    rest: dict[str, list[str]] = {}
+    for name in names:
+        rest.setdefault(name[0], []).append(name[1:])
+    return "|".join(f"{letter}(?:{'|'.join(sorted(own, key=len, reverse=True))})" for letter, own in rest.items())
+
+
+INLINE_TAG = rf"/?(?:{_any_of(INLINE)})(?:[\t\n\f\r /]{INSIDE})?(?:>|\z)"
 # "<" starts a tag only before a letter, "/", "!" or "?", so "a < b" stays.
 TAG = rf"[/!?a-z]{INSIDE}(?:>|\z)"
 # An attribute with its value; the name ends at the first "=".

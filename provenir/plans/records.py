@@ -17,6 +17,7 @@ from provenir.sources.schemas import RECORD
 
 # Before every tag in ``tags``. A page's own marks of this kind are taken out.
 MARK = "\x02"
+TAG_IN_VALUE = r"""=[\t\n\f\r ]*(?:"[^"<]*<|'[^'<]*<)"""
 # Where each value stands. No pattern depends on a closing tag, so
 # a truncated page still yields what it holds.
 PAGE_FIELDS = (
@@ -36,14 +37,17 @@ PAGE_FIELDS = (
 
 def with_markup(documents: DataFrame) -> DataFrame:
     """Add ``markup``, the page without what only looks like its content, and from it
-    ``tags``, its whole tags, and ``page_lang``, the ``lang`` of its ``html``.
+    ``tags``, a text with a mark before each tag, and ``page_lang``, the ``lang`` of its ``html``.
 
-    Whole tags, since the value of an attribute may hold what looks like a tag.
+    The value of an attribute may hold what looks like a tag. Only pages with such a value
+    are taken apart tag by tag; in all others every "<" may be marked.
     """
     cleaned = documents.withColumn("markup", drop_non_text(F.col("html")))
-    found = F.regexp_extract_all(F.translate("markup", MARK, ""), F.lit(rf"(?is)<{TAG}"), 0)
-    listed = cleaned.withColumn("tags", F.concat(F.lit(MARK), F.array_join(found, MARK)))
-    first = F.regexp_extract("tags", rf"(?is){MARK}(<html[\t\n\f\r /][^{MARK}]*)", 1)
+    unmarked = F.replace("markup", F.lit(MARK), F.lit(""))
+    whole = F.concat(F.lit(MARK), F.array_join(F.regexp_extract_all(unmarked, F.lit(rf"(?is)<{TAG}"), 0), MARK))
+    marked = F.replace(unmarked, F.lit("<"), F.lit(f"{MARK}<"))
+    listed = cleaned.withColumn("tags", F.when(F.rlike("markup", F.lit(TAG_IN_VALUE)), whole).otherwise(marked))
+    first = F.regexp_extract("tags", rf"(?i){MARK}(<html[\t\n\f\r /]{INSIDE})", 1)
     return listed.withColumn("page_lang", F.coalesce(tag_attribute(first, "lang"), F.lit("")))
 
 

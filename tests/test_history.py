@@ -1,6 +1,7 @@
 """States at a date, histories and sources in force, against plain Python; and hot keys."""
 
 import random
+from bisect import bisect_right
 from datetime import datetime, timedelta
 from itertools import groupby
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import provenir as pv
+from provenir.functions import ordered
 from provenir.functions.ordered import hot_spans, in_spans
 from tests.test_plans import SMALL_PARTITIONS, plan_of
 
@@ -88,6 +90,12 @@ def test_spans_are_even_and_keep_equal_times_together(spark):
     assert [r.k for r in spans.collect()] == [9]
     sizes = in_spans(rows, spans, ["k"], "t").where("__span is not null").groupBy("__span").count().collect()
     assert 20 <= len(sizes) <= 31 and max(r["count"] for r in sizes) < 2500
+    # Very many cuts are looked up in two steps.
+    fine = hot_spans(rows, ["k"], "t", 100)
+    cuts = fine.first()["__cuts"]
+    assert len(cuts) > 3 * ordered.STRIDE
+    for r in in_spans(rows, fine, ["k"], "t").where("__span is not null").sample(0.05, 1).collect():
+        assert r["__span"] == bisect_right(cuts, r.t)
     assert hot_spans(rows, ["k"], "t", 50_000) is None
     alike = rows.withColumn("t", F.lit(5))
     assert in_spans(alike, hot_spans(alike, ["k"], "t", 1000), ["k"], "t").select("k", "__span").where("k = 9").distinct().count() == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as wired
 import provenir as pv
 from provenir.functions import joins
+from provenir.operators import provenance
 
 SMALL_PARTITIONS = {
     "spark.sql.shuffle.partitions": "64",
@@ -55,6 +56,7 @@ NARROW = [
     "listing_links",
     "long_fields",
     "build_records",
+    "semi_structured_values",
 ]
 # The only shuffle is the one that groups the lookup itself.
 BROADCAST = ["verification_status", "attach_provenance", "analysis_view", "verify_records"]
@@ -90,6 +92,14 @@ def test_a_small_listing_leaves_the_records_in_place(spark, like_large_tables, m
     assert {r.doc_id for r in missing.collect()} == {6}
 
 
+def test_the_listing_is_parsed_once(spark, sf_dir):
+    """The written listing is read where it is needed; pages are read for their URLs alone."""
+    plan = wired.queries()["missing_links"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan
+    scans = plan_of(wired.queries()["missing_links"](spark, sf_dir))
+    assert "html" not in scans
+
+
 def test_scripts_are_looked_for_once(spark, sf_dir):
     plan = wired.queries()["build_records"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("!--.*?") <= 1
@@ -185,7 +195,9 @@ def test_bucketed_tables_are_joined_as_they_lie(spark, like_large_tables, tmp_pa
 
 
 @pytest.mark.parametrize("build", ["missing", "reconcile", "copies", "keys", "complete"])
-def test_hot_groups_are_reduced_before_the_shuffle(spark, build):
+def test_hot_groups_are_reduced_before_the_shuffle(spark, build, monkeypatch):
+    # The reduced listing is written by a job of its own; here it stays in the plan to be looked at.
+    monkeypatch.setattr(provenance, "stored", lambda df, name: df)
     hot = hot_records(spark)
     texts = hot.select("doc_id", F.when(F.col("doc_id") == 9, F.lit("copy")).otherwise(F.col("body")).alias("body"))
     df = {
