@@ -60,14 +60,18 @@ ATTRIBUTE = r"""[^\t\n\f\r "'>/=]+[\t\n\f\r ]*=[\t\n\f\r ]*(?:"[^"]*"|'[^']*'|[^
 # text on its two sides must not grow together into a tag.
 SEAM = "\x01"
 # Blanks besides the ideographic space, which is replaced beforehand: a class
-# within Latin-1 matches a good deal faster.
-BLANKS = r"[\t-\r \x{A0}]+"
+# within Latin-1 matches a good deal faster. A single space is what a run becomes, so that
+# is no match: most runs are one.
+BLANKS = r"[\t-\r\x{A0}][\t-\r \x{A0}]*+| [\t-\r \x{A0}]++"
 # A number, or a name closed by ";". Of the names, those that HTML reads without ";" too
 # are looked for at the start of what is left, the longest first.
 NUMERIC = r"^#([0-9]+|[xX][0-9A-Fa-f]+);?"
 NAMED = r"^([A-Za-z][A-Za-z0-9]{1,31};)"
 UNCLOSED = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
+# The references that nearly all are, looked at before the maps.
+USUAL = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0"}
+
 # Maps of names by their first letter, from "A" on: a map is searched from its start.
 _NAMES_BY_LETTER = [{n: c for n, c in html5.items() if ord(n[0]) == letter} for letter in range(65, 123)]
 # The numbers 128 to 159 mean characters of another code page.
@@ -127,10 +131,10 @@ def decode_references(text: Column) -> Column:
     names = F.from_json(F.lit(json.dumps(_NAMES_BY_LETTER)), "array<map<string,string>>")
 
     def find(piece: Column) -> Column:
-        numeric = F.regexp_extract(piece, NUMERIC, 1)
+        numeric = F.when(piece.startswith("#"), F.regexp_extract(piece, NUMERIC, 1))
         return F.struct(
             piece.alias("raw"),
-            F.when(piece.startswith("#") & (numeric != ""), _code_point(numeric)).alias("point"),
+            F.when(numeric != "", _code_point(numeric)).alias("point"),
             F.regexp_extract(piece, NAMED, 1).alias("name"),
         )
 
@@ -138,40 +142,49 @@ def decode_references(text: Column) -> Column:
         return F.when(name != "", F.try_element_at(F.try_element_at(names, F.ascii(name) - 64), name))
 
     def resolve(found: Column) -> Column:
-        closed = look_up(found["name"])
-        unclosed = F.when(closed.isNull() & found["point"].isNull(), F.regexp_extract(found["raw"], UNCLOSED, 1))
-        return F.struct(found["raw"].alias("raw"), found["point"].alias("point"), found["name"].alias("name"), closed.alias("closed"), unclosed.alias("unclosed"))
+        closed = F.when(found["name"] == "", F.lit(None).cast("string"))
+        for name, character in USUAL.items():
+            closed = closed.when(found["name"] == name, F.lit(character))
+        closed = closed.otherwise(look_up(found["name"]))
+        return F.struct(found["raw"].alias("raw"), found["point"].alias("point"), found["name"].alias("name"), closed.alias("closed"))
 
     def write(found: Column, index: Column) -> Column:
         raw = found["raw"]
-        decoded = F.coalesce(
-            F.concat(_character(found["point"]), F.regexp_replace(raw, NUMERIC, "")),
-            F.concat(found["closed"], F.substr(raw, F.length(found["name"]) + 1)),
-            F.concat(look_up(found["unclosed"]), F.substr(raw, F.length(found["unclosed"]) + 1)),
-            F.concat(F.lit("&"), raw),
+        unclosed = F.regexp_extract(raw, UNCLOSED, 1)
+        return (
+            F.when(index == 0, raw)
+            .when(found["closed"].isNotNull(), F.concat(found["closed"], F.substr(raw, F.length(found["name"]) + 1)))
+            .when(found["point"].isNotNull(), F.concat(_character(found["point"]), F.regexp_replace(raw, NUMERIC, "")))
+            .when(unclosed != "", F.concat(look_up(unclosed), F.substr(raw, F.length(unclosed) + 1)))
+            .otherwise(F.concat(F.lit("&"), raw))
         )
-        return F.when(index == 0, raw).otherwise(decoded)
 
     pieces = F.transform(F.transform(F.split(text, "&"), find), resolve)
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, write), "")).otherwise(text)
 
 
-def _without_tags(joined: Column) -> Column:
-    parted = F.regexp_replace(joined, f"(?is)<{TAG}", " ")
-    return collapse_blanks(decode_references(parted))
+def part_text(html: Column, clean: bool = False) -> Column:
+    """What is left of a page without its markup, references and blanks as they were written.
 
+    A tag parts words unless it is one of the text-level elements. ``clean`` says that
+    ``drop_non_text`` has been at work already.
+    """
+    unseen = INLINE_TAG if clean else f"{NOT_TEXT}|{INLINE_TAG}"
+    joined = F.regexp_replace(html, f"(?is)<(?:{unseen})", SEAM)
+    return F.regexp_replace(joined, f"(?is)<{TAG}", " ")
 
-def readable_text(html: Column) -> Column:
-    """The text a reader sees: no markup, references decoded, single spaces.
 
-    A tag parts words unless it is one of the text-level elements.
+def plain_text(parted: Column) -> Column:
+    """What ``part_text`` left as a reader sees it: references decoded, single spaces.
+
+    Give it a column rather than an expression: it is looked at more than once.
     """
-    return _without_tags(F.regexp_replace(html, f"(?is)<(?:{NOT_TEXT}|{INLINE_TAG})", SEAM))
+    return collapse_blanks(decode_references(parted))
 
 
-def readable_markup(markup: Column) -> Column:
-    """The same for what ``drop_non_text`` has left, without looking for that again."""
-    return _without_tags(F.regexp_replace(markup, f"(?i)<(?:{INLINE_TAG})", SEAM))
+def readable_text(html: Column) -> Column:
+    """The text a reader sees: no markup, references decoded, single spaces."""
+    return plain_text(part_text(html))
 
 
 def plain_numeral(text: Column) -> Column:

@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 
 from provenir.functions.text import (
     collapse_blanks,
-    decode_references,
+    part_text,
     plain_numeral,
-    readable_markup,
-    readable_text,
+    plain_text,
 )
 
 
@@ -39,8 +38,12 @@ def _found(field: Field) -> Column:
     """The matched text, '' when the pattern finds nothing, or the count."""
     if field.count:
         return F.regexp_count(field.source, F.lit(field.pattern))
-    found = F.regexp_extract(field.source, field.pattern, 1)
-    return collapse_blanks(found if field.plain else decode_references(found))
+    return F.regexp_extract(field.source, field.pattern, 1)
+
+
+def _read(field: Field) -> Column:
+    found = F.col(f"__{field.name}")
+    return found if field.count else collapse_blanks(found) if field.plain else plain_text(found)
 
 
 def _typed(field: Field) -> Column:
@@ -59,10 +62,11 @@ def extract_values(docs: DataFrame, fields: Sequence[Field], keep: Sequence[str]
     A value is null when it is absent and when it is malformed. ``malformed``
     names the fields of the second kind, so the two stay apart.
 
-    Search, cast and flag are projections on top of each other, so that each
+    Search, reading, cast and flag are projections on top of each other, so that each
     pattern runs once per document.
     """
-    found = docs.select(*keep, *[_found(f).alias(f"__{f.name}") for f in fields])
+    matched = docs.select(*keep, *[_found(f).alias(f"__{f.name}") for f in fields])
+    found = matched.withColumns({f"__{f.name}": _read(f) for f in fields})
     typed = found.withColumns({f.name: _typed(f) for f in fields})
     castable = [f for f in fields if not f.count and not isinstance(f.dtype, T.StringType)]
     broken = [
@@ -77,4 +81,5 @@ def extract_text(docs: DataFrame, html: str = "html", name: str = "body_text", c
 
     ``clean`` says that scripts, styles and comments are gone already.
     """
-    return docs.withColumn(name, (readable_markup if clean else readable_text)(F.col(html)))
+    parted = docs.withColumn("__parted", part_text(F.col(html), clean))
+    return parted.withColumn(name, plain_text(F.col("__parted"))).drop("__parted")
