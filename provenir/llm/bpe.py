@@ -16,8 +16,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import id_and_text, text_bytes
+from provenir.llm.common import giving_back, id_and_text, text_bytes
 
 BLOCK_BYTES = 8 << 20
 
@@ -89,6 +91,7 @@ def _pieces(vocabulary: str) -> pa.Array:
 def _deal():
     """Texts to blocks by a hash of id and text, packed and compressed."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -137,19 +140,21 @@ def _texts(block: pa.Table) -> Iterator[tuple[list, list[str]]]:
 Words = tuple[str, list[str]]
 
 
-def _words(block: pa.Table, vocabulary: str) -> Iterator[tuple[list, list[Words]]]:
-    """Ids of a packet and of each of its texts the first part and the others."""
-    for ids, texts in _texts(block):
-        parted = []
+def _words(block: pa.Table, vocabulary: str) -> Iterator[tuple[list, Iterator[Words]]]:
+    """Ids of a packet and of each of its texts the first part and the others, one text at a time."""
+
+    def parted(texts: list[str]) -> Iterator[Words]:
         for text in texts:
             parts = _parts(text, vocabulary)
             first = parts[0]
             del parts[0]
-            parted.append((first, parts))
-        yield ids, parted
+            yield first, parts
+
+    for ids, texts in _texts(block):
+        yield ids, parted(texts)
 
 
-def _by_bucket(packets: Iterable[tuple[list, list[Words]]], n: int) -> dict[int, tuple[list[str], list[str]]]:
+def _by_bucket(firsts: Iterable[str], others: Iterable[str], n: int) -> dict[int, tuple[list[str], list[str]]]:
     """By bucket the distinct first parts of texts, and the other words, each sorted.
 
     The other words have a space before them, which is left out here. Spark gives all
@@ -157,12 +162,6 @@ def _by_bucket(packets: Iterable[tuple[list, list[Words]]], n: int) -> dict[int,
     """
     if "PYTHONHASHSEED" not in os.environ:
         raise RuntimeError("PYTHONHASHSEED is not set for the Python workers")
-    firsts, others = set(), set()
-    for _, texts in packets:
-        for first, rest in texts:
-            firsts.add(first)
-            others.update(rest)
-    firsts.discard("")
     out: dict[int, tuple[list[str], list[str]]] = {}
     for kind, words in enumerate((firsts, others)):
         for word in sorted(words):
@@ -173,10 +172,17 @@ def _by_bucket(packets: Iterable[tuple[list, list[Words]]], n: int) -> dict[int,
     return out
 
 
+@giving_back
 def _send_words(block: pa.Table, vocabulary: str, n: int) -> pa.Table:
     name = block.column("block")[0].as_py()
     rows = []
-    for bucket, (firsts, others) in _by_bucket(_words(block, vocabulary), n).items():
+    distinct_firsts, distinct_others = set(), set()
+    for _, texts in _words(block, vocabulary):
+        for first, rest in texts:
+            distinct_firsts.add(first)
+            distinct_others.update(rest)
+    distinct_firsts.discard("")
+    for bucket, (firsts, others) in _by_bucket(distinct_firsts, distinct_others, n).items():
         raw = [w.encode("utf-8", "surrogatepass") for w in (*firsts, *others)]
         lengths = np.fromiter(map(len, raw), np.int32, len(raw))
         rows.append((name, bucket, len(firsts), _squeeze(b"".join(raw)), _squeeze(lengths.tobytes())))
@@ -189,6 +195,7 @@ def _id_type(vocabulary: str) -> type:
     return np.uint16 if len(_pieces(vocabulary)) <= 1 << 16 else np.int32
 
 
+@giving_back
 def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
     """Ids of the words of a bucket; a word that many blocks sent is encoded once."""
     tokenizer, kind = _tokenizer(vocabulary), _id_type(vocabulary)
@@ -220,24 +227,35 @@ def _encode_words(packets: pa.Table, vocabulary: str) -> pa.Table:
     )
 
 
+@giving_back
 def _place_ids(block: pa.Table, replies: pa.Table, vocabulary: str, n: int, decoded: str | None) -> pa.Table:
-    packets = list(_words(block, vocabulary))
-    found = _by_bucket(packets, n)
-    first_ids, other_ids = {"": b""}, {}
+    # Of all words of a block only numbers are kept, and each distinct one once.
+    firsts, others = defaultdict(count().__next__), defaultdict(count().__next__)
+    packets = []
+    for ids, texts in _words(block, vocabulary):
+        numbers = [(firsts[first], np.fromiter(map(others.__getitem__, rest), np.int32, len(rest))) for first, rest in texts]
+        packets.append((ids, numbers))
+    found = _by_bucket(firsts.keys() - {""}, others, n)
+    first_ids, other_ids = [None] * len(firsts), [None] * len(others)
+    if "" in firsts:
+        first_ids[firsts[""]] = b""
     kind = _id_type(vocabulary)
     size = np.dtype(kind).itemsize
     for bucket, ids, lengths in zip(*(replies.column(c) for c in ("bucket", "ids", "lengths")), strict=True):
-        firsts, others = found.pop(bucket.as_py())
+        own_firsts, own_others = found.pop(bucket.as_py())
         own = _cut(_unsqueeze(ids.as_py()), np.frombuffer(_unsqueeze(lengths.as_py()), np.int32) * size)
-        first_ids.update(zip(firsts, own, strict=False))
-        other_ids.update(zip(others, own[len(firsts) :], strict=True))
+        for word, known in zip(own_firsts, own, strict=False):
+            first_ids[firsts[word]] = known
+        for word, known in zip(own_others, own[len(own_firsts) :], strict=True):
+            other_ids[others[word]] = known
+    del firsts, others, found
     pieces = _pieces(vocabulary) if decoded else None
     placed = []
     while packets:
         ids, texts = packets.pop()
         lengths, values = [0], []
         for first, rest in texts:
-            own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest))
+            own = first_ids[first] + b"".join(map(other_ids.__getitem__, rest.tolist()))
             values.append(own)
             lengths.append(len(own) // size)
         flat = pa.array(np.frombuffer(b"".join(values), kind).astype(np.int32))

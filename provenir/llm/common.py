@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,42 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return free memory that this process holds back to the system, where that has a call for it.
+
+    Spark keeps Python workers for the tasks of later stages, and what one task has freed
+    counts against the executor until then.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run``, a function or a generator, which gives back memory once it is through."""
+
+    @wraps(run)
+    def whole(*args):
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    @wraps(run)
+    def by_batch(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return by_batch if inspect.isgeneratorfunction(run) else whole
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` as long and ``text`` with null as '', whatever else ``docs`` holds."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))

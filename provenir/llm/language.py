@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import each_text, share
+from provenir.llm.common import each_text, give_back, giving_back, share
 
 FEATURES = 1 << 15
 SAMPLE_PER_LANGUAGE = 1500
@@ -83,6 +83,7 @@ class LanguageModel:
 def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each feature occurs, and the number of texts."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
@@ -174,6 +175,7 @@ def train(
     chance = share(F.coalesce("id", F.lit("")))
     sample = rows.where(chance < wanted[F.col("lang")]).select("id", "lang", "text")
 
+    @giving_back
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -220,6 +222,7 @@ def predict(docs: DataFrame, model: LanguageModel, out: str = "language", text_c
 
     def judge(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(text) for text in each_text(texts)]
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())],
             names=["lang", "score"],

@@ -33,6 +33,7 @@ from provenir.llm.common import (
     bounded,
     chunks,
     free_name,
+    giving_back,
     id_and_text,
     mix64,
     random_words,
@@ -163,6 +164,7 @@ def _sketch_batch(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: set size, two 64-bit sums that name the set, signature."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _sketch_batch(batch, words)

@@ -1,14 +1,21 @@
 """Ids and texts against the tokenizers library."""
 
 import hashlib
+import os
 import random
+import sys
+import tracemalloc
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from provenir.llm import bpe, queries
+from provenir.llm.common import give_back
 from tests.llm.cases import ROWS, docs, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +57,38 @@ def test_decoding_odd_arrays(spark, vocabulary):
         bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>"), vocabulary).collect()
 
 
+def test_words_of_a_block_are_not_all_held_as_strings(vocabulary, monkeypatch):
+    """Two million words, few of them distinct, in many packets."""
+    monkeypatch.setenv("PYTHONHASHSEED", "0")
+    text = " ".join(f"w{i % 997}" for i in range(20_000))
+    packet = pa.record_batch({"block": pa.array([0], pa.int32()), "doc_id": pa.array([1], pa.int64()), "text": pa.array([text])})
+    block = pa.Table.from_batches(list(bpe._deal()(iter([packet] * 100))))
+    words = bpe._send_words(block, vocabulary, 3)
+    buckets = np.asarray(words["bucket"])
+    replies = pa.concat_tables(bpe._encode_words(words.filter(pa.array(buckets == b)), vocabulary) for b in range(3))
+    tracemalloc.start()
+    try:
+        placed = bpe._place_ids(block, replies, vocabulary, 3, "decoded")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert placed.num_rows == 100 and set(placed.column("decoded").to_pylist()) == {text}
+    assert peak < 5 * 100 * len(text)  # 64 bytes a word, 11 times the text, if each were a string
+
+
+@pytest.mark.skipif(sys.platform != "linux" or "glibc" not in os.confstr("CS_GNU_LIBC_VERSION"), reason="needs malloc_trim")
+def test_freed_memory_goes_back_to_the_system():
+    def held() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    many = [bytes(2000) for _ in range(50_000)]
+    last = many[::1000]  # so that none of the rest is at the end of the heap
+    del many
+    before = held()
+    give_back()
+    assert before - held() > 50_000_000 and len(last) == 50
+
+
 def test_ids_of_every_document(spark, sf_dir):
     """Digests of ids and decoded texts against the library, document by document."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
