@@ -11,6 +11,7 @@ from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,17 @@ def each_text(column: pa.Array, step: int = 256) -> Iterator[str | None]:
         yield from column.slice(at, step).to_pylist()
 
 
+def text_slices(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of a column of texts of about ``size`` bytes; a longer text ends its range.
+
+    Spark hands over 10,000 rows at a time, however long their texts are.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = (np.cumsum(lengths) - lengths) // size
+    edges = np.flatnonzero(np.r_[True, np.diff(before) != 0, True]) if len(before) else np.zeros(1, np.int64)
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``size`` bytes; a longer text stands alone."""
     begin, held = 0, 0

@@ -9,7 +9,8 @@ first word, and the words are compared directly.
 
 Plan: the documents are read once, without a shuffle. Patterns are broadcast in parts
 of at most ``PART_PATTERNS``; more patterns take further parts, each searched by its
-own step over the same rows, so no table of patterns is too large for an executor.
+own step over the same rows, so no table of patterns is too large for an executor. Of
+the rows that Spark hands over at once, a few hundred texts are held as Python strings.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import free_name, id_and_text
+from provenir.llm.common import each_text, free_name, giving_back, id_and_text, text_slices
 
 # Patterns in a part that is broadcast: ten words each, some 20 MB.
 PART_PATTERNS = 100_000
@@ -160,23 +161,28 @@ def find_benchmark(
     return found
 
 
+_SPAN = pa.struct({"begin": pa.int64(), "end": pa.int64()})
+_HITS = pa.struct({"n_words": pa.int64(), "spans": pa.list_(_SPAN), "items": pa.list_(pa.int64())})
+
+
 def _searcher(known):
     searchers: list[WuManber] = []
 
-    def search(texts: pa.Array) -> pa.Array:
-        if not searchers:
-            searchers.append(WuManber(known.value))
+    def hits_of(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
+        for text in each_text(texts):
             words = words_of(text or "")
             spans, items = searchers[0].find(words)
             rows.append((len(words), [{"begin": a, "end": b} for a, b in spans], sorted(items)))
-        counts, spans, items = zip(*rows, strict=True) if rows else ((), (), ())
-        span = pa.struct({"begin": pa.int64(), "end": pa.int64()})
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))],
-            names=["n_words", "spans", "items"],
-        )
+        columns = zip(*rows, strict=True)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HITS, strict=True)], fields=list(_HITS))
+
+    @giving_back
+    def search(texts: pa.Array) -> pa.Array:
+        if not searchers:
+            searchers.append(WuManber(known.value))
+        found = [hits_of(texts.slice(a, b - a)) for a, b in text_slices(texts)]
+        return pa.concat_arrays(found) if found else pa.array([], _HITS)
 
     return search
 

@@ -38,6 +38,7 @@ from provenir.llm.common import (
     mix64,
     random_words,
     settle,
+    text_slices,
     word_hashes,
 )
 from provenir.llm.components import components
@@ -89,6 +90,11 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def _sets_by_slice(text: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
+    for a, b in text_slices(text):
+        yield shingle_sets(text.slice(a, b - a).to_pylist(), words)
+
+
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """16-bit MinHash values, a row for each non-empty set."""
     out = np.empty((len(sets), VALUES), np.uint16)
@@ -161,18 +167,21 @@ def _sketch_batch(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     )
 
 
+@giving_back
+def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in text_slices(batch.column("text")):
+            yield _sketch_batch(batch.slice(a, b - a), words)
+
+
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: set size, two 64-bit sums that name the set, signature."""
 
-    @giving_back
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _sketch_batch(batch, words)
-
     schema = "doc_id long, n_shingles long, set_1 long, set_2 long, bits long, signature binary"
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _sketch(batches, words), schema)
 
 
+@giving_back
 def _key_array(signature: pa.Array) -> pa.Array:
     rows = signature.to_pylist()
     found = _keys(np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), VALUES))
@@ -197,8 +206,10 @@ def _with_sketches(members: DataFrame, docs: DataFrame, words: int) -> DataFrame
     nodes = settle(nodes, "open-nodes")
     ids = nodes.select("node")
 
+    @giving_back
     def sketch_of(text: pa.Array) -> pa.Array:
-        found = _bit_sketches(shingle_sets(text.to_pylist(), words)).view(np.int64)
+        parts = [_bit_sketches(own) for own in _sets_by_slice(text, words)]
+        found = np.concatenate([np.empty((0, SKETCH_WORDS), np.uint64), *parts]).view(np.int64)
         offsets = pa.array(np.arange(len(found) + 1) * SKETCH_WORDS, pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
 
@@ -213,11 +224,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """Those of ``pairs (a, b)`` whose full sets are similar enough, as a written table."""
     ids = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-ends")
 
+    @giving_back
     def set_of(text: pa.Array) -> pa.Array:
-        sets = shingle_sets(text.to_pylist(), words)
-        offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        joined = np.concatenate([np.empty(0, np.uint64), *sets])
-        return pa.ListArray.from_arrays(offsets, pa.array(joined.view(np.int64)))
+        found = [pa.array([], pa.list_(pa.int64()))]
+        for sets in _sets_by_slice(text, words):
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            joined = np.concatenate([np.empty(0, np.uint64), *sets])
+            found.append(pa.ListArray.from_arrays(offsets, pa.array(joined.view(np.int64))))
+        return pa.concat_arrays(found)
 
     shingles = F.arrow_udf(set_of, "array<long>")("text")
     sets = _texts_of(docs, ids).select("doc_id", shingles.alias("shingles"))

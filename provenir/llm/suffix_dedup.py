@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import chunks, mix64, random_words, text_bytes
+from provenir.llm.common import chunks, giving_back, mix64, random_words, text_bytes
 
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18
@@ -194,6 +194,7 @@ def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 _INT, _BIN = pa.int32(), pa.binary()
 
 
+@giving_back
 def _send_digits(block: pa.Table, threshold: int, n: int) -> pa.Table:
     distinct, _, _ = _block_of(block, threshold).digits()
     name = block.column("block")[0].as_py()
@@ -201,6 +202,7 @@ def _send_digits(block: pa.Table, threshold: int, n: int) -> pa.Table:
     return _table({"block": _INT, "bucket": _INT, "digits": _BIN}, rows)
 
 
+@giving_back
 def _flag_digits(packets: pa.Table, hot_blocks: int) -> pa.Table:
     """Which digits come from more than one block, and places of those from very many."""
     parts = [np.frombuffer(p, _U64) for p in packets.column("digits").to_pylist()]
@@ -340,6 +342,7 @@ def _by_bucket(block: _Block, shared: np.ndarray, of_run: np.ndarray, n: int):
     return runs, of, contents, head, buckets, order
 
 
+@giving_back
 def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -> pa.Table:
     schema = {"block": _INT, "bucket": _INT, "kind": _INT, "places": _BIN, "ids": _BIN, "lengths": _BIN, "bytes": _BIN}
     if not block_rows.num_rows:
@@ -370,6 +373,7 @@ def _send_spans(block_rows: pa.Table, flags: pa.Table, threshold: int, n: int) -
     return _table(schema, rows)
 
 
+@giving_back
 def _judge_spans(packets: pa.Table, threshold: int) -> pa.Table:
     """A bit for each window of every span, or for each window sent: a smaller id has it. Packets are of one kind."""
     kind = packets.column("kind")[0].as_py()
@@ -401,6 +405,7 @@ def _spread(width: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(width.sum())
 
 
+@giving_back
 def _remove(block_rows: pa.Table, replies: pa.Table, threshold: int, n: int, kept: list[str], as_text: bool) -> pa.Table:
     block = _block_of(block_rows, threshold)
     by_kind = _by_kind(replies)

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from provenir.llm import decontaminate, queries
@@ -66,3 +69,26 @@ def test_query(spark, sf_dir):
         for i, n, hit, found in brute_force(read("documents"), read("benchmark"), 10)
     }
     assert {r[0]: tuple(r)[1:] for r in queries.op5_decontaminate(spark, sf_dir).collect()} == want
+
+
+def test_texts_of_a_batch_are_not_all_held_as_strings():
+    """24 MB of texts in the 10,000 rows that Spark hands over at once."""
+    passage = tuple(decontaminate.words_of(PASSAGE))[:10]
+    search = decontaminate._searcher(SimpleNamespace(value=[(passage, [7])]))
+    texts = pa.array([None, PASSAGE, ""] + ["some words " * 220 + str(i) for i in range(9_997)])
+    search(texts.slice(0, 1))
+    tracemalloc.start()
+    try:
+        found = search(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 << 20, peak
+    assert len(found) == 10_000 and found.type == decontaminate._HITS
+    assert found.slice(0, 4).to_pylist() == [
+        {"n_words": 0, "spans": [], "items": []},
+        {"n_words": len(PASSAGE.split()), "spans": [{"begin": 0, "end": 10}], "items": [7]},
+        {"n_words": 0, "spans": [], "items": []},
+        {"n_words": 441, "spans": [], "items": []},
+    ]
+    assert search(texts.slice(0, 0)).type == decontaminate._HITS

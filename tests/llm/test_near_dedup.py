@@ -1,7 +1,9 @@
 """Links and groups against all pairs in plain Python."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from provenir.llm import near_dedup, queries
@@ -95,3 +97,20 @@ def test_query(spark, sf_dir):
     want = brute_force(rows, 4)
     got = queries.op9_minhash_near_dedup(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_sets_of_a_batch_are_not_all_held_at_once():
+    """24 MB of texts in the 10,000 rows that Spark hands over at once."""
+    texts = [None, ""] + [f"w{i} " + " ".join(f"v{i % 7 + k}" for k in range(480)) for i in range(9_998)]
+    batch = pa.record_batch({"doc_id": pa.array(range(10_000), pa.int64()), "text": pa.array(texts)}).slice(1)
+    next(near_dedup._sketch(iter([batch.slice(0, 9)]), 5))
+    tracemalloc.start()
+    try:
+        n = sum(found.num_rows for found in near_dedup._sketch(iter([batch]), 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 9_999
+    assert peak < 50 << 20, peak
+    some = batch.slice(0, 2_000)
+    assert pa.Table.from_batches(near_dedup._sketch(iter([some]), 5)).equals(pa.Table.from_batches([near_dedup._sketch_batch(some, 5)]))

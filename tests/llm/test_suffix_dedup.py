@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from provenir.llm import queries, suffix_dedup
+from provenir.llm import common, queries, suffix_dedup
 from tests.llm.cases import PASSAGE, ROWS, docs, empty, words
 
 
@@ -102,3 +102,17 @@ def test_a_planted_passage_stays_once(spark):
     rows = [(i, f"{words(i, 40)} {PASSAGE} {words(100 + i, 40)}") for i in range(1, 30)]
     kept = [r.kept for r in suffix_dedup.remove_repeats(docs(spark, rows), as_text=True).collect()]
     assert sum(PASSAGE in k for k in kept) == 1
+
+
+def test_each_group_gives_its_memory_back(monkeypatch):
+    """Spark keeps the workers; the next stage would have what a block took on top of its own."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    block = pa.table({"block": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "text": [PASSAGE, "x " + PASSAGE]})
+    digits = suffix_dedup._send_digits(block, 50, 1)
+    flags = suffix_dedup._flag_digits(digits, 64)
+    spans = suffix_dedup._send_spans(block, flags, 50, 1)
+    replies = pa.concat_tables([flags, suffix_dedup._judge_spans(spans, 50)])
+    left = suffix_dedup._remove(block, replies, 50, 1, [], True)
+    assert left.column("kept").to_pylist() == [PASSAGE, "x "]
+    assert len(calls) == 5
