@@ -1,11 +1,13 @@
 """Operators on small tables with the cases the test data lacks."""
 
+import hashlib
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as wired
 import provenir as pv
 
 
@@ -224,6 +226,43 @@ def test_scan_files(spark, tmp_path):
     assert {(r.url.rsplit("/", 1)[1], r.body_text) for r in records.collect()} == {("a.html", "ä"), ("b.html", "�")}
 
 
+def test_scan_files_leaves_the_settings_of_the_session(spark, tmp_path):
+    (tmp_path / "a.html").write_text("a")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for before in (None, "77"):
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        pv.scan_files(spark, str(tmp_path))
+        assert spark.conf.get(key, None) == before
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            pv.scan_files(spark, str(tmp_path / "none"))
+        assert spark.conf.get(key, None) == before
+    spark.conf.unset(key)
+
+
+def test_page_files_are_listed_in_parts(spark, tmp_path, monkeypatch):
+    page = '<html lang="de"><title>T{0}</title><p>a\n&amp; {0}</p></html>'
+    made = [(n, "u", page.format(n)) for n in (*range(60), 7)] + [(60, "u", None), (61, "u", "")]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    scan, listed = pv.scan_files, []
+
+    def counted(*args):
+        listed.append(len(scan(*args).inputFiles()))
+        return scan(*args)
+
+    def md5(text):
+        return hashlib.md5(text.encode()).hexdigest()
+
+    monkeypatch.setattr(pv, "scan_files", counted)
+    want = [(n, 2, f"T{n}", "de", 1, md5(f"T{n} a & {n}")) for n in range(60)]
+    want[7] = (7, 2, "T7", "de", 2, md5("T7 a & 7 T7 a & 7"))  # a page that comes twice
+    want += [(n, None, None, None, 0, md5("")) for n in (60, 61)]
+    for at_once, parts in ((20, 4), (1000, 1)):
+        monkeypatch.setattr(wired, "FILES_AT_ONCE", at_once, raising=False)
+        assert rows(wired.file_records(spark, str(tmp_path)), "doc_id") == want
+        assert len(listed) == parts and sum(listed) == 62 and max(listed) < 2 * at_once
+        listed.clear()
+
+
 def test_records_of_a_truncated_page(spark):
     page = '<html lang="ja"><script>"<p><title>no"</script><!-- <p> --><head><title>&#026085;本 &amp; co'
     docs = spark.createDataFrame([(1, "https://h.example/ja/12?x", page)], "doc_id bigint, url string, html string")
